@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, warc
+from . import ann, chat, neardup, packing, warc
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products for each vec_id that is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts consist of control strings."""
     hard = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
@@ -32,6 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_additive_quantisation": op3_additive_quantisation,
         "op4_chat_formatting": op4_chat_formatting,
         "op8_warc": op8_warc,
         "op10_packing": op10_packing,
