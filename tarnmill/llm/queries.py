@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, neardup, packing, warc
+from . import ann, chat, lm, neardup, packing, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(archives, payloads=False).drop("url", "payload")
@@ -39,6 +43,7 @@ def queries() -> dict:
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_additive_quantisation": op3_additive_quantisation,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_pitman_yor_lm": op5_pitman_yor_lm,
         "op8_warc": op8_warc,
         "op10_packing": op10_packing,
     }
