@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lm, neardup, packing, toxicity, warc
+from . import ann, chat, lm, neardup, packing, quality, toxicity, warc
 from .common import table
 
 
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of three words and a similarity of 0.85, as the query's contract fixes them."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -44,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_co_training_quality": op1_co_training_quality,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_additive_quantisation": op3_additive_quantisation,
         "op4_chat_formatting": op4_chat_formatting,
