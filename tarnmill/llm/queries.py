@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lm, neardup, packing, quality, toxicity, warc
+from . import ann, chat, lm, neardup, packing, quality, rules, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(archives, payloads=False).drop("url", "payload")
@@ -54,6 +58,7 @@ def queries() -> dict:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_pitman_yor_lm": op5_pitman_yor_lm,
         "op6_toxicity": op6_toxicity,
+        "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
         "op10_packing": op10_packing,
     }
