@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lm, neardup, packing, quality, rules, toxicity, warc
+from . import ann, chat, lm, mixing, neardup, packing, quality, rules, toxicity, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).drop("url", "payload")
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
+        "op9_soft_mixing": op9_soft_mixing,
         "op10_packing": op10_packing,
     }
 
