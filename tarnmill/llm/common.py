@@ -71,6 +71,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system; a worker that is used again would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer."""
     h = h ^ (h >> np.uint64(33))
