@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_sample, materialize
 
 #: Codebooks, codewords in each, beam width, rows of the training sample, candidates of each block that are reranked.
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 128, 8, 16_384, 320
@@ -153,7 +153,7 @@ def build_index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, beam
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    picked = rows.select("vec_id", "embedding", F.size("embedding").alias("dim")).orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).toArrow()
+    picked = bounded_sample(rows.select("vec_id", "embedding", F.size("embedding").alias("dim")), sample, "vec_id", salt=11).toArrow()
     if not picked.num_rows:
         return None
     sizes = np.bincount(picked.column("dim").to_numpy())

@@ -59,6 +59,19 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def bounded_sample(df: DataFrame, n: int, *keys: str, salt: int = 0) -> DataFrame:
+    """At most n rows: those with the smallest hashes of their keys, of all rows.
+
+    Rows whose hash cannot be among them are dropped by a threshold first (a fifth above the expected one), so that
+    what tasks send on does not grow with their number.
+    """
+    total = df.count()
+    h = F.xxhash64(*keys, F.lit(salt))
+    if total > n:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.2 * n + 100) / total)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null or empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

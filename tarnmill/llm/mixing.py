@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import bounded_sample, materialize, words
 
 SLOTS, SAMPLE, EVIDENCE, STEPS, TOLERANCE = 2048, 4000, 25, 60, 1e-6
 #: Domains that a tag may have; more are an error, since targets name each of them.
@@ -38,7 +38,7 @@ def _constant(values: list[float]) -> Column:
 
 def classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang", sample: int = SAMPLE) -> tuple[list[str], list[float], list[list[float]]]:
     """Domains in order, their log priors, and log probabilities of the word slots, from at most `sample` labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = bounded_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), sample, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain).cast("string").alias("domain"), F.col("text").cast("string").alias("text")).where("domain is not null")
     rows = rows.join(F.broadcast(known), "doc_id")  # at most `sample` numbers
     slots = rows.select("domain", F.explode(F.transform(words(F.col("text")), _slot)).alias("slot")).groupBy("domain", "slot").agg(F.count("*").alias("n")).collect()

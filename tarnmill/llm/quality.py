@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .toxicity import fit_logistic
 
 LABELLED, POOL, ROUNDS, TAKE, SURE = 12_000, 12_000, 5, 400, 0.9
@@ -171,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.least(F.max(F.col("quality").cast("int")), F.lit(1)).alias("y"))
-    known = known.select("doc_id", "y", fold).where(F.col("fold") != HELD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rest = ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(pool).distinct().select("doc_id", F.lit(-1).alias("y"), fold)
+    known = bounded_sample(known.select("doc_id", "y", fold).where(F.col("fold") != HELD), labelled, "doc_id")
+    rest = bounded_sample(ids, pool, "doc_id", salt=3).distinct().select("doc_id", F.lit(-1).alias("y"), fold)
     chosen = known.union(rest).groupBy("doc_id").agg(F.max("y").alias("y"), F.first("fold").alias("fold"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     rows = rows.join(F.broadcast(chosen), "doc_id")  # at most labelled + pool rows of three numbers

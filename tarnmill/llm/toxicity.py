@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 SYMBOLS = 28  # 0: edge of a word, 1-26: a-z, 27: any other letter
 BUCKETS = 1 << 20
 #: A word weighs as much as its gram of this rank: a real marker has several heavy grams, a collision of hashes one.
@@ -289,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     fold_of = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     model = char_model(docs)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.withColumn("fold", fold_of).where(F.col("fold") != HELD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = bounded_sample(known.withColumn("fold", fold_of).where(F.col("fold") != HELD), sample, "doc_id")
     learnt = docs.join(F.broadcast(known), "doc_id")  # at most `sample` rows of three numbers
     rows = learnt.where(F.col("fold") != CALIBRATION).select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic")).mapInArrow(_gram_documents(model), "gram long, toxic long, other long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
     gram, toxic, other = (rows.column(c).to_numpy() for c in ("gram", "toxic", "other"))
