@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest_modulo, not_blank, text_digest, word_tokens
-from .expect import guarded
 
 #: Rows of one chunk of a prefix sum.
 CHUNK = 65_536
@@ -29,14 +28,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def required_text(docs: DataFrame) -> DataFrame:
-    """A null text is an error, not a row to skip."""
-    return guarded(docs, F.col("text").isNotNull(), "a source row has no text")
+def with_text(docs: DataFrame) -> DataFrame:
+    """Non-blank rows; a null text is an error, not a row to skip.
+
+    Both are one predicate: as two, the optimizer would drop the nulls that the second implies before the first sees them.
+    """
+    missing = F.raise_error(F.lit("a source row has no text")).cast("boolean")
+    return docs.where(F.when(F.col("text").isNull(), missing).otherwise(not_blank(F.col("text"))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Non-blank rows with their digest."""
-    return required_text(docs).where(not_blank(F.col("text"))).withColumn("text_sha256", text_digest(F.col("text")))
+    return with_text(docs).withColumn("text_sha256", text_digest(F.col("text")))
 
 
 def split_of(digest: Column, seed: int, blocks: dict[str, int]) -> Column:

@@ -29,7 +29,7 @@ def _r(col, digits=6):
 
 
 def blank_filter(spark, d):
-    return corpus.required_text(_docs(spark, d)).where(text.not_blank(F.col("text"))).select("source_row", F.length("text").cast("long").alias("chars"))
+    return corpus.with_text(_docs(spark, d)).select("source_row", F.length("text").cast("long").alias("chars"))
 
 
 def source_identifier(spark, d):

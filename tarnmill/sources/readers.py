@@ -39,7 +39,7 @@ def last_steps(spark: SparkSession, pattern: str, lines: int = 3) -> DataFrame:
 
     A log is read as one value, so that its lines keep their order.
     """
-    d = spark.read.option("wholetext", True).text(pattern).select("value", F.col("_metadata.file_path").alias("file"))
+    d = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     rows = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     tail = F.slice(F.reverse(rows), 1, lines)
     steps = F.filter(F.transform(tail, lambda x: F.get_json_object(x, "$.step").cast("long")), lambda s: s.isNotNull())
