@@ -136,7 +136,7 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and quartile ranges of each group from histograms of the statistics; as means and a diagonal factor."""
     stat = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * 128).cast("int").alias("bin")) for i in range(P))))
-    bins = rows.select("key", stat.alias("s")).groupBy("key", "s.i", "s.bin").agg(F.count("*").alias("n"))
+    bins = materialize(rows.select("key", stat.alias("s")).groupBy("key", "s.i", "s.bin").agg(F.count("*").alias("n")), "rule-bins")
     w = Window.partitionBy("key", "i")
     bins = bins.withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), (F.col("bin") + 0.5) / 128))
@@ -152,7 +152,8 @@ def _concentrate(rows: DataFrame, fit: DataFrame, share: float, scale: float) ->
     """One concentration step: the moments of the nearest `share` of each group."""
     near = _distance(rows.join(fit.drop("size"), "key")).withColumn("bin", F.floor(32 * F.log2(F.col("d2") + 1e-6)).cast("int"))
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    bins = near.groupBy("key", "bin").agg(F.count("*").alias("n"), *sums)
+    # Written, so that the sums are dealt out by group and bin: a window over groups would pull their shuffle to the group.
+    bins = materialize(near.groupBy("key", "bin").agg(F.count("*").alias("n"), *sums), "rule-bins")
     w = Window.partitionBy("key")
     bins = bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("size", F.sum("n").over(w))
     names = ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i in range(P) for j in range(i + 1)]
