@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = materialize(docs.mapInArrow(_sketch(shingle, k), "doc_id long, n_shingles long, node long, sig array<int>"), "sketch")
     classes = sketch.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes, "classes")
 
     # Postings, with the lengths of those that have two nodes or more.
     posted = classes.select("node", "n", "rep", F.posexplode("sig").alias("c", "v")).select("node", "n", "rep", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("kv"))
@@ -231,6 +232,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     least = first.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = first.join(least, "root").select("node", "component_id")
     final = classes.select("node", "rep").join(moved, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # Written, so that the join below reads two plain shuffles and Spark can split that of a text with very many copies.
+    final = materialize(final, "final")
+    release(classes, active, star, sets)
     out = sketch.select("doc_id", "n_shingles", "node").join(final, "node", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(False)).alias("kept"))
