@@ -180,14 +180,16 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, steps: in
     small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
     pooled = F.sum(small).over(Window.partitionBy("g_lang"))
     key = F.when(F.col("n") >= least, F.concat("g_lang", F.lit("\n"), "g_source")).when(pooled >= least, F.col("g_lang")).otherwise("")
-    keys = materialize(sizes.select("g_lang", "g_source", key.alias("key")), "rule-groups")
+    # Group tables are written as few files, or their footers alone would make them look too large for a broadcast.
+    files = max(1, -(-sizes.count() // 10_000))
+    keys = materialize(sizes.select("g_lang", "g_source", key.alias("key")).repartition(files), "rule-groups")
     rows = stats.join(keys, (lang == F.col("g_lang")) & (source == F.col("g_source"))).drop("g_lang", "g_source")
     numbers = rows.where("n_words > 0").select("key", *STATS)
     q = chi2_quantile(H, P)
     scale = H / chi2_cdf(q, P + 2)
-    fit = materialize(_start(numbers), "rule-fit")
+    fit = materialize(_start(numbers).repartition(files), "rule-fit")
     for _ in range(steps):
-        nxt = materialize(_concentrate(numbers, fit, H, scale), "rule-fit")
+        nxt = materialize(_concentrate(numbers, fit, H, scale).repartition(files), "rule-fit")
         release(fit)
         fit = nxt
     out = _distance(rows.join(fit, "key", "left"))
