@@ -98,6 +98,40 @@ SELECT * FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.v IS NULL THEN 'missi
     "lr_schedule": "SELECT s AS step, round(CASE WHEN s <= 128 THEN s / 128.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (s - 128) / 3968.0::DOUBLE)) END, 9) AS multiplier, round(greatest(0, 1 - s / 4096.0::DOUBLE), 9) AS exploration FROM (SELECT unnest(range(1, 4097)) AS s)",
     "block_cross_entropy": """WITH z AS (SELECT label, (embedding::DOUBLE[])[1:10] AS z FROM embeddings), n AS (SELECT label, ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[label + 1] AS nll FROM z)
 SELECT label, round(avg(nll), 6) AS nll, round(exp(avg(nll)), 6) AS ppl FROM n GROUP BY label""",
+    "probe_windows": "WITH w AS (SELECT DISTINCT user_id * 7 AS start FROM events) SELECT event_id AS position, start, (event_id - start)::BIGINT AS local FROM events JOIN w ON event_id >= start AND event_id < start + 16",
+    "probe_coordinates": "SELECT event_id, (event_id // 128)::BIGINT AS block_id, (event_id % 128)::BIGINT AS token_pos FROM events",
+    "conditional_prob": f"WITH {_PROB} SELECT label, expert, count(*)::BIGINT AS calls, round(sum(probability), 5) AS mass, round(avg(probability), 6) AS a FROM top2 GROUP BY label, expert",
+    "routing_totals": f"WITH {_PROB}, g AS (SELECT label, count(*)::BIGINT AS calls FROM top2 GROUP BY label), w AS (SELECT label, (2 * count(*))::BIGINT AS expected FROM embeddings GROUP BY label) SELECT label, calls, expected, calls = expected AS exact FROM w JOIN g USING (label)",
+    "expert_dispatch": f"""WITH {_PROB}, s AS (SELECT vec_id, expert, probability / sum(probability) OVER (PARTITION BY vec_id) AS w FROM top2), d AS (SELECT unnest(range(4))::INTEGER AS dim)
+SELECT vec_id, dim, round(sum(w * (embedding::DOUBLE[])[9 + 4 * expert + dim]), 6) AS value FROM s JOIN embeddings USING (vec_id) CROSS JOIN d GROUP BY vec_id, dim""",
+    "mean_gradient_energy": f"WITH {_DIMS}, m AS (SELECT label, dim, avg(x) AS m FROM dims GROUP BY label, dim) SELECT label, round(sum(m * m), 6) AS energy FROM m GROUP BY label",
+    "seed_stability": """WITH l AS (SELECT vec_id, unnest([0, 1, 2])::INTEGER AS seed, unnest([label::BIGINT, vec_id % 7, (label + vec_id) % 5]) AS l FROM embeddings),
+c AS (SELECT x.seed AS sa, y.seed AS sb, x.l AS a, y.l AS b, count(*)::DOUBLE AS n FROM l x JOIN l y USING (vec_id) WHERE x.seed < y.seed GROUP BY ALL),
+i AS (SELECT sa, sb, sum(m * (m - 1) / 2) AS i FROM (SELECT sa, sb, sum(n) AS m FROM c GROUP BY sa, sb, a) GROUP BY sa, sb), j AS (SELECT sa, sb, sum(m * (m - 1) / 2) AS j FROM (SELECT sa, sb, sum(n) AS m FROM c GROUP BY sa, sb, b) GROUP BY sa, sb),
+t AS (SELECT sa, sb, sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM c GROUP BY sa, sb)
+SELECT sa AS seed_a, sb AS seed_b, round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 9) AS adjusted_rand FROM t JOIN i USING (sa, sb) JOIN j USING (sa, sb)""",
+    "traffic_reallocation": f"""WITH {_CALLS}, c AS (SELECT layer, (expert % 5)::INTEGER AS cluster, sum(calls)::DOUBLE AS traffic, count(*)::DOUBLE AS size FROM calls GROUP BY ALL),
+q AS (SELECT *, traffic * 32 / sum(traffic) OVER (PARTITION BY layer) AS qt, size * 32 / sum(size) OVER (PARTITION BY layer) AS qs FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY qt - floor(qt) DESC, cluster) AS rt, row_number() OVER (PARTITION BY layer ORDER BY qs - floor(qs) DESC, cluster) AS rs,
+  32 - sum(floor(qt)) OVER (PARTITION BY layer) AS lt, 32 - sum(floor(qs)) OVER (PARTITION BY layer) AS ls FROM q)
+SELECT layer, (sum(abs(floor(qt) + (rt <= lt)::INTEGER - floor(qs) - (rs <= ls)::INTEGER)) / 2)::BIGINT AS reallocated FROM r GROUP BY layer""",
+    "plan_summary": f"WITH {_RUNS}, m AS (SELECT method, seed, event_id % 3 AS layer, avg(value) AS v FROM runs GROUP BY ALL), s AS (SELECT method, seed, avg(v) AS sv FROM m GROUP BY ALL) SELECT method, (SELECT count(*) FROM s WHERE s.method = m.method)::BIGINT AS seeds, round(avg(v), 6) AS mean, round((SELECT stddev_samp(sv) FROM s WHERE s.method = m.method), 6) AS sd FROM m GROUP BY method",
+    "plan_variants": f"""WITH {_RUNS}, plans AS (SELECT method AS variant, seed, count(*)::BIGINT AS plan FROM runs GROUP BY ALL),
+n AS (SELECT * FROM (VALUES ('grouped', 'click', false), ('grouped_warm', 'click', false), ('busiest', 'view', true), ('absent', 'none', false)) AS t(method, variant, single)),
+x AS (SELECT method, s.seed, n.variant, CASE WHEN single THEN (SELECT min(seed) FROM plans p WHERE p.variant = n.variant) ELSE s.seed END AS plan_seed FROM n CROSS JOIN (SELECT unnest(range(6))::INTEGER AS seed) s)
+SELECT x.method, x.seed, x.variant, x.plan_seed, plan FROM x LEFT JOIN plans p ON p.variant = x.variant AND p.seed = x.plan_seed""",
+    "micro_batches": "WITH s AS (SELECT n_chars, row_number() OVER (ORDER BY sha256('5:' || doc_id::VARCHAR), doc_id) - 1 AS pos FROM documents QUALIFY pos < 128) SELECT (pos // 4)::BIGINT AS step, count(*)::BIGINT AS rows, round(avg(n_chars), 6) AS mean FROM s GROUP BY ALL",
+    "evaluation_progress": f"""WITH {_RUNS}, c AS (SELECT method, day, avg(value) AS y, count(*)::DOUBLE AS s FROM runs GROUP BY ALL),
+p AS (SELECT method, day, count(*) OVER w AS done, count(*) OVER (PARTITION BY method) AS total, avg(y) OVER w AS mean, sum(s) OVER w AS elapsed FROM c WINDOW w AS (PARTITION BY method ORDER BY day))
+SELECT method, day, done::BIGINT AS done, round(mean, 6) AS mean, elapsed, round(elapsed * (total - done) / done, 6) AS "left" FROM p""",
+    "merged_manifest": "SELECT lang AS task, source AS split, count(*)::BIGINT AS rows, min(doc_id)::VARCHAR || '-' || max(doc_id)::VARCHAR AS fingerprint, sha256('v1') AS definitions FROM documents GROUP BY lang, source",
+    "flattened_samples": "SELECT conv_id, role AS subtask, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INTEGER AS position, turn AS example FROM conversations",
+    "preparation_costs": """SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'view'), 5) AS calibration, round(sum(value) FILTER (WHERE event_type = 'click'), 5) AS grouping,
+  round(coalesce(sum(value) FILTER (WHERE event_type = 'error'), 0), 5) AS gradient FROM events GROUP BY user_id""",
+    "parameter_counts": """WITH c AS (SELECT p_partkey, 64 * (1 + p_partkey % 16) AS d, 1 + p_partkey % 7 AS l, 8 * (1 + p_partkey % 8) AS n, 4 * (1 + p_partkey % 3) AS m, 32 * (1 + p_partkey % 5) AS f,
+  128 * (p_partkey % 2) AS s, 16 * (1 + p_partkey % 4) AS kv, 1000 + p_partkey % 500 AS v, p_partkey % 3 = 0 AS tied FROM part)
+SELECT p_partkey, (l * n * 3 * d * f + l * (3 * d * s + CASE WHEN s > 0 THEN d ELSE 0 END) + l * (2 * d * d + 2 * d * kv + n * d + 2 * d) + v * d * CASE WHEN tied THEN 1 ELSE 2 END)::BIGINT AS base,
+  (l * m * 3 * d * f)::BIGINT AS extra FROM c""",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numeric, text
-from .operators import corpus, grouping, moments, pack, results, routing
+from .operators import corpus, experts, grouping, moments, pack, results, routing
 from .plans.corpus_build import Recipe, packed, raw_documents
 
 RECIPE = Recipe()
@@ -269,8 +269,6 @@ def _blocks(spark, d):
     return _runs(spark, d).groupBy("method", "seed", F.pmod("event_id", F.lit(64)).alias("block_id")).agg(F.avg("value").alias("nll"))
 
 
-
-
 def paired_delta(spark, d):
     b = _blocks(spark, d)
     pair = b.groupBy("seed", "block_id").pivot("method", ["click", "view"]).agg(F.first("nll"))
@@ -320,12 +318,116 @@ def block_cross_entropy(spark, d):
     return n.select("label", _r("nll").alias("nll"), _r(F.exp("nll")).alias("ppl"))
 
 
+# Expert tables and reports
+
+
+def probe_windows(spark, d):
+    """Events as positions, and a window of 16 from seven times each user's id on."""
+    e = _t(spark, d, "events")
+    windows = e.select((F.col("user_id") * 7).alias("start")).distinct()
+    return experts.in_windows(e.select(F.col("event_id").alias("position")), windows, "position", "start", 16).select("position", "start", "local")
+
+
+def probe_coordinates(spark, d):
+    p = F.col("event_id")
+    return _t(spark, d, "events").select("event_id", experts.block_of(p, 128).alias("block_id"), experts.offset_in_block(p, 128).alias("token_pos"))
+
+
+def conditional_prob(spark, d):
+    a = experts.conditional_probability(routing.assignments(_probabilities(spark, d), "p", 2), ["label", "expert"], "probability")
+    return a.select("label", "expert", "calls", _r("mass", 5).alias("mass"), _r("a").alias("a"))
+
+
+def routing_totals(spark, d):
+    p = _probabilities(spark, d)
+    return experts.routing_totals(routing.assignments(p, "p", 2), p, ["label"], 2)
+
+
+def expert_dispatch(spark, d):
+    """Expert e of a vector puts out its four components from 8 + 4 e on."""
+    chosen = routing.assignments(_probabilities(spark, d), "p", 2).select("vec_id", "expert", "probability")
+    v = F.col("embedding").cast("array<double>")
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("expert"), F.slice(v, 9 + 4 * e, 4).alias("output")) for e in range(DIM))))
+    outputs = _t(spark, d, "embeddings").select("vec_id", each.alias("o")).select("vec_id", "o.expert", "o.output")
+    m = experts.dispatch(chosen, outputs, "vec_id", "expert", "probability", "output", renormalize=True)
+    return m.select("vec_id", F.posexplode("mixed").alias("dim", "x")).select("vec_id", "dim", _r("x").alias("value"))
+
+
+def mean_gradient_energy(spark, d):
+    return experts.mean_gradient_energy(_t(spark, d, "embeddings"), ["label"], "embedding").select("label", _r("energy").alias("energy"))
+
+
+def seed_stability(spark, d):
+    """Three labellings of the vectors as those of three seeds."""
+    labels = F.array(F.col("label").cast("long"), F.pmod("vec_id", F.lit(7)), F.pmod(F.col("label") + F.col("vec_id"), F.lit(5)))
+    rows = _t(spark, d, "embeddings").select("vec_id", F.posexplode(labels).alias("seed", "l"))
+    return experts.seed_stability(rows, "seed", "vec_id", "l").select("seed_a", "seed_b", _r("adjusted_rand", 9).alias("adjusted_rand"))
+
+
+def traffic_reallocation(spark, d):
+    c = _calls(spark, d).groupBy("layer", F.pmod("expert", F.lit(5)).cast("int").alias("cluster")).agg(F.sum("calls").cast("double").alias("traffic"), F.count("*").cast("double").alias("size"))
+    return experts.reallocation(c, 32, ["layer"], "cluster", "traffic", "size")
+
+
+def plan_summary(spark, d):
+    m = _runs(spark, d).groupBy("method", "seed", F.pmod("event_id", F.lit(3)).alias("layer")).agg(F.avg("value").alias("v"))
+    s = experts.two_level_summary(m, ["method"], "seed", "v")
+    return s.select("method", "seeds", _r("mean").alias("mean"), _r("sd").alias("sd"))
+
+
+def plan_variants(spark, d):
+    plans = _runs(spark, d).groupBy(F.col("method").alias("variant"), "seed").agg(F.count("*").alias("plan"))
+    methods = {"grouped": "click", "grouped_warm": "click", "busiest": "view", "absent": "none"}
+    runs = spark.createDataFrame([(m,) for m in methods], "method string").join(spark.range(6).select(F.col("id").cast("int").alias("seed")))
+    return experts.variant_plans(runs, plans, methods, single=("busiest",)).select("method", "seed", "variant", "plan_seed", "plan")
+
+
+def micro_batches(spark, d):
+    order = experts.train_order(_t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 128, 5)
+    return experts.micro_batches(order, 4, "n_chars").select("step", "rows", _r("mean").alias("mean"))
+
+
+def evaluation_progress(spark, d):
+    c = _runs(spark, d).groupBy("method", "day").agg(F.avg("value").alias("y"), F.count("*").cast("double").alias("seconds"))
+    p = experts.progress(c, ["method"], "day", "y", "seconds")
+    return p.select("method", "day", "done", _r("mean").alias("mean"), "elapsed", _r("left").alias("left"))
+
+
+def merged_manifest(spark, d):
+    parts = _t(spark, d, "documents").groupBy(F.col("lang").alias("task"), F.col("source").alias("split")).agg(F.count("*").alias("rows"), F.concat_ws("-", F.min("doc_id").cast("string"), F.max("doc_id").cast("string")).alias("fingerprint"))
+    return experts.merge_manifests(parts.withColumn("definitions", F.sha2(F.lit("v1"), 256)), "definitions")
+
+
+def flattened_samples(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    m = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "turns"))).alias("samples"))
+    return experts.flatten_samples(m, "conv_id", "samples").select("conv_id", "subtask", "position", "example")
+
+
+def preparation_costs(spark, d):
+    """Users as models; sums of their values by event type as the seconds of three reports."""
+    e = _t(spark, d, "events")
+    of = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.sum("value").alias("seconds"))
+    c = experts.preparation_costs(e.select("user_id").distinct(), {"calibration": of("view"), "grouping": of("click"), "gradient": of("error")}, "user_id", optional=("gradient",))
+    return c.select("user_id", *(_r(n, 5).alias(n) for n in ("calibration", "grouping", "gradient")))
+
+
+def parameter_counts(spark, d):
+    """Models whose sizes follow from the parts' keys."""
+    k = F.col("p_partkey")
+    c = {"width": 64 * (1 + k % 16), "layers": 1 + k % 7, "experts": 8 * (1 + k % 8), "new_experts": 4 * (1 + k % 3), "expert_width": 32 * (1 + k % 5), "shared_width": 128 * (k % 2), "kv_width": 16 * (1 + k % 4), "vocabulary": 1000 + k % 500, "tied": k % 3 == 0}
+    base, extra = experts.parameter_counts(c)
+    return _t(spark, d, "part").select("p_partkey", base.cast("long").alias("base"), extra.cast("long").alias("extra"))
+
+
 QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
     parent_coverage, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
-    latest_status, run_stage, manifest_diff, lr_schedule, block_cross_entropy,
+    latest_status, run_stage, manifest_diff, lr_schedule, block_cross_entropy, probe_windows,
+    probe_coordinates, conditional_prob, routing_totals, expert_dispatch, mean_gradient_energy, seed_stability, traffic_reallocation, plan_summary, plan_variants, micro_batches,
+    evaluation_progress, merged_manifest, flattened_samples, preparation_costs, parameter_counts,
 ]
 
 
