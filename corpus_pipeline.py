@@ -16,30 +16,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go; each row is judged by itself, a null doc_id included."""
     return quality.classify(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base limits or are multivariate outliers go."""
+    """Documents that fail the base limits or are multivariate outliers go.
+
+    Verdicts are joined back by doc_id: rows without one go, and rows that share one stay if one of them is kept.
+    """
     verdict = rules.judge(docs)
     return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies stays: that with the smallest doc_id.
+
+    Rows without a doc_id go. Rows that repeat both doc_id and text are one document; their texts are shuffled for
+    that only if a doc_id occurs twice at all.
+    """
+    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialize(kept, "kept")
+    if kept.where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def target_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the languages' token totals meet tempered shares."""
+    """Documents are repeated or left out so that the languages' token totals meet tempered shares; rows with equal
+    doc_id and text have equal numbers of copies."""
     plan = mixing.mix(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("copies > 0")
     return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens."""
+    """Windows of 2048 tokens; a document with several copies has that many runs of pieces."""
     return packing.pack(docs)
 
 

@@ -29,3 +29,12 @@ def test_stages(spark, tmp_path):
 
 def test_empty_corpus(spark, tmp_path):
     assert cp.run(spark, _folder(spark, tmp_path, [])).collect() == []
+
+
+def test_near_copies_and_repeated_rows(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60))
+    data = [(4, long, "en", "s", 1), (4, long, "en", "s", 1), (2, long, "en", "s", 1), (7, long + " end", "en", "s", 1), (9, "another text", "en", "s", 1), (9, "another text", None, None, None), (None, "no id at all", "en", "s", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [2, 9]
+    assert cp.near_dedup(spark, docs.where("doc_id = 2"), str(tmp_path)).count() == 1
