@@ -25,6 +25,22 @@ def test_language_model(spark):
     assert none[0]["score"] == 0 and none[0]["train_tokens"] == 0
 
 
+def test_language_model_learns_from_whole_words(spark):
+    """All words end alike, so only the whole word before tells which one follows."""
+    rng = random.Random(4)
+    after = list(range(60))
+    rng.shuffle(after)
+    data = []
+    for i in range(150):
+        k, words = rng.randrange(60), []
+        for _ in range(40):
+            words.append(f"w{k}xx")
+            k = after[k]
+        data.append((i, " ".join(words), "en", "a", 1))
+    got = [r for r in lm.score(frame(spark, data), batch=1500, bucket=900).collect() if r["held_out"]]
+    assert got and sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
+
+
 def test_predictions_add_up():
     """P(. | context) sums to 1 over the vocabulary and the unknown word."""
     rng = np.random.default_rng(0)
