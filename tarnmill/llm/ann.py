@@ -2,9 +2,11 @@
 
 A vector is approximated by the sum of one codeword from each of M full-dimensional codebooks. The codebooks are
 trained on the residuals of a bounded sample and then refitted together by least squares on that sample's beam-search
-codes. Every row is encoded by beam search and stored with its codes and the norm of its approximation. A search
-looks up inner products of the query with all codewords, adds M table entries per row, takes the best rows of each
-block by that score and reranks them exactly in double precision.
+codes. Every row is encoded by beam search and stored with its codes, the norm of its approximation and that of the
+rest. A search looks up inner products of the query with all codewords, adds M table entries per row, takes the best
+rows of each block by that score and scores them exactly in double precision. Then it scores all other rows that could
+still be among the nearest: those whose lookup score, with the norm of the rest as the bound of its error, reaches the
+last of the best. The result is thus that of an exact search, also where many near copies have the same codes.
 
 Queries and rows meet in blocks (query block x data block) of bounded size; each block keeps its best `top` rows
 per query, and these are merged by rank. No part of it holds more than a block.
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, materialize
 
-#: Codebooks, codewords in each, beam width, rows of the training sample, candidates of each block that are reranked.
+#: Codebooks, codewords in each, beam width, rows of the training sample, rows of each block that are scored exactly first.
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 128, 8, 16_384, 320
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Rows of a block that are scored at once after the first ones.
+PIECE = 512
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
@@ -84,8 +88,9 @@ def _encoder(books: np.ndarray, beam: int):
         for b in batches:
             x = _matrix(b.column(1), books.shape[2])
             codes = np.concatenate([encode(x[s : s + 512].astype(np.float32), books, beam) for s in range(0, len(x), 512)] or [np.zeros((0, len(books)), np.uint8)])
-            norm = (decode(codes, books) ** 2).sum(1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm)], names=["vec_id", "vec", "codes", "norm"])
+            near = decode(codes, books.astype(np.float64))
+            norm, rest = (near**2).sum(1), np.sqrt(((x - near) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm), pa.array(rest)], names=["vec_id", "vec", "codes", "norm", "rest"])
 
     return run
 
@@ -99,6 +104,17 @@ def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return (x * q).sum(1) / np.sqrt((x * x).sum(1)) / np.sqrt((q * q).sum())
 
 
+def bounds(dot: np.ndarray, slack: float, q: np.ndarray, length: np.ndarray, norm: np.ndarray, rest: np.ndarray, metric: str) -> np.ndarray:
+    """What the exact scores cannot exceed. dot: the query's products with the approximations, wrong by slack at most;
+    length: the rows' norms, norm: the approximations' squared ones, rest: the norms of their differences."""
+    size = np.sqrt((q * q).sum())
+    if metric == "l2":
+        away = np.sqrt(np.maximum(size * size - 2 * (dot + slack) + norm, 0.0))
+        return -(np.maximum(away - rest, 0.0) ** 2)
+    most = dot + slack + size * rest
+    return most if metric == "ip" else most / length / size
+
+
 def _search(books: np.ndarray, metric: str, top: int, rerank: int):
     dim, m = books.shape[2], len(books)
 
@@ -107,17 +123,20 @@ def _search(books: np.ndarray, metric: str, top: int, rerank: int):
         out: list[list] = [[], [], []]
         if data.num_rows and queries.num_rows:
             data = data.sort_by("vec_id")
-            ids, norm = data.column("vec_id").to_numpy(), data.column("norm").to_numpy()
+            ids, norm, rest = (data.column(c).to_numpy() for c in ("vec_id", "norm", "rest"))
             x = np.frombuffer(b"".join(data.column("vec").to_pylist()), np.float64).reshape(-1, dim)
             codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(-1, m)
             qid = queries.column("query_id").to_numpy()
             q = np.frombuffer(b"".join(queries.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-            take = min(rerank, len(ids))
+            take, length = min(rerank, len(ids)), np.sqrt((x * x).sum(1))
+            # Of sums in single precision, relative to the product of the norms.
+            inexact = 4 * (dim + m) * float(np.finfo(np.float32).eps) * float(np.sqrt((books.astype(np.float64) ** 2).sum(2)).max(1).sum())
             for s in range(0, len(q), 64):
                 lookup = np.einsum("qd,mwd->mqw", q[s : s + 64].astype(np.float32), books, optimize=True)
                 guess = np.zeros((len(lookup[0]), len(ids)), np.float32)
                 for k in range(m):
                     guess += lookup[k][:, codes[:, k]]
+                dot = guess
                 if metric == "l2":
                     guess = 2 * guess - norm.astype(np.float32)
                 elif metric == "cosine":
@@ -129,9 +148,24 @@ def _search(books: np.ndarray, metric: str, top: int, rerank: int):
                     pick = pick[ids[pick] != qid[s + k]]
                     score = exact_scores(q[s + k], x[pick], metric)
                     best = np.lexsort((ids[pick], -score))[:top]
-                    out[0].append(np.full(len(best), qid[s + k]))
-                    out[1].append(ids[pick][best])
-                    out[2].append(score[best])
+                    pick, score = pick[best], score[best]
+                    most = bounds(dot[k].astype(np.float64), inexact * np.sqrt((q[s + k] ** 2).sum()), q[s + k], length, norm, rest, metric)
+                    last = score[-1] if len(pick) == top else -np.inf
+                    more = np.flatnonzero((most >= last) & (ids != qid[s + k]))
+                    more = more[np.argsort(-most[more], kind="stable")]
+                    for a in range(0, len(more), PIECE):
+                        last = score[-1] if len(pick) == top else -np.inf
+                        some = more[a : a + PIECE]
+                        if most[some[0]] < last:
+                            break
+                        some = np.setdiff1d(some[most[some] >= last], pick)
+                        pick = np.concatenate((pick, some))
+                        score = np.concatenate((score, exact_scores(q[s + k], x[some], metric)))
+                        best = np.lexsort((ids[pick], -score))[:top]
+                        pick, score = pick[best], score[best]
+                    out[0].append(np.full(len(pick), qid[s + k]))
+                    out[1].append(ids[pick])
+                    out[2].append(score)
         cat = [np.concatenate(v) if v else np.zeros(0) for v in out]
         return pa.table([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], names=names)
 
@@ -145,7 +179,7 @@ def usable(v: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray] | None:
-    """The written index (vec_id, vec, codes, norm) and the codebooks; None if no vector is usable.
+    """The written index (vec_id, vec, codes, norm, rest) and the codebooks; None if no vector is usable.
 
     vectors: vec_id long, embedding array; other columns are ignored. Null vectors, zero vectors, vectors with null
     or non-finite components, with another length than the most common one of the sample, or with a null vec_id take
@@ -160,7 +194,7 @@ def build_index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, beam
     dim = int(sizes.argmax())
     x = _matrix(picked.filter(pa.compute.equal(picked.column("dim"), dim)).column("embedding").combine_chunks(), dim).astype(np.float32)
     learnt = train(x, books, words, beam)
-    index = rows.where(F.size("embedding") == dim).mapInArrow(_encoder(learnt, beam), "vec_id long, vec binary, codes binary, norm double")
+    index = rows.where(F.size("embedding") == dim).mapInArrow(_encoder(learnt, beam), "vec_id long, vec binary, codes binary, norm double, rest double")
     return materialize(index, "aq-index"), learnt
 
 

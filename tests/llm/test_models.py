@@ -94,6 +94,22 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id = 700")).collect() == []
 
 
+def test_neighbours_among_near_copies(spark):
+    """A third of the rows differ so little that their codes are the same; the nearest are found all the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3600, 16))
+    x[::3] = x[0] + 0.003 * rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for metric in ("ip", "l2", "cosine"):
+        got = {}
+        for r in ann.nearest(df, every=90, metric=metric, books=8, words=64).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert len(got) == 40
+        for q, found in got.items():
+            s = ann.exact_scores(x[q], x, metric)
+            assert found == [k for k in np.lexsort((np.arange(len(x)), -s)) if k != q][:20]
+
+
 def test_toxicity_and_obfuscation(spark):
     rng = random.Random(1)
     bad = ["idiot", "moron", "loser"]
