@@ -51,12 +51,21 @@ def canonical_labels(rows: DataFrame, by: list[str], key: str, label: str) -> Da
     return rows.join(first.withColumn("canonical", rank.cast("int")).drop("__first"), [*by, label])
 
 
-def nearest_parent_coverage(points: DataFrame, parents: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
-    """Traffic-weighted mean of the squared distance to the nearest chosen parent. parents: a bounded list of keys."""
-    chosen = points.join(parents.select(key).distinct(), key, "left_semi").agg(F.collect_list(F.struct(F.col(vector).alias("v"))).alias("__p"))
+def nearest_parent_coverage(points: DataFrame, parents: DataFrame, key: str, vector: str, weight: str, by: list[str] | None = None) -> DataFrame:
+    """by, coverage: traffic-weighted mean of the squared distance to the nearest chosen parent of the same group; ratio:
+    that over the mean squared distance of all pairs of the group, null if that is at most 1e-20 or there is no pair.
+    parents: a bounded list of keys. The pairs' mean is 2 n / (n - 1) times the sum of the dimensions' variances."""
+    by = by or []
+    own = points.join(parents.select(*by, key).distinct(), [*by, key], "left_semi")
+    chosen = own.groupBy(*by).agg(F.collect_list(F.struct(F.col(vector).alias("v"))).alias("__p"))
     dist = lambda p: F.aggregate(F.zip_with(F.col(vector), p["v"], lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    d = points.join(F.broadcast(chosen)).withColumn("__d", F.array_min(F.transform("__p", dist)))  # a layer's parents
-    return d.agg((F.sum(F.col(weight) * F.col("__d")) / F.sum(weight)).alias("coverage"))
+    d = points.join(F.broadcast(chosen), by, "left") if by else points.join(F.broadcast(chosen))
+    d = d.withColumn("__d", F.array_min(F.transform("__p", dist)))  # a layer's parents
+    cover = d.groupBy(*by).agg((F.sum(F.col(weight) * F.col("__d")) / F.sum(weight)).alias("coverage"))
+    per = points.select(*by, F.posexplode(vector).alias("dim", "x")).groupBy(*by, "dim").agg(F.count("*").alias("n"), F.var_pop(F.col("x").cast("double")).alias("var"))
+    pairs = per.groupBy(*by).agg((2 * F.max("n") / F.nullif(F.max("n") - 1, F.lit(0)) * F.sum("var")).alias("__a"))
+    both = cover.join(pairs, by, "left") if by else cover.join(pairs)  # one row each
+    return both.select(*by, "coverage", F.when(F.col("__a") > 1e-20, F.col("coverage") / F.col("__a")).alias("ratio"))
 
 
 def _distances(gram: np.ndarray) -> np.ndarray:

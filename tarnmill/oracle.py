@@ -79,6 +79,10 @@ s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(m * (m - 1)
 SELECT round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 9) AS adjusted_rand FROM s""",
     "canonical_labels": "WITH f AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY label), r AS (SELECT label, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS canonical FROM f) SELECT vec_id, canonical FROM embeddings JOIN r USING (label)",
     "parent_coverage": f"WITH {_POINTS}, p AS (SELECT * FROM points WHERE layer = 0), d AS (SELECT a.expert, any_value(a.traffic) AS w, min(list_distance(a.v, b.v) ** 2) AS d FROM p a, p b WHERE b.expert < 20 GROUP BY a.expert) SELECT round(sum(w * d) / sum(w), 6) AS coverage FROM d",
+    "parent_coverage_ratio": f"""WITH {_POINTS}, d AS (SELECT a.layer, a.expert, any_value(a.traffic) AS w, min(list_distance(a.v, b.v) ** 2) AS d FROM points a JOIN points b ON a.layer = b.layer AND b.expert < 20 GROUP BY ALL),
+c AS (SELECT layer, sum(w * d) / sum(w) AS coverage FROM d GROUP BY layer),
+m AS (SELECT a.layer, avg(list_distance(a.v, b.v) ** 2) AS a FROM points a JOIN points b ON a.layer = b.layer AND a.expert < b.expert GROUP BY a.layer)
+SELECT layer, round(coverage, 6) AS coverage, round(CASE WHEN a > 1e-20 THEN coverage / a END, 6) AS ratio FROM c JOIN m USING (layer)""",
     "method_summary": f"WITH {_RUNS}, r AS (SELECT method, seed, avg(value) AS v FROM runs GROUP BY ALL) SELECT method, count(v)::BIGINT AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM r GROUP BY method",
     "completeness": f"WITH {_RUNS}, m AS (SELECT DISTINCT method FROM runs), x AS (SELECT method, unnest(range(7))::INTEGER AS seed FROM m) SELECT method, seed, EXISTS (SELECT 1 FROM runs r WHERE r.method = x.method AND r.seed = x.seed) AS finished FROM x",
     "task_average": "WITH p AS (SELECT source, doc_id % 3 AS task, avg(quality) AS score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL) SELECT source, count(score)::BIGINT AS measured, round(CASE WHEN count(score) = 3 THEN 100 * avg(score) END, 6) AS average FROM p GROUP BY source",

@@ -216,6 +216,13 @@ def parent_coverage(spark, d):
     return grouping.nearest_parent_coverage(p, p.where("expert < 20"), "expert", "v", "traffic").select(_r("coverage").alias("coverage"))
 
 
+def parent_coverage_ratio(spark, d):
+    """All layers; parent_coverage is the numerator of layer 0."""
+    p = _expert_points(spark, d)
+    c = grouping.nearest_parent_coverage(p, p.where("expert < 20"), "expert", "v", "traffic", ["layer"])
+    return c.select("layer", _r("coverage").alias("coverage"), _r("ratio").alias("ratio"))
+
+
 # Results
 
 
@@ -424,7 +431,7 @@ QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
-    parent_coverage, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
+    parent_coverage, parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
     latest_status, run_stage, manifest_diff, lr_schedule, block_cross_entropy, probe_windows,
     probe_coordinates, conditional_prob, routing_totals, expert_dispatch, mean_gradient_energy, seed_stability, traffic_reallocation, plan_summary, plan_variants, micro_batches,
     evaluation_progress, merged_manifest, flattened_samples, preparation_costs, parameter_counts,

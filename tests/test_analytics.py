@@ -77,6 +77,19 @@ def test_clusters(spark):
     assert math.isclose(cov, (d * np.arange(1, 19)).sum() / 171, rel_tol=1e-9)
 
 
+def test_coverage_ratio_by_layer(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2, 9, 3)) + 5
+    rows = [(g, e, x[g, e].tolist(), e + 1) for g in range(2) for e in range(9)] + [(2, e, [0.1, 0.7, 0.3], 1) for e in range(3)] + [(3, 0, [1.0, 2.0, 3.0], 1)]
+    df = spark.createDataFrame(rows, "layer int, e int, v array<double>, t long")
+    got = {r["layer"]: (r["coverage"], r["ratio"]) for r in grouping.nearest_parent_coverage(df, df.where("e in (0, 4)"), "e", "v", "t", ["layer"]).collect()}
+    assert got[2] == got[3] == (0.0, None)
+    for g in range(2):
+        d = ((x[g][:, None] - x[g][None]) ** 2).sum(2)
+        near = (d[:, [0, 4]].min(1) * np.arange(1, 10)).sum() / 45
+        assert np.allclose(got[g], (near, near / d[np.triu_indices(9, 1)].mean()))
+
+
 def test_curves_and_summaries(spark):
     curve = spark.createDataFrame([("r", s * 8192, y) for s, y in ((0, 2.5), (512, 2.1), (1024, 1.9))], "run string, x long, y double")
     assert math.isclose(results.excess_auc(curve, ["run"], "x", "y", 2.0).first()["auc"], 1_468_006.4, rel_tol=1e-9)
