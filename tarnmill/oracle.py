@@ -17,6 +17,8 @@ summed AS (SELECT *, (sum(tokens) OVER (PARTITION BY split ORDER BY source_row)
 admitted AS (SELECT * FROM summed WHERE before_tokens < goal),
 spans AS (SELECT *, before_tokens AS token_start, least(before_tokens + tokens, goal)::BIGINT AS token_end, before_tokens + tokens > goal AS document_tail_truncated FROM admitted)"""
 
+_FULL = _CAND.replace("% 100)", "% 20480)").replace("< 80 THEN", "< 16384 THEN").replace("< 90 THEN", "< 18432 THEN").replace(f"THEN 80 ELSE 10 END * {BLOCK}", "THEN 16384 ELSE 2048 END * 2048")
+
 _PROB = f"""
 logits AS (SELECT vec_id, label, (embedding::DOUBLE[])[1:{DIM}] AS z FROM embeddings),
 exps AS (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM logits),
@@ -49,6 +51,12 @@ t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(t
 u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t)
 SELECT split, (pos // {BLOCK})::BIGINT AS block_id, count(*)::BIGINT AS tokens, sha256(string_agg(token, ' ' ORDER BY pos)) AS content_sha256 FROM u GROUP BY ALL""",
     "corpus_counters": f"WITH {_CAND} SELECT (SELECT count(*) FROM documents)::BIGINT AS rows_read, (SELECT count(*) FROM documents WHERE NOT regexp_matches(text, '\\S'))::BIGINT AS empty_skipped, (SELECT count(*) FROM admitted)::BIGINT AS admitted",
+    "full_quota_admission": f"WITH {_FULL} SELECT source_row, split, tokens, before_tokens FROM admitted",
+    "full_pack_spans": f"WITH {_FULL} SELECT split, source_row, token_start, token_end, document_tail_truncated FROM spans",
+    "full_pack_blocks": f"""WITH {_FULL},
+t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans),
+u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t)
+SELECT split, (pos // 2048)::BIGINT AS block_id, count(*)::BIGINT AS tokens, sha256(string_agg(token, ' ' ORDER BY pos)) AS content_sha256 FROM u GROUP BY ALL""",
     "calibration_sample": "SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64",
     "fit_check_partition": "WITH s AS (SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY draw, doc_id) <= 48 THEN 'fit' ELSE 'check' END AS phase FROM s",
     "list_digests": "SELECT conv_id, sha256('[' || string_agg(turn::VARCHAR, ', ' ORDER BY turn) || ']') AS digest FROM conversations GROUP BY conv_id",

@@ -10,6 +10,8 @@ from .operators import corpus, experts, grouping, moments, pack, results, routin
 from .plans.corpus_build import Recipe, packed, raw_documents
 
 RECIPE = Recipe()
+#: The reference's 20,480 blocks of 2,048 tokens, 41.9 million in all.
+FULL = Recipe(block_size=2048, blocks={"train": 16_384, "valid": 2_048, "test": 2_048}, calibration=512)
 DIM = 8  # components of an embedding that stand for router logits
 
 
@@ -81,6 +83,21 @@ def corpus_counters(spark, d):
     return corpus.counters_up_to(docs, raw_documents(docs, RECIPE), None)
 
 
+def full_quota_admission(spark, d):
+    return raw_documents(_docs(spark, d), FULL).select("source_row", "split", "tokens", F.col("before_tokens").cast("long").alias("before_tokens"))
+
+
+def full_pack_spans(spark, d):
+    spans, _ = packed(raw_documents(_docs(spark, d), FULL), FULL)
+    return spans.select("split", "source_row", F.col("token_start").cast("long").alias("token_start"), F.col("token_end").cast("long").alias("token_end"), "document_tail_truncated")
+
+
+def full_pack_blocks(spark, d):
+    """Of a split whose quota is not met, the last block can be shorter."""
+    _, blocks = packed(raw_documents(_docs(spark, d), FULL), FULL)
+    return blocks.select("split", "block_id", F.size("tokens").cast("long").alias("tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("content_sha256"))
+
+
 def calibration_sample(spark, d):
     return pack.sample(_t(spark, d, "documents").select("doc_id"), "doc_id", 64, 3).select("doc_id", "draw")
 
@@ -429,6 +446,7 @@ def parameter_counts(spark, d):
 
 QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
+    full_quota_admission, full_pack_spans, full_pack_blocks,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
     parent_coverage, parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,

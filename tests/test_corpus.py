@@ -134,3 +134,15 @@ def test_expectations(spark):
     with pytest.raises(ExpectationError):
         covers(spark.range(1, 4).withColumnRenamed("id", "k"), "k", 3)
     covers(spark.range(3).withColumnRenamed("id", "k"), "k", 3)
+
+
+def test_full_quota_packs_every_document(spark, tmp_path):
+    """More tokens than the 25,600 of the small recipe: none is dropped."""
+    from tarnmill import queries
+
+    rows = [(i, " ".join(f"w{i}" for _ in range(99))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = queries.queries()
+    assert q["full_quota_admission"](spark, str(tmp_path)).count() == 400
+    assert sum(r["token_end"] - r["token_start"] for r in q["full_pack_spans"](spark, str(tmp_path)).collect()) == 40_000
+    assert sum(r["tokens"] for r in q["full_pack_blocks"](spark, str(tmp_path)).collect()) == 40_000
