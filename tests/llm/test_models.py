@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -6,7 +7,7 @@ from collections import Counter
 import numpy as np
 from helpers import frame, rows, sentence
 
-from tarnmill.llm import ann, lm, mixing, quality, rules, toxicity
+from tarnmill.llm import ann, lm, mixing, quality, rules, seating, toxicity
 
 
 def test_language_model(spark):
@@ -41,34 +42,71 @@ def test_language_model_learns_from_whole_words(spark):
     assert got and sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
 
 
+def _tiny():
+    """Two leaf restaurants, each under a suffix context of its own, that share the root; two dishes."""
+    ups, places = [None, np.array([0, 1, 0, 1]), np.arange(4)], [np.zeros(2, int), np.array([0, 0, 1, 1]), np.array([0, 0, 1, 1])]
+    return np.array([3, 1, 2, 2]), ups, places, (0.5, 0.6, 0.7), (1.0, 2.0, 1.5)
+
+
+def test_gibbs_against_all_seatings():
+    """The averaged predictions are those of the sum over all table counts, weighted by their exact probabilities."""
+    c2, ups, places, d, s = _tiny()
+    stirling = [seating.log_stirling(10, x) for x in d]
+    rise = lambda a, step, n: sum(math.log(a + i * step) for i in range(int(n)))
+    total, want = 0.0, np.zeros(4)
+    for t2 in itertools.product(*(range(1, x + 1) for x in c2)):
+        c1 = np.bincount(ups[2], t2, minlength=4).astype(int)
+        for t1 in itertools.product(*(range(1, x + 1) for x in c1)):
+            c0 = np.bincount(ups[1], t1, minlength=2).astype(int)
+            for t0 in itertools.product(*(range(1, x + 1) for x in c0)):
+                log, p = -sum(t0) * math.log(3), 1 / 3
+                for k, (c, t) in enumerate(((c0, t0), (c1, t1), (c2, t2))):
+                    t = np.array(t)
+                    n, m = np.bincount(places[k], c), np.bincount(places[k], t)
+                    log += stirling[k][c, t].sum() + sum(rise(s[k], d[k], y) - rise(s[k], 1, x) for x, y in zip(n, m))
+                    p = (c - d[k] * t + (s[k] + d[k] * m[places[k]]) * (p[ups[k]] if k else p)) / (s[k] + n[places[k]])
+                total, want = total + math.exp(log), want + math.exp(log) * p
+    x, rng = seating.Seats(c2, [np.ones(2, int), np.ones(4, int), np.ones(4, int)], ups, places, [[4.0], [2.0, 2.0], [4.0, 4.0]], [[2.0], [2.0, 2.0], [2.0, 2.0]], d, s, 2), np.random.default_rng(0)
+    x.seat_all(rng)
+    draws = []
+    for _ in range(4000):
+        x.sweep(rng, 1, 8)
+        draws.append(x.predict())
+    assert np.abs(np.mean(draws[100:], 0) - want / total).max() < 0.005
+    for k in range(3):  # the totals stay those of the dishes
+        assert np.allclose(x.n[k], np.bincount(places[k], x.c[k])) and np.allclose(x.m[k], np.bincount(places[k], x.t[k]))
+
+
 def test_predictions_add_up():
-    """P(. | context) sums to 1 over the vocabulary and the unknown word."""
+    """P(. | context) sums to 1 over the vocabulary and the unknown word, also with large parties."""
     rng = np.random.default_rng(0)
-    word, ctx = np.repeat(np.arange(30), 4), np.tile(np.array([5, 261, 7, lm.START], np.uint32), 30)
-    c2 = rng.integers(0, 200, 120)
-    up, keys = lm._parents(word, ctx)
-    t2 = lm.sample_tables(c2, np.minimum(c2, 1), np.full(120, 30.0), np.full(120, 0.03), 0.8, 5.0, lm.log_stirling(lm.EXACT, 0.8), rng)
-    assert ((t2 <= c2) & ((t2 > 0) == (c2 > 0))).all()
-    c1 = np.bincount(up, t2).astype(int)
-    t1 = np.minimum(c1, 1 + (c1 > 5))
-    c0 = np.bincount(keys >> 9, t1).astype(int)
-    t0 = np.minimum(c0, 1)
-    n2, m2, n1, m1 = np.zeros(lm.CONTEXTS), np.zeros(lm.CONTEXTS), np.zeros(lm.PARENTS), np.zeros(lm.PARENTS)
-    np.add.at(n2, ctx, c2), np.add.at(m2, ctx, t2), np.add.at(n1, keys & 511, c1), np.add.at(m1, keys & 511, t1)
-    totals = ((n2, m2), (n1, m1), (np.array([c0.sum()]), np.array([t0.sum()])))
-    p0, p1, p2 = lm._predict(np.arange(30), word, ctx, c2, t2, t1, t0, up, keys, totals, 30)
-    (d0, d1, d2), (s0, s1, s2) = lm.DISCOUNT, lm.STRENGTH
-    u0 = (s0 + d0 * t0.sum()) / 31 / (s0 + c0.sum())
-    assert abs(p0.sum() + u0 - 1) < 1e-9
-    for k in (5, 261, 7, lm.START):
-        par = int(lm.parent_of(np.array(k)))
-        u1 = (s1 + d1 * m1[par]) * u0 / (s1 + n1[par])
-        assert abs(p2[ctx == k].sum() + (s2 + d2 * m2[k]) * u1 / (s2 + n2[k]) - 1) < 1e-9
-
-
-def test_stirling_by_hand():
-    s, d = lm.log_stirling(4, 0.5), 0.5
+    word, ctx = np.repeat(np.arange(30), 4), np.tile(np.array([5, 261, 7, lm.START]), 30)
+    c2 = rng.integers(0, 3000, 120)
+    t2 = np.minimum(c2, 1)
+    ups, places = [None, word, np.arange(120)], [np.zeros(30, int), ctx, np.tile(np.arange(4), 30)]
+    t0 = (np.bincount(word, t2) > 0).astype(int)
+    n, m = [[t2.sum()], np.bincount(ctx, t2, minlength=lm.CONTEXTS), np.bincount(places[2], c2)], [[t0.sum()], np.bincount(ctx, t2, minlength=lm.CONTEXTS), np.bincount(places[2], t2)]
+    x = seating.Seats(c2, [t0, t2, t2], ups, places, n, m, lm.DISCOUNT, lm.STRENGTH, 30)
+    x.seat_all(rng)
+    for _ in range(3):
+        x.sweep(rng)
+    assert all(((t <= c) & ((t > 0) == (c > 0))).all() for c, t in zip(x.c, x.t))
+    p, d, s = x.predict(), x.d, x.s
+    u0 = (s[0] + d[0] * x.m[0][0]) / 31 / (s[0] + x.n[0][0])
+    for k, c in enumerate((5, 261, 7, lm.START)):
+        u1 = (s[1] + d[1] * x.m[1][c]) * u0 / (s[1] + x.n[1][c])
+        assert abs(p[places[2] == k].sum() + (s[2] + d[2] * x.m[2][k]) * u1 / (s[2] + x.n[2][k]) - 1) < 1e-9
+
+
+def test_stirling_numbers():
+    s, d = seating.log_stirling(4, 0.5), 0.5
     assert np.allclose(np.exp(s[3, 1:4]), [(1 - d) * (2 - d), 3 * (1 - d), 1])
+    for d in (0.3, 0.8):  # beyond the table's edge they go on
+        s = seating.log_stirling(4000, d, 400)
+        c, t = np.array([200, 2000, 4000, 4000, 3999, 3000, 5, 1500]), np.array([2, 5, 50, 150, 390, 380, 5, 1])
+        assert np.abs(seating.log_s(c, t, d) - s[c, t]).max() < 0.6
+        want = np.exp(s[c - 1, t - 1] - s[c, t])
+        assert np.abs(seating.alone(c, t, d) - want).max() < 1e-3
 
 
 def test_neighbours(spark):
