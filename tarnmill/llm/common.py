@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -23,25 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (tests) a temporary folder is made and set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir. Only where that is unset a temporary folder is made and set, and only if driver
+    and executors are one process (as in tests): on a cluster an unset folder is an error."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="tarnmill-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnmill-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
+#: Paths of the tables that materialize() has written in this process and release() has not deleted.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back; this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnmill_path = path
     return out
 
 
+def written() -> int:
+    """How many tables are written just now; a mark for release_since()."""
+    return len(_WRITTEN)
+
+
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes all tables that were written after the mark, but for those to keep: for callers whose result is written."""
+    stay = {getattr(df, "_tarnmill_path", None) for df in keep}
+    for path in [p for p in _WRITTEN[mark:] if p not in stay]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     for _ in range(2):
@@ -54,9 +82,7 @@ def release(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_tarnmill_path", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def bounded_sample(df: DataFrame, n: int, *keys: str, salt: int = 0) -> DataFrame:
@@ -132,7 +158,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     edges: (a long, b long), in any direction, with repeats and loops. Returns (node, root): every node that
-    has an edge to another, with the smallest node that it reaches. Edges stay distributed; a hub is joined by
+    has an edge to another, with the smallest node that it reaches, as a written table. Edges stay distributed; a hub is joined by
     a sort-merge join whose large side Spark can split, and its minimum is combined before the shuffle.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
@@ -149,4 +175,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "components")
+    release(e)
+    return out

@@ -1,23 +1,24 @@
 """MinHash near-duplicate detection by an inverted join of signature coordinates.
 
 Method. Every document becomes its set of 64-bit shingle hashes and a signature of K minima. Documents with
-equal sets form one node, so that exact copies cost one row. Each node is posted under each (coordinate, value)
-pair. A pair of nodes collides in as many postings as their signatures agree in; pairs with at least T
-collisions are kept. Two classical prunings keep the counting small:
+equal sets (by 128-bit digests) form one node, so that exact copies cost one row. Each node is posted under each
+(coordinate, value) pair. A pair of nodes collides in as many postings as their signatures agree in; pairs with at
+least T collisions are kept. Two classical prunings keep the counting small:
 
 * prefix: a pair with T collisions shares a posting among the s - T + 1 rarest of the s postings that a node
   shares with anyone, so only these are merged, and a node with s < T is done;
-* skip: postings of which all members already stand under one leader are not merged at all.
-
-A leader of a posting is its most central member (that with the largest sum of posting lengths: the text that
-the others were edited from). Each node joins the leader that it collides with most, if they collide T times.
-Pairs under one leader are compared in blocks of bounded size, within which a pair already connected is not
-compared again; pairs under different leaders come from the prefix join. All links are then confirmed on the
-full shingle sets, so signatures only ever propose. With K = 64 and T = 36 a pair at the similarity of 0.85
-collides less than 36 times with a probability of about 1e-8.
-
-Sizes: the sketch of a document has 64 integers; nothing grows with the square of a group except the count of
-blocks of 512 that a group of near copies with more members is cut into.
+* skip: postings of which all members stand in one component already are not merged at all, and members of a mixed
+  posting that stand in its largest component are not paired with each other.
+
+Components come from leaders first. A leader of a posting is its most central member (that with the largest sum of
+posting lengths: the text that the others were edited from). Each node is compared with the leader that it collides
+with most among those outside its component and not compared with yet; this is done again, a few times, while it links
+something. So a group of m near copies takes m comparisons. What is left in different components is compared pair by pair
+where it collides T times. All links are confirmed on the full shingle sets, so signatures only ever propose. With K = 64
+and T = 36 a pair at the similarity of 0.85 collides less than 36 times with a probability of about 1e-8.
+
+Sizes: the sketch of a document has 64 integers. Pairs of one component are formed with leaders only. Texts that are
+alike in signature but not similar enough are compared with all that they collide with, since any of them might link.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, components, materialize, mix64, release
 
 K, T = 64, 36
-BLOCK = 512
+#: How often nodes are compared with leaders before the rest is compared pair by pair.
+ROUNDS = 3
 _rng = np.random.default_rng(20240817)
 _XOR, _MUL = _rng.integers(0, 2**63, 256, np.uint64), _rng.integers(0, 2**63, 256, np.uint64) * 2 + 1
 
@@ -56,26 +58,29 @@ def signature(h: np.ndarray, k: int) -> np.ndarray:
     return out.view(np.int32)
 
 
-def node_of(h: np.ndarray) -> int:
+def node_of(h: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
     import hashlib
 
-    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def _sketch(size: int, k: int):
+def _sketch(size: int, k: int, carried: bool):
     def run(batches):
-        hashes = WordHashes()
+        from pyspark import TaskContext
+
+        hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, n, node, sig = b.column(0), [], [], []
+            n, node, sig = [], [], []
             for text in b.column(1):
                 h = shingle_set(text.as_py(), size, hashes)
                 n.append(len(h))
                 node.append(node_of(h) if len(h) else None)
                 sig.append(signature(h, k) if len(h) else None)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "node", "sig"],
-            )
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            cols = [rows, b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], names=["row", "doc_id", "text", "n_shingles", "node", "sig", "own"][: 6 + carried])
 
     return run
 
@@ -84,11 +89,7 @@ def _sets(size: int):
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            h = [shingle_set(t.as_py(), size, hashes) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(x) if len(x) else None for x in h], pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())],
-                names=["node", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), size, hashes).tobytes() for t in b.column(1)], pa.binary())], names=["id", "hashes"])
 
     return run
 
@@ -113,59 +114,103 @@ def _confirm(percent: int):
     return run
 
 
-def _confirm_block(percent: int):
-    """All links between the members of two blocks of one leader, as a forest: a pair that is connected already is skipped."""
-
-    def run(t: pa.Table) -> pa.Table:
-        node, grp = t.column("node").to_pylist(), t.column("grp")[0].as_py()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
-        size, n = np.array([len(x) for x in sets]), len(sets)
-        part = np.array(t.column("blk").to_pylist())
-        par = np.arange(n)
-
-        def root(x):
-            while par[x] != x:
-                par[x] = par[par[x]]
-                x = par[x]
-            return x
-
-        vocab, owner_at = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(owner_at, kind="stable")
-        starts = np.searchsorted(owner_at[order], np.arange(len(vocab) + 1))
-        owners = np.repeat(np.arange(n), size)[order]
-        flat, ends = owner_at, np.cumsum(size)
-        out_a, out_b = [], []
-
-        def compare(x: int, others: np.ndarray | None):
-            el = flat[ends[x] - size[x] : ends[x]]
-            at, ln = starts[el], starts[el + 1] - starts[el]
-            take = np.repeat(at - np.concatenate(([0], np.cumsum(ln)[:-1])), ln) + np.arange(ln.sum())
-            inter = np.bincount(owners[take], minlength=n)
-            ok = _linked(inter, size, size[x], percent)
-            ok[x] = False
-            if others is not None:
-                ok &= others
-            for y in np.nonzero(ok)[0]:
-                p, q = root(x), root(y)
-                if p != q:
-                    par[max(p, q)] = min(p, q)
-                    out_a.append(node[x])
-                    out_b.append(node[y])
-
-        lead = node.index(grp) if grp in node else -1
-        if lead >= 0:
-            compare(lead, None)
-        home = root(lead) if lead >= 0 else -1
-        rest = [x for x in range(n) if root(x) != home]
-        two = len(set(part[part >= 0])) > 1
-        for x in rest:  # one side of each pair that is left stands in no component with the leader
-            compare(x, (part != part[x]) if two else None)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+def _sketched(docs: DataFrame, shingle: int, k: int, own: list | None = None) -> DataFrame:
+    """The written sketch: row (a number of its own), doc_id, text, n_shingles, node, sig and the columns to carry as `own`."""
+    more = [] if own is None else [F.struct(*own).alias("own")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    schema = "row long, doc_id long, text string, n_shingles long, node binary, sig array<int>"
+    if more:
+        schema += f", own {dict(docs.dtypes)['own']}"
+    return materialize(docs.mapInArrow(_sketch(shingle, k, bool(more)), schema), "sketch")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked on their full sets."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _with_component(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return nodes.withColumn("comp", F.col("id"))
+    return nodes.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _led(active: DataFrame, comp: DataFrame | None, tested: DataFrame | None, t: int) -> DataFrame:
+    """(a, b): each node with the leader that it collides with most, T times at least, in another component."""
+    each = _with_component(active.select("id", "central", F.explode("kvs").alias("kv")), comp)
+    heads = each.groupBy("kv").agg(F.max(F.struct("central", "id", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    met = each.select("id", "comp", "kv").join(heads.select("kv", F.col("h.id").alias("lead"), F.col("h.comp").alias("over")), "kv").where("comp != over")
+    met = met.groupBy("id", "lead").agg(F.count("*").alias("hits"))
+    if tested is not None:
+        met = met.join(tested.select(F.col("a").alias("id"), F.col("b").alias("lead")), ["id", "lead"], "left_anti")
+    best = met.groupBy("id").agg(F.max(F.struct("hits", "lead")).alias("b")).select(F.col("id").alias("a"), F.col("b.lead").alias("b"))
+    x, y = active.select(F.col("id").alias("a"), F.col("kvs").alias("x")), active.select(F.col("id").alias("b"), F.col("kvs").alias("y"))
+    return best.join(x, "a").join(y, "b").where(F.size(F.array_intersect("x", "y")) >= t).select("a", "b")
+
+
+def _across(active: DataFrame, comp: DataFrame | None, percent: int, t: int) -> DataFrame:
+    """(a, b): all pairs of different components with T collisions, each once, found by their prefixes."""
+    each = _with_component(active.select("id", "n", "kvs"), comp).withColumn("kv", F.explode(F.slice("kvs", F.lit(1), F.size("kvs") - t + 1)))
+    per = each.groupBy("kv", "comp").agg(F.count("*").alias("c")).groupBy("kv").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"))
+    each = each.join(per.where("comps > 1").select("kv", F.col("m.comp").alias("major")), "kv")
+    x = each.where("comp != major").select(*(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp", "kvs", "kv")))
+    y = each.select(*(F.col(c).alias(f"{c}_y") for c in ("id", "n", "comp", "kvs", "kv", "major")))
+    common = F.array_intersect("kvs_x", "kvs_y")
+    return x.join(
+        y.hint("merge"),
+        (F.col("kv_x") == F.col("kv_y"))
+        & (F.col("comp_x") != F.col("comp_y"))
+        & ((F.col("comp_y") == F.col("major_y")) | (F.col("id_x") < F.col("id_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & (F.size(common) >= t)
+        & (F.get(common, F.lit(0)) == F.col("kv_x")),  # the rarest posting in common: each pair once
+    ).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
-    return run
 
+def _components_of(sketch: DataFrame, shingle: int, percent: int, t: int, rounds: int) -> DataFrame:
+    """node, first: for each node the struct (anonymous, doc_id, row) of the first row of its component, rows with a doc_id
+    before those without; a written table."""
+    first = F.struct(F.col("doc_id").isNull().alias("anonymous"), F.col("doc_id"), F.col("row"))
+    classes = sketch.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("id", F.col("first.row")), "classes")
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, t: int = T) -> DataFrame:
+    # Postings, with the lengths of those that have two nodes or more.
+    posted = classes.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("kv"))
+    lengths = posted.groupBy("kv").agg(F.count("*").alias("df")).where("df > 1")
+    shared = posted.join(lengths, "kv").groupBy("id").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "kv"))).alias("ps")).where(F.size("ps") >= t)
+    active = materialize(shared.select("id", "n", F.transform("ps", lambda p: p["kv"]).alias("kvs"), F.aggregate("ps", F.lit(0).cast("long"), lambda s, p: s + p["df"]).alias("central")), "active")
+    sets = materialize(sketch.join(active.select(F.col("id").alias("row")), "row", "left_semi").select("row", "text").mapInArrow(_sets(shingle), "id long, hashes binary"), "sets")
+
+    links, tested, comp, temporary = None, None, None, [classes, active, sets]
+    for _ in range(rounds):
+        led = materialize(_led(active, comp, tested, t), "led")
+        new = materialize(_compared(led, sets, percent), "links")
+        temporary += [led, new]
+        tested = led if tested is None else tested.union(led)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        comp = components(links)
+        temporary.append(comp)
+    new = materialize(_compared(_across(active, comp, percent, t), sets, percent), "links")
+    temporary.append(new)
+    if not new.isEmpty():
+        comp = components(new if links is None else links.union(new))
+        temporary.append(comp)
+    if comp is None:
+        out = classes.select("node", "first")
+    else:
+        moved = classes.select("id", "first").join(comp.select(F.col("node").alias("id"), "root"), "id")
+        least = moved.groupBy("root").agg(F.min("first").alias("least"))
+        out = classes.select("node", "id", "first").join(moved.select("id", "root").join(least, "root").select("id", "least"), "id", "left").select("node", F.coalesce("least", "first").alias("first"))
+    # Written, so that joins with it read two plain shuffles and Spark can split that of a text with very many copies.
+    out = materialize(out, "components")
+    release(*temporary)
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, t: int = T, rounds: int = ROUNDS) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     docs: doc_id long, text string; other columns are ignored. Returns doc_id, n_shingles, component_id (the
@@ -174,67 +219,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     Repeated rows are copies of each other; if a doc_id is repeated, each of its rows keeps its own text. An
     empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch(shingle, k), "doc_id long, n_shingles long, node long, sig array<int>"), "sketch")
-    classes = sketch.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
-
-    # Postings, with the lengths of those that have two nodes or more.
-    posted = classes.select("node", "n", "rep", F.posexplode("sig").alias("c", "v")).select("node", "n", "rep", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("kv"))
-    lengths = posted.groupBy("kv").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(lengths, "kv").groupBy("node").agg(F.min("n").alias("n"), F.min("rep").alias("rep"), F.array_sort(F.collect_list(F.struct("df", "kv"))).alias("ps")).where(F.size("ps") >= t)
-    active = materialize(
-        shared.select("node", "n", "rep", F.transform("ps", lambda p: p["kv"]).alias("kvs"), F.aggregate("ps", F.lit(0).cast("long"), lambda s, p: s + p["df"]).alias("central")), "active"
-    )
-
-    # One leader for each node: that of most of its postings.
-    each = active.select("node", "central", F.explode("kvs").alias("kv"))
-    heads = each.groupBy("kv").agg(F.max(F.struct("central", "node")).alias("h")).select("kv", F.col("h.node").alias("lead"))
-    met = each.select("node", "kv").join(heads, "kv").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("hits"))
-    best = met.groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("b")).select("node", F.col("b.lead").alias("lead"))
-    a, b = active.select("node", "kvs"), active.select(F.col("node").alias("lead"), F.col("kvs").alias("lead_kvs"))
-    star = materialize(best.join(a, "node").join(b, "lead").where(F.size(F.array_intersect("kvs", "lead_kvs")) >= t).select("node", "lead"), "star")
-
-    # The sets of the nodes at hand, from the text of each node's first document.
-    sets = docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "node long, hashes binary")
-    sets = materialize(sets.where("node is not null").join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    # Pairs under one leader, in blocks.
-    members = star.select(F.col("lead").alias("grp"), "node").union(star.select(F.col("lead").alias("grp"), F.col("lead").alias("node")).distinct())
-    blocks = star.groupBy(F.col("lead").alias("grp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    members = members.join(blocks, "grp").withColumn("blk", F.when(F.col("node") == F.col("grp"), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
-    others = F.expr("case when blk < 0 then flatten(transform(sequence(0, nb - 1), i -> transform(sequence(i, nb - 1), j -> struct(i as i, j as j)))) else transform(sequence(0, nb - 1), j -> struct(least(blk, j) as i, greatest(blk, j) as j)) end")
-    placed = members.join(sets, "node").withColumn("p", F.explode(others)).select("grp", "node", "hashes", "blk", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    within = placed.groupBy("grp", "i", "j").applyInArrow(_confirm_block(percent), "a long, b long")
-
-    # Pairs under different leaders: prefixes, without postings that have one leader only.
-    led = active.join(star, "node", "left").select("node", "n", "kvs", F.coalesce("lead", "node").alias("lead"))
-    prefix = led.select("node", "n", "lead", "kvs", F.explode(F.slice("kvs", F.lit(1), F.size("kvs") - t + 1)).alias("kv"))
-    mixed = prefix.groupBy("kv").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).where("lo < hi").select("kv")
-    prefix = prefix.join(mixed, "kv", "left_semi")
-    x = prefix.select(*(F.col(c).alias(f"{c}_x") for c in ("node", "n", "lead", "kvs")), "kv")
-    y = prefix.select(*(F.col(c).alias(f"{c}_y") for c in ("node", "n", "lead", "kvs")), "kv")
-    common = F.array_intersect("kvs_x", "kvs_y")
-    cross = x.join(
-        y.hint("merge"),
-        (x.kv == y.kv)
-        & (F.col("node_x") < F.col("node_y"))
-        & (F.col("lead_x") != F.col("lead_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & (F.size(common) >= t)
-        & (F.get(common, F.lit(0)) == x.kv),  # the rarest posting in common: each pair once
-    ).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    across = cross.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long")
-
-    comp = components(within.union(across))
-    first = active.select("node", "rep").join(comp, "node")
-    least = first.groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = first.join(least, "root").select("node", "component_id")
-    final = classes.select("node", "rep").join(moved, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    # Written, so that the join below reads two plain shuffles and Spark can split that of a text with very many copies.
-    final = materialize(final, "final")
-    release(classes, active, star, sets)
-    out = sketch.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    sketch = _sketched(docs, shingle, k)
+    found = _components_of(sketch.where("doc_id is not null"), shingle, percent, t, rounds)
+    out = sketch.select("doc_id", "n_shingles", "node").join(found.select("node", F.col("first.doc_id").alias("component_id")), "node", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, t: int = T, rounds: int = ROUNDS) -> DataFrame:
+    """docs without near copies: of each component its first row stays, with all its columns.
+
+    The first row is that with the smallest doc_id; rows without a doc_id come after all others and are documents like
+    them. Rows that repeat a doc_id are judged by their own texts. Rows without shingles (null or empty texts) are no
+    copies of each other and stay. An empty table stays empty.
+    """
+    sketch = _sketched(docs, shingle, k, docs.columns)
+    found = _components_of(sketch, shingle, percent, t, rounds)
+    gone = sketch.where("node is not null").select("row", "node").join(found.select("node", F.col("first.row").alias("stays")), "node").where("row != stays").select("row")
+    return sketch.select("row", "own").join(gone, "row", "left_anti").select(*(F.col("own")[c].alias(c) for c in docs.columns))

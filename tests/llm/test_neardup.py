@@ -4,7 +4,7 @@ import pytest
 from helpers import frame, rows, sentence
 
 from tarnmill.llm.common import components
-from tarnmill.llm.neardup import near_duplicates
+from tarnmill.llm.neardup import deduplicated, near_duplicates
 
 
 def sets(data, size):
@@ -44,9 +44,9 @@ def test_equals_all_pairs(spark, size, percent):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(data, size, percent)
 
 
-def test_chains_and_groups_beyond_a_block(spark, monkeypatch):
-    """Copies of copies that are linked through others only, in a group of several blocks."""
-    monkeypatch.setattr("tarnmill.llm.neardup.BLOCK", 8)
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_chains_and_groups(spark, rounds):
+    """Copies of copies that are linked through others only; the same links with any number of rounds of leaders."""
     rng = random.Random(4)
     base = sentence(rng, 150).split()
     data = [(0, " ".join(base), "en", "a", 1)]
@@ -55,10 +55,34 @@ def test_chains_and_groups_beyond_a_block(spark, monkeypatch):
         for _ in range(rng.randrange(1, 5)):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         data.append((k, " ".join(w), "en", "a", 1))
-    got = sorted((tuple(r) for r in near_duplicates(frame(spark, data), 3, 85).collect()), key=repr)
+    got = sorted((tuple(r) for r in near_duplicates(frame(spark, data), 3, 85, rounds=rounds).collect()), key=repr)
     assert got == brute(data, 3, 85)
 
 
+def test_large_group_of_near_copies(spark):
+    """Twenty thousand edits of one text: compared with leaders, not with each other."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(20_000):
+        w = list(base)
+        w[rng.randrange(3, 57)] = f"x{k}"
+        texts.append((k, " ".join(w), "en", "a", 1))
+    got = near_duplicates(frame(spark, texts + [(30_000, " ".join(base), "en", "a", 1)]), 3, 85)
+    assert got.where("component_id = 0").count() == 20_001
+
+
+def test_rows_that_stay(spark):
+    """One row of each component, whole; rows are told apart by themselves and not by their doc_id."""
+    a, b = sentence(random.Random(1), 60), sentence(random.Random(2), 60)
+    data = [(1, a, "en", "s", 1), (5, a, "de", "s", 2), (5, b, "en", "t", 3), (None, b, "fr", "s", 4), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (7, None, "en", "s", 6), (8, "", "en", "s", 7), (7, None, "en", "s", 6)]
+    docs = frame(spark, data)
+    got = deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 5), (1, 1), (5, 3), (7, 6), (7, 6), (8, 7)]
+    assert deduplicated(docs.where("doc_id = 99")).collect() == []
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
 
