@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnmill.llm import mixing, neardup, packing, quality, rules
-from tarnmill.llm.common import materialize, table
+from tarnmill.llm.common import materialize, release_since, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,25 +21,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base limits or are multivariate outliers go.
-
-    Verdicts are joined back by doc_id: rows without one go, and rows that share one stay if one of them is kept.
-    """
-    verdict = rules.judge(docs)
-    return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that fail the base limits or are multivariate outliers go; each row is judged by itself, a null doc_id
+    included."""
+    return rules.judge(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id.
-
-    Rows without a doc_id go. Rows that repeat both doc_id and text are one document; their texts are shuffled for
-    that only if a doc_id occurs twice at all.
-    """
-    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept")
-    if kept.where("n > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies stays: the row with the smallest doc_id, rows without one after all
+    others. Rows are told apart by themselves: those that share a doc_id are judged by their own texts."""
+    return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def target_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written for itself is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
+    begun = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        release_since(spark, begun, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
