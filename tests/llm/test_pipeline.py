@@ -32,9 +32,18 @@ def test_empty_corpus(spark, tmp_path):
 
 
 def test_near_copies_and_repeated_rows(spark, tmp_path):
+    """Verdicts belong to rows: a rejected row does not come back with another one of its doc_id."""
     long = " ".join(f"w{i}" for i in range(60))
-    data = [(4, long, "en", "s", 1), (4, long, "en", "s", 1), (2, long, "en", "s", 1), (7, long + " end", "en", "s", 1), (9, "another text", "en", "s", 1), (9, "another text", None, None, None), (None, "no id at all", "en", "s", 1)]
+    data = [(4, long, "en", "s", 1), (4, long, "en", "s", 1), (2, long, "en", "s", 1), (7, long + " end", "en", "s", 1), (9, "another text", "en", "s", 1), (9, long, None, None, None), (None, "no id at all", "en", "s", 1), (None, long, "en", "s", 1)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     got = cp.near_dedup(spark, docs, str(tmp_path))
-    assert sorted(r["doc_id"] for r in got.collect()) == [2, 9]
+    assert sorted(tuple(r)[:2] for r in got.where("doc_id is not null").collect()) == [(2, long), (9, "another text")]
+    assert [r["text"] for r in got.where("doc_id is null").collect()] == ["no id at all"]
     assert cp.near_dedup(spark, docs.where("doc_id = 2"), str(tmp_path)).count() == 1
+
+
+def test_rules_judge_rows(spark, tmp_path):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    data = [(1, good, "en", "s", 1), (1, bad, "en", "s", 1), (None, good, "en", "s", 1), (None, bad, "en", "s", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(repr, (tuple(r)[:2] for r in cp.quality_rules(spark, docs, str(tmp_path)).collect()))) == sorted(map(repr, [(1, good), (None, good)]))
