@@ -44,15 +44,17 @@ def test_equals_all_pairs(spark, size, percent):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(data, size, percent)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_chains_and_groups(spark, rounds):
-    """Copies of copies that are linked through others only; the same links with any number of rounds of leaders."""
+@pytest.mark.parametrize(("rounds", "crowd"), [(0, 64), (1, 64), (3, 64), (0, 4), (1, 4), (3, 4)])
+def test_chains_and_groups(spark, monkeypatch, rounds, crowd):
+    """Copies of copies that are linked through others only; the same links with any number of rounds of leaders and whatever
+    counts as a crowd."""
+    monkeypatch.setattr("tarnmill.llm.neardup.CROWD", crowd)
     rng = random.Random(4)
     base = sentence(rng, 150).split()
     data = [(0, " ".join(base), "en", "a", 1)]
-    for k in range(1, 60):
+    for k in range(1, 90):
         w = list(base) if k % 3 else data[-1][1].split()
-        for _ in range(rng.randrange(1, 5)):
+        for _ in range(rng.randrange(1, 9)):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         data.append((k, " ".join(w), "en", "a", 1))
     got = sorted((tuple(r) for r in near_duplicates(frame(spark, data), 3, 85, rounds=rounds).collect()), key=repr)
