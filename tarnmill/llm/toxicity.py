@@ -37,10 +37,11 @@ FOLDS, HELD, CALIBRATION = 5, 0, 4
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
 SEPARATORS = set(".-_~*'`,:;/\\ ")
 SIGN_COST, REPEAT_COST, SEPARATOR_COST = 1.5, 0.7, 0.5
-_ODD = re.compile(r"[a-z].*[0-9@$!|+(<*#%&].*|[0-9@$!|+(<*#%&].*[a-z]|(.)\1\1|[a-z]([.\-_~*'`,:;/\\])[a-z]\2[a-z]", re.S)
+#: A suspicious string holds a letter and a sign or digit, or a character three times running, or letters set apart by one sign.
+_SIGN, _LETTER = re.compile(r"[0-9@$!|+(<*#%&]"), re.compile(r"[a-z]")
+_ODD = re.compile(r"(.)\1\1|[a-z]([.\-_~*'`,:;/\\])[a-z]\2[a-z]", re.S)
 _EDGES = re.compile(r"^[^a-z0-9@$!|(<*]+|[^a-z0-9@$|*]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 64  # characters of a suspicious string that one lattice spans; longer ones are decoded in pieces
 
 
 def fold(token: str) -> str:
@@ -91,11 +92,12 @@ def char_model(texts: DataFrame) -> np.ndarray:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest clean string for a folded token: Viterbi over the lattice of what its characters stand for."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest clean string for a folded token of any length: Viterbi over the lattice of what its characters stand for."""
+    # The best path to each pair of last symbols: its score and its letters, as a chain from the last one back.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for c in token:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         steps: list[tuple[str, float]] = []
         if c.isalpha():
             steps.append((c, 0.0))
@@ -111,23 +113,28 @@ def decode(token: str, model: np.ndarray) -> str:
             for letter, cost in steps:
                 if letter:
                     s = symbol(letter)
-                    key, q, o = (b, s), p - cost + model[a, b, s], out + letter
+                    key, q, o = (b, s), p - cost + model[a, b, s], (letter, out)
                 else:
                     key, q, o = (a, b), p - cost, out
                 if key not in nxt or q > nxt[key][0]:
                     nxt[key] = (q, o)
         paths, last = nxt, c
-    return max((p + model[a, b, 0], o) for (a, b), (p, o) in paths.items())[1]
+    _, chain = max(((p + model[a, b, 0], o) for (a, b), (p, o) in paths.items()), key=lambda x: x[0])
+    letters = []
+    while chain:
+        letter, chain = chain
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restored(token: str, model: np.ndarray) -> list[str]:
     """The decoded forms of a folded token, if it is suspicious."""
     core = _EDGES.sub("", token)
-    if len(core) < 3 or not _ODD.search(core) or not any("a" <= c <= "z" for c in core):
+    if len(core) < 3 or not _LETTER.search(core) or not (_SIGN.search(core) or _ODD.search(core)):
         return []
-    out = [w for s in range(0, len(core), LONGEST) if (w := decode(core[s : s + LONGEST], model))]
+    word = decode(core, model)
     # The lattice keeps a run of letters if the model likes it; the collapsed form is a reading too.
-    return list(dict.fromkeys(out + [re.sub(r"(.)\1+", r"\1", w) for w in out]))
+    return [w for w in dict.fromkeys((word, re.sub(r"(.)\1+", r"\1", word))) if w]
 
 
 def forms(token: str, model: np.ndarray) -> list[str]:
@@ -173,8 +180,7 @@ class Reader:
                         run.append(t)
                     else:
                         if len(run) > 2:
-                            for s in range(0, len(run), LONGEST - 8):
-                                flat.append(numbers.setdefault(" ".join(run[s : s + LONGEST]), len(numbers)))
+                            flat.append(numbers.setdefault(" ".join(run), len(numbers)))
                         run = []
             ends.append(len(flat))
         read = []
@@ -285,7 +291,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     empty one and gets the score of a text without toxic words. Rows with a null doc_id are scored and count as held
     out; labels with a null doc_id or a null label are not learnt from, and of repeated labels the largest holds.
     Repeated rows are scored as often as they occur. Without labels of both kinds every score is the prior (0.5
-    without any). An empty table gives an empty result.
+    without any); if the calibration fold alone lacks a kind, the score is calibrated on all labelled rows that may be
+    learnt from. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold_of = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
@@ -299,9 +306,19 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     t, o = np.zeros(BUCKETS), np.zeros(BUCKETS)
     t[gram[gram >= 0]], o[gram[gram >= 0]] = toxic[gram >= 0], other[gram >= 0]
     weights = gram_weights(t, o, n1, n0)
-    feats = learnt.where(F.col("fold") == CALIBRATION).select("toxic", "text").mapInArrow(_features(model, weights, ["toxic"]), "toxic int, heaviest double, weight double").toArrow()
-    x, y = np.column_stack([feats.column("heaviest").to_numpy(), feats.column("weight").to_numpy()]), np.minimum(feats.column("toxic").to_numpy(), 1).astype(float)
-    w = fit_logistic(x, y, 0.1) if len(y) else np.zeros(3)
+    counts = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("k")).first()
+
+    def fitted(rows: DataFrame) -> np.ndarray | None:
+        feats = rows.select("toxic", "text").mapInArrow(_features(model, weights, ["toxic"]), "toxic int, heaviest double, weight double").toArrow()
+        x, y = np.column_stack([feats.column("heaviest").to_numpy(), feats.column("weight").to_numpy()]), np.minimum(feats.column("toxic").to_numpy(), 1).astype(float)
+        return fit_logistic(x, y, 0.1) if len(np.unique(y)) > 1 else None
+
+    w = None
+    if 0 < counts["k"] < counts["n"]:
+        w = fitted(learnt.where(F.col("fold") == CALIBRATION))
+        w = fitted(learnt) if w is None else w
+    if w is None:
+        w = np.array([30 * np.sign(2 * counts["k"] - counts["n"]) if counts["k"] in (0, counts["n"]) else np.log(counts["k"] / (counts["n"] - counts["k"])), 0.0, 0.0])
     z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("heaviest") + F.lit(float(w[2])) * F.col("weight")
     out = docs.select("doc_id", "text").mapInArrow(_features(model, weights, ["doc_id"]), "doc_id long, heaviest double, weight double")
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))

@@ -172,6 +172,34 @@ def test_toxicity_and_obfuscation(spark):
     none = toxicity.score(frame(spark, data[:3]), lab.where("doc_id < 0")).collect()
     assert [r["score"] for r in none] == [0.5] * 3
     assert toxicity.score(frame(spark, []), lab).collect() == []
+    clean = toxicity.score(frame(spark, data[1:4]), lab.where("toxic = 0")).collect()  # labels of one kind: the prior
+    assert [r["predicted"] for r in clean] == [0] * 3
+
+
+def test_decoding_is_the_best_path():
+    """Against all readings of a string; and a string of any length is one lattice."""
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.ones(28), (28, 28)))
+
+    def readings(token):
+        out, last = [("", 0.0)], ""
+        for c in token:
+            steps = [(c, 0.0)] + [("", toxicity.REPEAT_COST)] * (c == last) if c.isalpha() else [(x, toxicity.SIGN_COST) for x in toxicity.LEET.get(c, "")]
+            if not c.isalpha():
+                steps += [("", toxicity.SEPARATOR_COST)] if c in toxicity.SEPARATORS or c not in toxicity.LEET else [("", toxicity.REPEAT_COST)] * (c == last)
+            out, last = [(w + x, p - cost) for w, p in out for x, cost in steps], c
+        return out
+
+    def value(word, p):
+        s = [0, 0, *map(toxicity.symbol, word), 0]
+        return p + sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:]))
+
+    for token in ("1d10t", "h*ll0", "aaab*c", "l.0.s.3r", "x--y!!z"):
+        best = max(value(w, p) for w, p in readings(token))
+        got = toxicity.decode(token, model)
+        assert abs(max(value(w, p) for w, p in readings(token) if w == got) - best) < 1e-9
+    long = toxicity.decode("z1" * 3000 + "m", model)
+    assert set(long) <= set("zilm") and len(long) == 6001
 
 
 def test_quality_co_training(spark):
