@@ -4,14 +4,15 @@ All of it is DataFrame functions. The counts are made inside a row, so no word i
 hashed by doubling (pairs, fours, eights), and only texts that hold a window twice sort them.
 
 For each language and source the centre and scatter of seven transformed statistics are estimated by concentration
-steps: starting from medians and quartile ranges, each step takes the three quarters of the documents that are nearest
-by Mahalanobis distance and computes their mean and covariance. Distances are binned (32 bins per doubling), and a
-step is one aggregation by group and bin with a partial sum before the shuffle, so a source with a third of all rows
-is no hot key. The covariance is factored by Cholesky in unrolled column expressions. Documents whose distance
-exceeds a cutoff are rejected.
-
-Languages and sources with fewer than `least` documents are pooled by language, and those languages that remain
-smaller than that are pooled altogether; a pool with fewer than 30 documents rejects nothing.
+steps: each takes the three quarters of the documents that are nearest by Mahalanobis distance and computes their mean
+and covariance. There are two starts, medians with quartile ranges and plain moments; of the two results a group takes
+that with the smaller determinant. Distances are binned (32 bins per doubling), and a step is one aggregation by group
+and bin with a partial sum before the shuffle, so a source with a third of all rows is no hot key. The covariance is
+factored by Cholesky in unrolled column expressions. Documents whose distance exceeds a cutoff are rejected; the cutoff
+is chi-square's quantile at a tail of `TAIL`.
+
+Groups of all sizes are treated alike: to the moments of a group those of its language are added with the weight of
+`POOL[0]` documents, and those of all documents with the weight of `POOL[1]`, so a small group leans on its language.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics in the vector, and the standard deviation that each has at least.
 STATS = {"x0": 0.15, "x1": 0.05, "x2": 0.045, "x3": 0.25, "x4": 0.25, "x5": 0.15, "x6": 0.06}
 P = len(STATS)
-H, STEPS, LEAST, SMALL = 0.75, 5, 200, 30
-#: Squared distances above this reject: far beyond chi-square's tail for seven statistics, since clean texts have heavier ones.
-CUTOFF = 42.0
+H, STEPS = 0.75, 4
+#: The share of normally distributed documents that the cutoff rejects: next to none, since clean texts have heavier tails.
+TAIL = 5e-7
+#: Documents that the moments of a group's language, and those of all documents, count like.
+POOL = (30.0, 10.0)
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -119,6 +122,21 @@ def _distance(rows: DataFrame) -> Column:
     return rows.withColumn("d2", total).drop(*(f"z{i}" for i in range(P)))
 
 
+_SUMS = [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i in range(P) for j in range(i + 1)]
+
+
+def _pooled(moments: DataFrame, pool: tuple[float, float]) -> DataFrame:
+    """Adds the mean moments of the group's language and of all groups, with the weights of `pool`."""
+    if not any(pool):
+        return moments
+    mean = lambda c, name: (F.sum(c) / F.sum("n")).alias(f"{name}_{c}")
+    own = moments.withColumn("g", F.col("key.lang"))
+    langs, every = own.groupBy("g").agg(*(mean(c, "l") for c in _SUMS)), own.agg(*(mean(c, "a") for c in _SUMS))
+    out = own.join(langs, "g").join(F.broadcast(every))  # one row
+    more = {c: F.col(c) + pool[0] * F.col(f"l_{c}") + pool[1] * F.col(f"a_{c}") for c in _SUMS}
+    return out.withColumns(more).withColumn("n", F.col("n") + sum(pool)).select(*moments.columns)
+
+
 def _factor(moments: DataFrame, scale: float) -> DataFrame:
     """key, n, means and the Cholesky factor of scale * covariance plus the floors, from sums of products."""
     m = moments.select("key", "n", "size", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(f"s{i}{j}" for i in range(P) for j in range(i + 1)))
@@ -148,52 +166,66 @@ def _start(rows: DataFrame) -> DataFrame:
     return g.select("key", "size", *(f"m{i}" for i in range(P)), *((diag(i) if i == j else F.lit(0.0)).alias(_entry(i, j)) for i in range(P) for j in range(i + 1)))
 
 
-def _concentrate(rows: DataFrame, fit: DataFrame, share: float, scale: float) -> DataFrame:
+def _products() -> list[Column]:
+    return [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, pool: tuple[float, float] = POOL) -> DataFrame:
+    """Plain means and covariances of each group."""
+    return _factor(_pooled(rows.groupBy("key").agg(F.count("*").cast("double").alias("n"), F.count("*").alias("size"), *_products()), pool), 1.0)
+
+
+def _concentrate(rows: DataFrame, fit: DataFrame, share: float, scale: float, pool: tuple[float, float] = POOL) -> DataFrame:
     """One concentration step: the moments of the nearest `share` of each group."""
     near = _distance(rows.join(fit.drop("size"), "key")).withColumn("bin", F.floor(32 * F.log2(F.col("d2") + 1e-6)).cast("int"))
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
     # Written, so that the sums are dealt out by group and bin: a window over groups would pull their shuffle to the group.
-    bins = materialize(near.groupBy("key", "bin").agg(F.count("*").alias("n"), *sums), "rule-bins")
+    bins = materialize(near.groupBy("key", "bin").agg(F.count("*").alias("n"), *_products()), "rule-bins")
     w = Window.partitionBy("key")
     bins = bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("size", F.sum("n").over(w))
-    names = ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}{j}" for i in range(P) for j in range(i + 1)]
-    kept = bins.where(F.col("before") < share * F.col("size")).groupBy("key").agg(F.max("size").alias("size"), *(F.sum(c).alias(c) for c in names))
-    return _factor(kept, scale)
+    kept = bins.where(F.col("before") < share * F.col("size")).groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.max("size").alias("size"), *(F.sum(c).alias(c) for c in _SUMS))
+    return _factor(_pooled(kept, pool), scale)
+
+
+def _smallest(fits: list[DataFrame]) -> DataFrame:
+    """For each group that of its fits with the smallest determinant."""
+    log = sum((F.log(_entry(i, i)) for i in range(1, P)), F.log(_entry(0, 0)))
+    names = [c for c in fits[0].columns if c != "key"]
+    both = fits[0].union(fits[1]).select("key", F.struct(F.round(log, 9).alias("d"), *names).alias("f"))
+    return both.groupBy("key").agg(F.min("f").alias("f")).select("key", *(F.col(f"f.{c}").alias(c) for c in names))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, steps: int = STEPS, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, tail: float = TAIL, steps: int = STEPS, pool: tuple[float, float] = POOL, carry: list[str] | None = None) -> DataFrame:
     """The base counts, base_failed, the squared distance and kept for every document.
 
     docs: doc_id long, text string, lang string, source string; other columns are ignored unless carried. Returns
     doc_id (or the columns to carry), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance and kept. Null and empty texts have no words and fail. Null languages and sources are groups of their
-    own. Repeated rows are judged alike and count as often as they occur; null doc_ids change nothing. An empty table
-    gives an empty result.
+    distance and kept. Null and empty texts have no words, no distance, and fail. Null languages and sources are groups
+    of their own. Repeated rows are judged alike and count as often as they occur; null doc_ids change nothing. An empty
+    table gives an empty result.
     """
     carry = carry or ["doc_id"]
-    view = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)), F.col("text"), F.concat(F.lit("l"), F.col("lang").cast("string")).alias("__lang"), F.concat(F.lit("s"), F.col("source").cast("string")).alias("__source"))
+    key = F.struct(F.concat(F.lit("l"), F.col("lang").cast("string")).alias("lang"), F.concat(F.lit("s"), F.col("source").cast("string")).alias("source"))
+    key = F.struct(F.coalesce(key["lang"], F.lit("-")).alias("lang"), F.coalesce(key["source"], F.lit("-")).alias("source"))
+    view = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)), F.col("text"), key.alias("key"))
     counted = base_statistics(view, extra=True)
     keep = [f"__c{k}" for k in range(len(carry))]
-    stats = materialize(counted.withColumns(_statistics()).select(*keep, "__lang", "__source", *BASE, *STATS), "rule-statistics")
-    lang, source = F.coalesce("__lang", F.lit("-")), F.coalesce("__source", F.lit("-"))
-    sizes = stats.groupBy(lang.alias("g_lang"), source.alias("g_source")).agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    pooled = F.sum(small).over(Window.partitionBy("g_lang"))
-    key = F.when(F.col("n") >= least, F.concat("g_lang", F.lit("\n"), "g_source")).when(pooled >= least, F.col("g_lang")).otherwise("")
+    stats = materialize(counted.withColumns(_statistics()).select(*keep, "key", *BASE, *STATS), "rule-statistics")
+    numbers = stats.where("n_words > 0").select("key", *STATS)
     # Group tables are written as few files, or their footers alone would make them look too large for a broadcast.
-    files = max(1, -(-sizes.count() // 10_000))
-    keys = materialize(sizes.select("g_lang", "g_source", key.alias("key")).repartition(files), "rule-groups")
-    rows = stats.join(keys, (lang == F.col("g_lang")) & (source == F.col("g_source"))).drop("g_lang", "g_source")
-    numbers = rows.where("n_words > 0").select("key", *STATS)
+    files = max(1, -(-numbers.select("key").distinct().count() // 10_000))
     q = chi2_quantile(H, P)
     scale = H / chi2_cdf(q, P + 2)
-    fit = materialize(_start(numbers).repartition(files), "rule-fit")
-    for _ in range(steps):
-        nxt = materialize(_concentrate(numbers, fit, H, scale).repartition(files), "rule-fit")
-        release(fit)
-        fit = nxt
-    out = _distance(rows.join(fit, "key", "left"))
-    bad = base_failed()
-    far = (F.col("size") >= SMALL) & (F.col("d2") > cutoff)
+    fits = []
+    for start in (_start(numbers), _moments(numbers, pool)):
+        fit = materialize(start.repartition(files), "rule-fit")
+        for _ in range(steps):
+            nxt = materialize(_concentrate(numbers, fit, H, scale, pool).repartition(files), "rule-fit")
+            release(fit)
+            fit = nxt
+        fits.append(fit)
+    best = materialize(_smallest(fits).repartition(files), "rule-fit")
+    release(*fits)
+    out = _distance(stats.join(best, "key", "left"))
+    bad, far = base_failed(), F.col("d2") > chi2_quantile(1 - tail, P)
     final = out.withColumn("base_failed", bad).withColumn("kept", ~bad & ~F.coalesce(far, F.lit(False)))
-    return final.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)), *BASE, "base_failed", F.col("d2").alias("distance"), "kept")
+    return final.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)), *BASE, "base_failed", F.when(F.col("n_words") > 0, F.col("d2")).alias("distance"), "kept")

@@ -239,7 +239,7 @@ def brute_counts(t):
 def test_rules(spark):
     rng = random.Random(5)
     data = rows(7, 300) + [(7000 + k, " ".join(f"{w}$$$" for w in sentence(rng, 60).split()), "en", "a", 1) for k in range(5)]
-    got = rules.judge(frame(spark, data), least=60).collect()
+    got = rules.judge(frame(spark, data)).collect()
     want = sorted(((r[0], *brute_counts(r[1])) for r in data), key=repr)
     assert sorted((tuple(r)[:6] for r in got), key=repr) == want
     for r in got:
@@ -251,23 +251,66 @@ def test_rules(spark):
     assert rules.judge(frame(spark, [])).collect() == []
 
 
+def _fit(x, weight, scale):
+    """Mean and Cholesky factor of weighted rows."""
+    m = (x * weight[:, None]).sum(0) / weight.sum()
+    cov = scale * ((x * weight[:, None]).T @ x / weight.sum() - np.outer(m, m))
+    return m, np.linalg.cholesky(np.diag(np.maximum(np.diag(cov), 0)) + np.tril(cov, -1) + np.tril(cov, -1).T + np.diag([v * v for v in rules.STATS.values()]))
+
+
+def _away(x, fit):
+    z = np.linalg.solve(fit[1], (x - fit[0]).T)
+    return (z * z).sum(0)
+
+
 def test_determinants_against_numpy(spark):
-    """The factor of one concentration step is that of the covariance of the nearest three quarters."""
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, rules.P))
-    rowsdf = spark.createDataFrame([("g", *map(float, v)) for v in x], "key string, " + ", ".join(f"x{i} double" for i in range(rules.P)))
-    start = rules._start(rowsdf)
-    first = start.first().asDict()
-    for i in range(rules.P):
-        assert abs(first[f"m{i}"] - np.median(x[:, i])) < 0.02
-    fit = rules._concentrate(rowsdf, start, 1.0, 1.0).first().asDict()
-    cov = np.cov(x.T, bias=True) + np.diag([v * v for v in rules.STATS.values()])
-    factor = np.linalg.cholesky(cov)
-    assert np.allclose([[fit[f"l{i}{j}"] if j <= i else 0 for j in range(rules.P)] for i in range(rules.P)], factor)
-    d2 = rules._distance(rowsdf.join(spark.createDataFrame([fit]).drop("size"), "key")).orderBy("x0").select("x0", "d2").collect()
-    inv = np.linalg.inv(cov)
-    want = sorted((v[0], float((v - x.mean(0)) @ inv @ (v - x.mean(0)))) for v in x)
-    assert np.allclose([tuple(r) for r in d2], want)
+    """The verdicts of three groups, one of them of five documents, by the same steps in NumPy."""
+    rng, n = np.random.default_rng(1), {("len", "sa"): 400, ("len", "sb"): 5, ("lde", "sa"): 150}
+    x = {g: rng.normal(size=(k, rules.P)) @ np.diag(rng.uniform(0.5, 2, rules.P)) + rng.normal(size=rules.P) for g, k in n.items()}
+    for v in x.values():
+        v[::7] += 9
+    schema = "key struct<lang:string,source:string>, " + ", ".join(f"x{i} double" for i in range(rules.P))
+    numbers = spark.createDataFrame([((*g,), *map(float, r)) for g, v in x.items() for r in v], schema)
+    scale = rules.H / rules.chi2_cdf(rules.chi2_quantile(rules.H, rules.P), rules.P + 2)
+    keys = list(x)
+
+    def pooled(weights, scale):
+        out = {}
+        for g in keys:
+            lang = [h for h in keys if h[0] == g[0]]
+            mass = lambda hs: sum(weights[h].sum() for h in hs)
+            total = {h: weights[h] * ((h == g) + rules.POOL[0] / mass(lang) * (h in lang) + rules.POOL[1] / mass(keys)) for h in keys}
+            out[g] = _fit(np.concatenate([x[h] for h in keys]), np.concatenate([total[h] for h in keys]), scale)
+        return out
+
+    def nearest(fits):
+        weights = {}
+        for g in keys:
+            bins = np.floor(32 * np.log2(_away(x[g], fits[g]) + 1e-6))
+            weights[g] = np.array([(bins < b).sum() < rules.H * len(bins) for b in bins]).astype(float)
+        return weights
+
+    def columns(df):
+        rows = {tuple(r["key"]): r for r in df.collect()}
+        return {g: (np.array([rows[g][f"m{i}"] for i in range(rules.P)]), np.array([[rows[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(rules.P)] for i in range(rules.P)])) for g in keys}
+
+    first = columns(rules._start(numbers))
+    for g in keys:
+        assert np.abs(first[g][0] - np.sort(x[g], 0)[(len(x[g]) + 1) // 2 - 1]).max() < 0.01
+    results = []
+    for start, want in ((rules._start(numbers), first), (rules._moments(numbers), pooled({g: np.ones(len(x[g])) for g in keys}, 1.0))):
+        for _ in range(2):
+            start, want = rules.materialize(rules._concentrate(numbers, start, rules.H, scale)), pooled(nearest(want), scale)
+        got = columns(start)
+        assert all(np.allclose(got[g][k], want[g][k]) for g in keys for k in (0, 1))
+        results.append((start, want))
+    best = columns(rules._smallest([r[0] for r in results]))
+    for g in keys:
+        a, b = (r[1][g] for r in results)
+        want = a if round(np.log(np.diag(a[1])).sum(), 9) <= round(np.log(np.diag(b[1])).sum(), 9) else b
+        assert np.allclose(best[g][1], want[1])
+    cut = rules.chi2_quantile(1 - 0.001, rules.P)
+    assert all(_away(x[g], best[g])[::7].min() > cut for g in keys[::2])  # outliers do not hide each other
     assert abs(rules.chi2_quantile(0.95, 7) - 14.0671) < 1e-3
 
 
