@@ -154,8 +154,8 @@ def write_archives(pages: DataFrame, least: int = 100, level: int = 3, sample_re
     pages: page_id long, url string, html string; other columns are ignored. A null html is an empty payload. A
     null url has no target header. Pages with a null page_id are archived, but no other page refers to them; if
     all copies of a payload have a null page_id, all are responses. Rows that repeat the page_id of a response are
-    responses too. An empty table gives no archive. The dictionary is trained on at most sample_records records
-    of at most sample_bytes each, of the pages with the smallest hashes of their page_id.
+    responses too. An empty table gives no archive. The dictionary is trained on at most sample_records records, of the
+    pages with the smallest hashes of their page_id, and of these on the first characters that fit into sample_bytes.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
@@ -164,7 +164,8 @@ def write_archives(pages: DataFrame, least: int = 100, level: int = 3, sample_re
     kind = F.when(F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), "response").otherwise("revisit")
     marked = rows.join(firsts, "digest", "left").withColumn("kind", kind)
     ids = bounded_sample(pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id is not null"), sample_records, "page_id").distinct()
-    picked = rows.where(F.col("bytes") <= sample_bytes).join(F.broadcast(ids), "page_id", "left_semi").orderBy("page_id", "digest").limit(sample_records).collect()  # at most sample_records numbers
+    picked = rows.join(F.broadcast(ids), "page_id", "left_semi").orderBy("page_id", "digest").limit(sample_records)  # at most sample_records numbers
+    picked = picked.withColumn("html", F.substring("html", 1, sample_bytes // 4)).collect()
     dictionary = train_dictionary([record_bytes(r["page_id"], r["url"], r["html"], r["digest"], "response", None, r["bytes"]) for r in picked])
     archives = marked.select("page_id", "url", "html", "digest", "bytes", "kind", "first").mapInArrow(_writer(dictionary, level, archive_bytes), "archive string, records long, content binary")
     return materialize(archives, "archives")

@@ -224,6 +224,33 @@ def test_quality_co_training(spark):
     assert quality.classify(frame(spark, []), lab).collect() == []
 
 
+def test_co_training_against_one_table(spark):
+    """The distributed pool hands over the rows that sorting the whole pool would."""
+    rng = np.random.default_rng(5)
+    n = 700
+    y = (rng.random(n) < 0.6).astype(int)
+    num, length = rng.normal(size=(n, quality.N_TEXT)) + y[:, None] * 0.7, rng.normal(size=(n, 1)) + y[:, None]
+    cat = np.column_stack([rng.integers(0, 5, n) + 3 * y, rng.integers(0, 3, n)])
+    num[600:650], cat[600:650], length[600:650] = num[600], cat[600], length[600]  # ties
+    pool, own, fold = np.arange(200, n), np.arange(200), rng.choice([1, 2, 3, 4, 6, 7], n)
+    data = [(int(k), -1, -1, num[k].tolist(), int(cat[k, 0]), int(cat[k, 1]), float(length[k, 0])) for k in pool]
+    df = spark.createDataFrame(data, quality._FEATURES).repartition(5)
+    tie = {r["row"]: r["t"] for r in df.selectExpr("row", "xxhash64(num, source, lang, length) as t").collect()}
+
+    def brute(text, meta, most):
+        out = []
+        for z in (text.logit(num[pool], np.zeros((len(pool), 0), np.int64)), meta.logit(length[pool], cat[pool])):
+            p = np.round(quality.sigmoid(z), 9)
+            rank = lambda conf: [(int(pool[i]), num[pool[i]], cat[pool[i]], length[pool[i]]) for i in sorted(range(len(pool)), key=lambda i: (-conf[i], tie[int(pool[i])], pool[i])) if conf[i] >= quality.SURE][:most]  # noqa: E731, B023
+            out.append([rank(1 - p), rank(p)])
+        return out
+
+    a, b = (quality.co_train(num[own], cat[own], length[own], y[own], fold[own], f, rounds=3, take=40) for f in (brute, quality.confident_rows(df)))
+    assert np.allclose(a.text.w, b.text.w) and np.allclose(a.meta.w, b.meta.w) and np.allclose(a.blend, b.blend)
+    alone = quality.co_train(num[own], cat[own], length[own], y[own], fold[own], brute, rounds=0)
+    assert not np.allclose(alone.text.w, a.text.w)
+
+
 def brute_counts(t):
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]
     lines = [x for x in (t or "").split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
