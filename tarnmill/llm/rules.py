@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, release, words
+from .common import SPACE_CLASS, materialize, release, sweep, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics in the vector, and the standard deviation that each has at least.
@@ -223,6 +223,7 @@ def judge(docs: DataFrame, tail: float = TAIL, steps: int = STEPS, pool: tuple[f
             release(fit)
             fit = nxt
         fits.append(fit)
+        sweep(docs.sparkSession)
     best = materialize(_smallest(fits).repartition(files), "rule-fit")
     release(*fits)
     out = _distance(stats.join(best, "key", "left"))
