@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,16 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log probability of the target index under unnormalised logits."""
     top = F.array_max(logits)
     return F.log(array_sum(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.element_at(logits, target + 1)
+
+
+def causal_loss(rows: DataFrame, block: str, position: str, logits: str, token: str) -> DataFrame:
+    """block, targets, nll: the sum of the negative log probabilities that the logits at each position give the token at the
+    next one. The first token is no target, and the last position's logits are not used."""
+    following = F.lead(token).over(Window.partitionBy(block).orderBy(position))
+    d = rows.withColumn("__next", following).where("__next is not null")
+    return d.groupBy(block).agg(F.count("*").alias("targets"), F.sum(cross_entropy(F.col(logits), F.col("__next"))).alias("nll"))
+
+
+def is_whole(x: Column) -> Column:
+    """Whether a number is a positive integer, also one that is stored as a float."""
+    return F.coalesce((x > 0) & (x == F.floor(x)), F.lit(False))

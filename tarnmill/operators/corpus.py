@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest_modulo, not_blank, text_digest, word_tokens
+from .expect import ExpectationError, unique
+from .graph import components
 
 #: Rows of one chunk of a prefix sum.
 CHUNK = 65_536
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir, as a written table; tests without one use a temporary folder."""
-    spark: SparkSession = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one is made, but only if driver and executors are one
+    process; on a cluster an unset folder is an error."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        import tempfile
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnmill-"))
+        at = context.getCheckpointDir()
+    return at.rstrip("/")
+
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnmill-"))
-        at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def store(df: DataFrame, name: str) -> DataFrame:
+    """A checkpoint in the shared folder, as a written table."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tarnmill_path = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Deletes tables that store() wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_tarnmill_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -83,27 +104,47 @@ def quota(rows: DataFrame, counters: list[str], targets: dict[str, int], order:
     return d.where(least < goal)
 
 
-def two_key_dedup(rows: DataFrame, order: str = "source_row", text: str = "text_sha256", ident: str = "source_id", most: int = 50) -> DataFrame:
+def _in_turn(t: pa.Table) -> pa.Table:
+    """The rows that are admitted of a cluster, one after another."""
+    t, texts, ids, kept = t.sort_by("__order"), set(), set(), []
+    for text, ident in zip(t.column("__text").to_pylist(), t.column("__id").to_pylist()):
+        keep = text not in texts and (ident is None or ident not in ids)
+        kept.append(keep)
+        if keep:
+            texts.add(text)
+            ids.add(ident)
+    return t.filter(pa.array(kept, pa.bool_())).select(["__order"])
+
+
+def two_key_dedup(rows: DataFrame, order: str = "source_row", text: str = "text_sha256", ident: str = "source_id", rounds: int = 4) -> DataFrame:
     """First-come deduplication by two keys at once: a row is dropped if an *admitted* earlier row has its text or its
     non-empty id; dropped rows claim nothing.
 
     In each round a row is kept if it is the first undecided row of both of its keys, and undecided rows that share a
-    key with a kept row are dropped. Each round settles at least the first undecided row of every cluster, and almost
-    all clusters settle in the first round. The undecided rows are written to the shared folder between rounds.
+    key with a kept row are dropped. Almost all clusters settle in the first round. What a few rounds leave are clusters
+    in which one decision hangs on the next; these are found as connected components of rows and keys, and each is decided
+    in the order of its rows, whatever its length. The undecided rows are written to the shared folder between rounds.
     """
-    slim = rows.select(order, text, F.when(F.col(ident) == "", None).otherwise(F.col(ident)).alias(ident))
+    slim = rows.select(F.col(order).alias("__order"), F.col(text).alias("__text"), F.when(F.col(ident) == "", None).otherwise(F.col(ident)).alias("__id"))
     undecided, kept = slim, None
-    for _ in range(most):
-        by_text = undecided.groupBy(text).agg(F.min(order).alias("__t"))
-        by_id = undecided.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.min(order).alias("__i"))
-        seen = undecided.join(by_text, text).join(by_id, ident, "left")
-        new = store(seen.where((F.col(order) == F.col("__t")) & (F.col("__i").isNull() | (F.col(order) == F.col("__i")))).select(order, text, ident), "kept")
-        kept = new if kept is None else kept.union(new)
-        left = undecided.join(new.select(text), text, "left_anti").join(new.where(F.col(ident).isNotNull()).select(ident), ident, "left_anti")
-        undecided = store(left.select(order, text, ident), "undecided")
+    for _ in range(rounds):
+        by_text = undecided.groupBy("__text").agg(F.min("__order").alias("__t"))
+        by_id = undecided.where("__id is not null").groupBy("__id").agg(F.min("__order").alias("__i"))
+        seen = undecided.join(by_text, "__text").join(by_id, "__id", "left")
+        new = store(seen.where((F.col("__order") == F.col("__t")) & (F.col("__i").isNull() | (F.col("__order") == F.col("__i")))).select("__order", "__text", "__id"), "kept")
+        kept = new.select("__order") if kept is None else kept.union(new.select("__order"))
+        left = undecided.join(new.select("__text"), "__text", "left_anti").join(new.where("__id is not null").select("__id"), "__id", "left_anti")
+        before, undecided = undecided, store(left.select("__order", "__text", "__id"), "undecided")
+        drop_stored(before)
         if undecided.isEmpty():
-            return rows.join(kept.select(order), order, "left_semi")
-    raise RuntimeError("the deduplication did not settle")
+            break
+    else:
+        same = lambda key: undecided.where(f"{key} is not null").groupBy(key).agg(F.min("__order").alias("b"))
+        edges = [undecided.join(same(key), key).select(F.col("__order").alias("a"), "b") for key in ("__text", "__id")]
+        cluster = components(edges[0].union(edges[1]), store)
+        late = undecided.join(cluster.withColumnRenamed("node", "__order"), "__order").groupBy("root").applyInArrow(_in_turn, f"__order {dict(undecided.dtypes)['__order']}")
+        kept = kept.union(store(late, "kept"))
+    return rows.join(kept.withColumnRenamed("__order", order), order, "left_semi")
 
 
 def admit(docs: DataFrame, counters: list[str], targets: dict[str, int], seed: int, blocks: dict[str, int], order: str = "source_row", most: int = 20) -> DataFrame:
@@ -134,7 +175,8 @@ def _within(kept: DataFrame, counters, targets, order) -> DataFrame:
 
 def fill_rows(kept: DataFrame, counters: list[str], targets: dict[str, int], order: str = "source_row") -> dict[str, int | None]:
     """For each split the row at which all counters have reached the target, or None."""
-    d = running_sum(kept, counters, order, "split")
+    have = all(f"before_{c}" in kept.columns for c in counters)
+    d = kept if have else running_sum(kept, counters, order, "split")
     after = [F.col(f"before_{c}") + F.col(c) for c in counters]
     least = F.least(*after) if len(after) > 1 else after[0]
     goal = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
@@ -142,11 +184,51 @@ def fill_rows(kept: DataFrame, counters: list[str], targets: dict[str, int], ord
     return {k: got.get(k) for k in targets}
 
 
-def counters_up_to(docs: DataFrame, admitted: DataFrame, stop: int | None, order: str = "source_row") -> DataFrame:
-    """Rows read, blanks, admitted rows and the rest, for rows up to the stop row (all, if it is None)."""
-    d = docs if stop is None else docs.where(F.col(order) <= stop)
-    flagged = d.join(admitted.select(order, F.lit(True).alias("__in")), order, "left")
-    return flagged.agg(F.count("*").alias("rows_read"), F.count_if(~not_blank(F.col("text"))).alias("empty_skipped"), F.count_if(F.col("__in")).alias("admitted"))
+def stop_row(filled: dict[str, int | None]) -> int | None:
+    """The row at which all splits are full and reading stops; None if it goes on to the end."""
+    return None if any(v is None for v in filled.values()) else max(filled.values(), default=None)
+
+
+def corpus_counters(docs: DataFrame, admitted: DataFrame, filled: dict[str, int | None], counters: list[str], order: str = "source_row") -> DataFrame:
+    """One row per split: documents and totals of the counters, with rows read, blank rows and duplicates of the whole source.
+
+    Rows after the stop row are not read. A duplicate shares its text, or its non-empty source_id, with an admitted row
+    before it; a row that only finds its split full is none. docs: source_row, text and, if ids can repeat, source_id.
+    """
+    stop = stop_row(filled)
+    read = docs if stop is None else docs.where(F.col(order) <= stop)
+    if "source_id" not in read.columns:
+        read = read.withColumn("source_id", F.lit(""))
+    rows = read.select(order, F.coalesce(not_blank(F.col("text")), F.lit(False)).alias("__full"), text_digest(F.col("text")).alias("__text"), F.nullif("source_id", F.lit("")).alias("__id"))
+    own = admitted.withColumn("source_id", F.lit("")) if "source_id" not in admitted.columns else admitted
+    texts = own.groupBy(F.col("text_sha256").alias("__text")).agg(F.min(order).alias("__t"))
+    ids = own.where("source_id <> ''").groupBy(F.col("source_id").alias("__id")).agg(F.min(order).alias("__i"))
+    seen = rows.join(texts, "__text", "left").join(ids, "__id", "left")
+    twice = F.col("__full") & ((F.col("__t") < F.col(order)) | F.coalesce(F.col("__i") < F.col(order), F.lit(False)))
+    whole = seen.agg(F.count("*").alias("rows_read"), F.count_if(~F.col("__full")).alias("empty_skipped"), F.count_if(twice).alias("duplicates_skipped"))
+    splits = admitted.sparkSession.createDataFrame([(k, v) for k, v in filled.items()], "split string, fill_row long")
+    per = admitted.groupBy("split").agg(F.count("*").alias("documents"), *(F.sum(c).alias(c) for c in counters))
+    out = splits.join(per, "split", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ["documents", *counters]})
+    return out.join(F.broadcast(whole))  # one row
+
+
+def check_recovered(raw: DataFrame, counters: list[str], committed: DataFrame) -> DataFrame:
+    """What a restart finds written: an error if a text or a non-empty source_id occurs twice, or if documents and totals by
+    split are not those that were committed (split, documents and the counters)."""
+    for key in ("text_sha256", "source_id"):
+        unique(raw.where(F.col(key) != ""), key)
+    got = raw.groupBy("split").agg(F.count("*").alias("documents"), *(F.sum(c).alias(c) for c in counters)).where("documents > 0")
+    want = committed.where("documents > 0")
+    if got.select("split", "documents", *counters).exceptAll(want.select("split", "documents", *counters)).union(want.select("split", "documents", *counters).exceptAll(got.select("split", "documents", *counters))).limit(1).count():
+        raise ExpectationError("the written rows are not those that were committed")
+    return raw
+
+
+def local_shuffle(rows: DataFrame, order: str, buffer: int, seed: int) -> DataFrame:
+    """A seeded order in which no row comes more than `buffer` places late or early: adds `draw`, the row's number plus a
+    digest below `buffer`; rows go by draw, then by their number. No buffer is kept, so no task sees more than its rows."""
+    late = digest_modulo(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string")), 256), buffer)
+    return rows.withColumn("draw", F.col(order) + late)
 
 
 def token_counts(docs: DataFrame, name: str = "tokens") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouping import largest_remainder
+from .expect import expect, finite, guarded, unique
+from .grouping import greedy_copies, largest_remainder
+from .moments import vector_moments
 from .pack import sample
 
 
@@ -152,3 +154,101 @@ def parameter_counts(c: dict[str, Column]) -> tuple[Column, Column]:
     embedding = c["vocabulary"] * d * F.when(c["tied"], 1).otherwise(2)
     layer = c["experts"] * expert + shared + attention + norms + router
     return c["layers"] * layer + embedding, c["layers"] * c["new_experts"] * expert
+
+
+def descriptor(assigned: DataFrame, hidden: DataFrame, experts: DataFrame, by: list[str], expert: str, probability: str, vector: str) -> DataFrame:
+    """What is known of each expert: count, observed, mean vector mu, population deviations sigma, and a, its mean
+    probability when it was called. Experts (by, expert) without a call are an error, since their group cannot be planned.
+
+    assigned: by, expert and the probability of each call; hidden: by, expert and the vector of each call.
+    """
+    keys = [*by, expert]
+    calls = assigned.groupBy(*keys).agg(F.count("*").alias("count"), F.avg(probability).alias("a"))
+    m = vector_moments(hidden, keys, vector)
+    row = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x: x[c]).alias(c)
+    vectors = m.groupBy(*keys).agg(row("mu"), row("sigma"))
+    d = experts.select(*keys).join(calls, keys, "left").join(vectors, keys, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    d = d.withColumn("observed", F.col("count") > 0)
+    return guarded(d, F.col("observed"), "an expert was never called")
+
+
+def check_descriptor(d: DataFrame, totals: DataFrame, by: list[str], width: int) -> DataFrame:
+    """d, if every row has vectors of `width` finite components, deviations of 0 or more and a between 0 and 1 + 1e-6, and if
+    the counts of each group add up to `expected` of totals."""
+    good = lambda v: (F.size(v) == width) & F.forall(v, finite)
+    sums = d.groupBy(*by).agg(F.sum("count").alias("__n")).join(totals, by, "full_outer")
+    expect(sums, total=F.col("__n") == F.col("expected"))
+    return expect(d, observed=F.col("observed") == (F.col("count") > 0), mu=good(F.col("mu")), sigma=good(F.col("sigma")) & F.forall("sigma", lambda x: x >= 0), a=F.col("a").between(0, 1 + 1e-6))
+
+
+def check_probes(probes: DataFrame, partition: DataFrame, by: list[str], length: int) -> DataFrame:
+    """probes (by, block_id, token_pos), if they are distinct, lie within blocks of `length` and in blocks of the partition."""
+    unique(probes, *by, "block_id", "token_pos")
+    inside = probes.join(partition.select(*by, "block_id").distinct().withColumn("__in", F.lit(True)), [*by, "block_id"], "left")
+    expect(inside, partition=F.col("__in"), position=(F.col("token_pos") >= 0) & (F.col("token_pos") < length))
+    return probes
+
+
+def scored_plans(plans: DataFrame, scores: DataFrame, layer: str, budget: int, expert: str, score: str) -> DataFrame:
+    """The parents of each layer of the plans by that layer's scores, each at most three times; a layer without scores, or
+    with too few experts for the budget, is an error."""
+    chosen = greedy_copies(scores, budget, [layer], expert, score)
+    d = plans.select(layer).join(chosen, layer, "left")
+    d = d.withColumn("__n", F.count("parent").over(Window.partitionBy(layer)))
+    return guarded(d, F.col("__n") == budget, "a layer's scores do not fill the budget").drop("__n")
+
+
+def inherited_labels(parents: DataFrame, labels: DataFrame, by: list[str], old: int) -> DataFrame:
+    """Labels of all experts after a growth: old ones keep theirs, new ones, numbered from `old` in the order of their place,
+    take their parent's. parents: by, place (from 1), parent; labels: by, expert, label."""
+    new = parents.join(labels.withColumnRenamed("expert", "parent"), [*by, "parent"], "left")
+    new = guarded(new, F.col("label").isNotNull(), "a parent has no label")
+    return labels.select(*by, "expert", "label").union(new.select(*by, (F.lit(old - 1) + F.col("place")).alias("expert"), "label"))
+
+
+def distinct_parents(parents: DataFrame, by: list[str]) -> DataFrame:
+    return parents.groupBy(*by).agg(F.count("*").alias("new_experts"), F.count_distinct("parent").alias("unique_parents"))
+
+
+def check_plan(parents: DataFrame, by: list[str], old: int, budget: int) -> DataFrame:
+    """parents, if every group has `budget` of them, all between 0 and old - 1, at distinct places."""
+    unique(parents, *by, "place")
+    expect(parents, parent=F.col("parent").between(0, old - 1))
+    expect(parents.groupBy(*by).agg(F.count("*").alias("n")), budget=F.col("n") == budget)
+    return parents
+
+
+def stability_summary(stability: DataFrame, by: list[str]) -> DataFrame:
+    """The mean and the least adjusted Rand index over the pairs of seeds."""
+    return stability.groupBy(*by).agg(F.avg("adjusted_rand").alias("seed_ari_mean"), F.min("adjusted_rand").alias("seed_ari_min"))
+
+
+def plan_report(metrics: DataFrame, stability: DataFrame) -> DataFrame:
+    """One row per method: layers, seeds, and means that skip nulls; the deviation is that of the seeds' mean ratios.
+
+    metrics: method, seed, layer, ratio, null_mean, coverage, unique_parents; stability: method, layer, seed_ari_mean.
+    """
+    seeds = metrics.groupBy("method", "seed").agg(F.avg("ratio").alias("r")).groupBy("method").agg(F.stddev_samp("r").alias("ratio_seed_sd"), F.count("*").alias("plan_seeds"))
+    means = metrics.groupBy("method").agg(F.count_distinct("layer").alias("layers"), *(F.avg(c).alias(f"{c}_mean") for c in ("ratio", "null_mean", "coverage", "unique_parents")))
+    return means.join(seeds, "method").join(stability.groupBy("method").agg(F.avg("seed_ari_mean").alias("seed_ari_mean")), "method", "left")
+
+
+GIB = 1 << 30
+
+
+def resources(c: dict[str, Column], method: Column, warm: tuple[str, ...], keep_weights: Column) -> dict[str, Column]:
+    """GiB of accelerator, host and disk that a run needs at most. c: base and extra parameters, layers, experts, all_experts,
+    expert (parameters of one), width. The numbers are fixed allowances of the estimate."""
+    base, extra = c["base"].cast("double"), c["extra"].cast("double")
+    grown = method != "continue"
+    train = F.when(grown, extra + c["layers"] * c["all_experts"] * c["width"]).otherwise(base)
+    total = base + F.when(grown, extra).otherwise(0.0)
+    scored = (c["layers"] * c["experts"] * c["expert"]).cast("double")
+    load = 2 * base / GIB + 8
+    kept = F.when(keep_weights, 2 * F.when(grown, extra).otherwise(total)).otherwise(0.0) + F.when(method.isin(*warm), 2 * extra).otherwise(0.0)
+    case = lambda gradient, original, other: F.when(method == "gradient", gradient).when(method == "original", original).otherwise(other)
+    return {
+        "gpu_gib": case((2 * base + 2 * scored) / GIB + 12, 2 * base / GIB + 8, (2 * total + 2 * train) / GIB + 12),
+        "cpu_gib": case(F.greatest(load, 4 * scored / GIB + 16), load, F.greatest(load, (4 * train + 4 * train / c["layers"]) / GIB + 16)),
+        "disk_gib": case(F.lit(1.0), F.lit(2.0), (2.08 * 4 * train + kept) / GIB + 5),
+    }

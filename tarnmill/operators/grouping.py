@@ -164,6 +164,7 @@ def permutation_null(points: DataFrame, by: list[str], key: str, label: str, vec
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = np.array(pdf[vector].tolist(), float)
+        x = x - x.mean(0)
         dist, labels, rng = _distances(x @ x.T), pdf[label].to_numpy(), np.random.default_rng(seed)
         up = np.triu_indices(len(x), 1)
 
@@ -172,7 +173,10 @@ def permutation_null(points: DataFrame, by: list[str], key: str, label: str, vec
             return dist[up][same].mean() / dist[up].mean() if same.any() and dist[up].mean() > 1e-20 else np.nan
 
         draws = np.array([ratio(rng.permutation(labels)) for _ in range(repeats)])
-        return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), ratio(labels), draws.mean(), *np.quantile(draws, [0.05, 0.95])]], columns=[*by, "ratio", "null_mean", "null_q05", "null_q95"])
+        draws = draws[~np.isnan(draws)]  # permutations without a pair of one label, or of equal points, have no ratio
+        null = [draws.mean(), *np.quantile(draws, [0.05, 0.95])] if len(draws) else [None] * 3
+        own = ratio(labels)
+        return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), None if np.isnan(own) else own, *null]], columns=[*by, "ratio", "null_mean", "null_q05", "null_q95"])
 
     kinds = dict(points.dtypes)
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", ratio double, null_mean double, null_q05 double, null_q95 double"

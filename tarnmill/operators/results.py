@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expect import finite
+from .expect import finite, guarded
 
 
 def matrix(models: DataFrame, methods: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -69,7 +69,9 @@ def paired_delta(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Dat
 
 
 def block_groups(rows: DataFrame, by: list[str], block: str, value: str, size: int = 32) -> DataFrame:
-    """Means of contiguous groups of blocks."""
+    """Means of contiguous groups of blocks; a run whose number of blocks the size does not divide is an error."""
+    whole = F.count("*").over(Window.partitionBy(*by)) % size == 0
+    rows = guarded(rows.withColumn("__whole", whole), F.col("__whole"), f"the number of blocks is no multiple of {size}")
     return rows.groupBy(*by, F.floor(F.col(block) / size).alias("block_group")).agg(F.count("*").alias("blocks"), F.avg(value).alias("mean"))
 
 
@@ -120,3 +122,76 @@ def normalized_error(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Mean squared error over the mean square of the actual vectors."""
     d = rows.select(F.explode(F.arrays_zip(F.col(predicted).alias("p"), F.col(actual).alias("a"))).alias("z"))
     return d.agg((F.avg((F.col("z.p") - F.col("z.a")) ** 2) / F.greatest(F.avg(F.col("z.a") ** 2), F.lit(1e-12))).alias("nmse"))
+
+
+def largest(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The maximum of finite values; null where there is none."""
+    return rows.groupBy(*by).agg(F.max(F.when(finite(F.col(value).cast("double")), F.col(value))).alias("largest"))
+
+
+def run_name(model: Column, method: Column, seed: Column) -> Column:
+    return F.concat(model, F.lit("_"), method, F.lit("_seed"), seed.cast("string"))
+
+
+def run_status(jobs: DataFrame, complete: DataFrame, latest_: DataFrame, logged: DataFrame, marks: DataFrame, steps: int, tasks: int) -> DataFrame:
+    """Where each expected run (model, method, seed) stands, from what it has left behind.
+
+    complete: run, complete, final_step, tasks_done, test_ppl; latest_: run, checkpoint_step; logged: run, step; marks: run,
+    evaluated, warm, started, tasks_done, test_ppl. Absent rows are null. `original` runs have no steps.
+    """
+    d = jobs.withColumn("run", run_name(F.col("model"), F.col("method"), F.col("seed")))
+    report = complete.select("run", "complete", "final_step", F.col("tasks_done").alias("__t"), F.col("test_ppl").alias("__p"))
+    d = d.join(report, "run", "left").join(latest_.select("run", "checkpoint_step"), "run", "left").join(logged.select("run", F.col("step").alias("__s")), "run", "left").join(marks, "run", "left")
+    step = F.coalesce("final_step", F.greatest(F.coalesce("__s", F.lit(0)), F.coalesce("checkpoint_step", F.lit(0))))
+    total = F.when(F.col("method") == "original", 0).otherwise(steps)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    d = d.withColumns({"step": step.cast("long"), "total_steps": total.cast("long")})
+    at = F.when(yes("complete"), "complete").when(yes("evaluated"), "tasks/finalization").when((F.col("step") >= F.col("total_steps")) & (F.col("method") != "original"), "final evaluation")
+    at = at.when(F.col("step") > 0, "training").when(yes("warm"), "warm-start").when(yes("started"), "initialization/evaluation").otherwise("pending")
+    done = F.coalesce(F.col("__t"), F.col("tasks_done"), F.lit(0)).cast("long")
+    return d.select("run", "step", "total_steps", "checkpoint_step", done.alias("tasks_done"), F.lit(tasks).cast("long").alias("tasks_total"), F.coalesce("__p", "test_ppl").alias("test_ppl"), at.alias("stage"))
+
+
+def completed(status: DataFrame) -> DataFrame:
+    return status.agg(F.count_if(F.col("stage") == "complete").alias("completed"), F.count("*").alias("runs"))
+
+
+def recovery(curve: DataFrame, references: DataFrame, budgets: DataFrame, by: list[str]) -> DataFrame:
+    """Each run's curve against its own reference: first crossing in tokens, censoring, how far it was seen, and the area of
+    positive excess.
+
+    curve: by, step, nll, indices; references: by, reference, indices; budgets: by, final_step, input_tokens. Curves with
+    other indices than their reference, and budgets that are no positive whole number of tokens per step, are errors.
+    """
+    per = F.col("input_tokens") / F.col("final_step")
+    runs = guarded(budgets.select(*by, per.alias("per")), (F.col("per") > 0) & (F.col("per") == F.floor("per")), "a budget is no whole number of tokens a step")
+    d = runs.join(references.select(*by, "reference", F.col("indices").alias("__i")), by).join(curve, by, "left")
+    d = guarded(d, F.col("indices").isNull() | (F.col("indices") == F.col("__i")), "a curve has other validation indices than its reference")
+    d = d.withColumn("tokens", (F.col("step") * F.col("per")).cast("long"))
+    w = Window.partitionBy(*by).orderBy("step")
+    d = d.withColumn("__e", F.greatest(F.lit(0.0), F.col("nll") - F.col("reference")))
+    d = d.withColumns({"__pe": F.lag("__e").over(w), "__pt": F.lag("tokens").over(w)})
+    first = F.min(F.when(F.col("nll") <= F.col("reference"), F.col("tokens")))
+    return d.groupBy(*by).agg(
+        F.first("reference").alias("reference"),
+        first.alias("first_tokens"),
+        F.when(F.count("step") > 0, first.isNull()).alias("right_censored"),
+        F.coalesce(F.max("tokens"), F.lit(0)).alias("observed_tokens"),
+        F.sum((F.col("tokens") - F.col("__pt")) * (F.col("__e") + F.col("__pe")) / 2).alias("excess_auc"),
+    )
+
+
+def contrasts(blocks: DataFrame, method: str, first: str, keys: list[str], value: str) -> DataFrame:
+    """The differences of one method to every other one on the same rows, and the ratio that their mean stands for."""
+    ours = blocks.where(F.col(method) == first)
+    others = [r[0] for r in blocks.select(method).distinct().orderBy(method).collect() if r[0] != first]  # a few methods
+    out = None
+    for other in others:
+        d = paired_delta(ours, blocks.where(F.col(method) == other), keys, value).withColumn("contrast", F.lit(f"{first} - {other}"))
+        out = d if out is None else out.union(d)
+    return out
+
+
+def contrast_summary(deltas: DataFrame, seed: str) -> DataFrame:
+    d = deltas.groupBy("contrast").agg(F.count_distinct(seed).alias("paired_seeds"), F.avg("delta").alias("mean"))
+    return d.withColumn("ratio", F.exp("mean"))

@@ -57,29 +57,41 @@ def refine(rows: DataFrame, clusters: list[int], tau: float, exploration: float,
     A slot is unsure if its expert's probability within its cluster leads the best other one there by less than tau.
     It may then be replaced by an expert of the same cluster that no other slot holds, drawn in proportion to the
     probabilities, with the probability `exploration`. Experts stay distinct and keep their clusters. Draws depend on
-    the seed and the token's key only.
+    the seed, the token's key and the slot only. All tokens of a batch are refined at once.
     """
     label = np.array(clusters)
+    same = label[:, None] == label[None]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for k, p, s in zip(pdf[key], pdf[probabilities], pdf[selected]):
-                p, s = np.asarray(p, float), list(s)
-                rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFF])
-                for slot, e in enumerate(s if exploration > 0 else []):
-                    own = np.flatnonzero(label == label[e])
-                    cond = p[own] / max(p[own].sum(), 1e-300)
-                    mine = cond[own == e][0]
-                    rest = cond[own != e]
-                    if len(rest) and mine - rest.max() >= tau:
-                        continue
-                    free = np.array([x for x in own if x == e or x not in s])
-                    w = p[free]
-                    pick, chance = rng.random(), rng.random()
-                    if chance < exploration and w.sum() > 0:
-                        s[slot] = int(free[min(np.searchsorted(np.cumsum(w) / w.sum(), pick, side="right"), len(free) - 1)])
-                out.append(s)
-            yield pd.DataFrame({key: pdf[key], "refined": out})
+            if pdf.empty:
+                yield pd.DataFrame({key: pdf[key], "refined": []})
+                continue
+            p, s = np.stack(pdf[probabilities].to_numpy()).astype(float), np.stack(pdf[selected].to_numpy()).astype(np.int64)
+            at, k = np.arange(len(s)), pdf[key].to_numpy().astype(np.int64)
+            for slot in range(s.shape[1] if exploration > 0 else 0):
+                e = s[:, slot]
+                own = np.where(same[e], p, 0.0)
+                own /= np.maximum(own.sum(1, keepdims=True), 1e-300)
+                rest = np.where(same[e] & (np.arange(len(label)) != e[:, None]), own, -np.inf).max(1)
+                unsure = own[at, e] - rest < tau
+                unsure |= np.isinf(rest)  # an expert that is alone in its cluster has nothing to lead; it can only stay
+                taken = np.zeros(p.shape, bool)
+                taken[at[:, None], s] = True
+                taken[at, e] = False
+                w = np.cumsum(np.where(same[e] & ~taken, p, 0.0), 1)
+                pick, chance = uniforms(seed, k, slot, 0), uniforms(seed, k, slot, 1)
+                drawn = (w <= (pick * w[:, -1])[:, None]).sum(1)
+                change = unsure & (chance < exploration) & (w[:, -1] > 0) & (drawn < p.shape[1])
+                s[change, slot] = drawn[change]
+            yield pd.DataFrame({key: pdf[key], "refined": list(s.astype(np.int32))})
 
     return rows.select(key, probabilities, selected).mapInPandas(run, f"{key} long, refined array<int>")
+
+
+def uniforms(seed: int, keys: np.ndarray, slot: int, which: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on their arguments only."""
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + slot * 2 + which) & 0xFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)) / float(1 << 53)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_digest
+from ..functions.tokenizers import Tokenizer
 from ..operators import corpus, pack
 from ..operators.expect import expect
 
@@ -30,17 +31,33 @@ class Recipe:
         return canonical_digest({"seed": self.seed, "block_size": self.block_size, "blocks": self.blocks, "calibration": self.calibration})
 
 
-def raw_documents(docs: DataFrame, recipe: Recipe) -> DataFrame:
-    """Admitted documents. docs: source_row, text and, if ids can repeat, source_id."""
+def raw_documents(docs: DataFrame, recipe: Recipe, tokenizers: list[Tokenizer] | None = None) -> DataFrame:
+    """Admitted documents. docs: source_row, text and, if ids can repeat, source_id. With tokenizers, a split is full when
+    the counts of all of them (columns by their names) have reached its target."""
     if "source_id" not in docs.columns:
         docs = docs.withColumn("source_id", F.lit(""))
-    rows = corpus.token_counts(corpus.candidates(docs))
-    return corpus.admit(rows, ["tokens"], recipe.targets, recipe.seed, recipe.blocks)
+    rows = corpus.candidates(docs)
+    if tokenizers:
+        rows = rows.withColumns({t.name: t.count(F.col("text")) for t in tokenizers})
+        return corpus.admit(rows, [t.name for t in tokenizers], recipe.targets, recipe.seed, recipe.blocks)
+    return corpus.admit(corpus.token_counts(rows), ["tokens"], recipe.targets, recipe.seed, recipe.blocks)
+
+
+def raw_records(raw: DataFrame, counters: list[str]) -> DataFrame:
+    """The seven fields of a raw document; a missing url is an empty one."""
+    url = F.coalesce(F.col("url"), F.lit("")) if "url" in raw.columns else F.lit("")
+    counts = F.create_map(*[x for c in counters for x in (F.lit(c), F.col(c).cast("long"))])
+    return raw.select("text", "text_sha256", "source_id", url.alias("url"), "source_row", "split", counts.alias("token_counts"))
+
+
+def report(docs: DataFrame, raw: DataFrame, recipe: Recipe, counters: list[str]) -> DataFrame:
+    """Documents and tokens by split, the row that filled it, and what was read and skipped up to the stop row."""
+    return corpus.corpus_counters(docs, raw, corpus.fill_rows(raw, counters, recipe.targets), counters)
 
 
 def packed(raw: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
     """Spans and blocks."""
-    spans = pack.spans(raw.drop("before_tokens"), recipe.targets)
+    spans = pack.spans(raw, recipe.targets)
     return spans, pack.blocks(spans, recipe.block_size)
 
 

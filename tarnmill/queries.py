@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import numeric, text
+from .functions import numeric, text, tokenizers
 from .operators import corpus, experts, grouping, moments, pack, results, routing
-from .plans.corpus_build import Recipe, packed, raw_documents
+from .plans.corpus_build import Recipe, packed, raw_documents, raw_records, report
+from .sources import readers
 
 RECIPE = Recipe()
 #: The reference's 20,480 blocks of 2,048 tokens, 41.9 million in all.
 FULL = Recipe(block_size=2048, blocks={"train": 16_384, "valid": 2_048, "test": 2_048}, calibration=512)
-DIM = 8  # components of an embedding that stand for router logits
+DIM = 64  # the components of an embedding stand for router logits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -79,8 +80,57 @@ def pack_blocks(spark, d):
 
 
 def corpus_counters(spark, d):
+    """Documents and tokens by split, and what was read and skipped up to the row at which all splits were full."""
     docs = _docs(spark, d)
-    return corpus.counters_up_to(docs, raw_documents(docs, RECIPE), None)
+    r = report(docs, raw_documents(docs, RECIPE), RECIPE, ["tokens"])
+    return r.select("split", "fill_row", "documents", F.col("tokens").cast("long").alias("tokens"), "rows_read", "empty_skipped", "duplicates_skipped")
+
+
+TWO = [tokenizers.HashedWords(), tokenizers.Characters()]
+
+
+def two_tokenizer_quota(spark, d):
+    """A split is full when its words and its runs of four characters both reach the quota."""
+    raw = raw_documents(_docs(spark, d), FULL, TWO)
+    return raw.select("source_row", "split", "words", "characters", *(F.col(f"before_{c}").cast("long").alias(f"before_{c}") for c in ("words", "characters")))
+
+
+def raw_document_fields(spark, d):
+    docs = _docs(spark, d).withColumns({"source_id": text.identifier(F.col("source_row"), numeric=True), "url": F.concat(F.lit("doc/"), F.col("source_row").cast("string"))})
+    r = raw_records(raw_documents(docs, FULL, TWO), ["words", "characters"])
+    count = lambda k: F.element_at("token_counts", k).alias(k)
+    return r.select("text_sha256", "source_id", "url", "source_row", "split", count("words"), count("characters"), F.length("text").cast("long").alias("chars"))
+
+
+def packed_ids(spark, d):
+    """Blocks of the ids of a pluggable tokenizer, packed by its own counts."""
+    raw = raw_documents(_docs(spark, d), FULL, TWO[:1])
+    b = pack.blocks(pack.spans(raw, FULL.targets, "words"), FULL.block_size, TWO[0].ids)
+    id_ = F.explode("tokens").alias("id")
+    return b.select("split", "block_id", id_).groupBy("split", "block_id").agg(F.count("*").alias("tokens"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum("id").alias("total"))
+
+
+def _train_blocks(spark, d):
+    return packed(raw_documents(_docs(spark, d), FULL), FULL)[1].where("split = 'train'")
+
+
+def calibration_blocks(spark, d):
+    """Sixteen training blocks by their drawn ids."""
+    c = pack.calibration(_train_blocks(spark, d), 16, 3)
+    return c.select("pos", "block_id", F.sha2(F.array_join("tokens", " "), 256).alias("content_sha256"))
+
+
+def subset_blocks(spark, d):
+    return pack.subset(_train_blocks(spark, d), 8, 16_384).select("block_id", "subset")
+
+
+def local_shuffle(spark, d):
+    return corpus.local_shuffle(_docs(spark, d), "source_row", 10_000, 17).select("source_row", "draw")
+
+
+def source_description(spark, d):
+    """Name, size and digest of two source files."""
+    return readers.file_digests(spark, [f"{d}/nation.parquet", f"{d}/region.parquet"])
 
 
 def full_quota_admission(spark, d):
@@ -136,7 +186,7 @@ def energy_scaling(spark, d):
 
 
 def _probabilities(spark, d):
-    return _t(spark, d, "embeddings").select("vec_id", "label", numeric.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, DIM)).alias("p"))
+    return _t(spark, d, "embeddings").select("vec_id", "label", numeric.softmax(F.col("embedding").cast("array<double>")).alias("p"))
 
 
 def softmax_prob(spark, d):
@@ -179,8 +229,8 @@ def confidence_refinement(spark, d):
 
 
 def random_projection(spark, d):
-    m = spark.range(64).select(F.col("id").cast("int").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(2001)).cast("double") / 1000 - 1).alias("weights"))
-    return moments.project(_t(spark, d, "embeddings"), "embedding", m).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
+    m = spark.range(64).select(F.col("id").cast("int").alias("row"), F.array(*(text.digest_modulo(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(j))), 256), 2001).cast("double") / 1000 - 1 for j in range(4))).alias("weights"))
+    return moments.project(_t(spark, d, "embeddings"), "embedding", m).select("vec_id", F.posexplode("projected").alias("dim", "x")).select("vec_id", "dim", _r("x").alias("value"))
 
 
 # Plans
@@ -228,13 +278,7 @@ def permutation_null(spark, d):
     return grouping.permutation_null(p, ["layer"], "expert", "label", "v", 100, 2)
 
 
-def parent_coverage(spark, d):
-    p = _expert_points(spark, d).where("layer = 0")
-    return grouping.nearest_parent_coverage(p, p.where("expert < 20"), "expert", "v", "traffic").select(_r("coverage").alias("coverage"))
-
-
 def parent_coverage_ratio(spark, d):
-    """All layers; parent_coverage is the numerator of layer 0."""
     p = _expert_points(spark, d)
     c = grouping.nearest_parent_coverage(p, p.where("expert < 20"), "expert", "v", "traffic", ["layer"])
     return c.select("layer", _r("coverage").alias("coverage"), _r("ratio").alias("ratio"))
@@ -293,20 +337,72 @@ def _blocks(spark, d):
     return _runs(spark, d).groupBy("method", "seed", F.pmod("event_id", F.lit(64)).alias("block_id")).agg(F.avg("value").alias("nll"))
 
 
+def _grid(spark, d):
+    """Sums of values by method, seed and block, zero where there is none, so that all runs have the same 64 blocks."""
+    runs = _runs(spark, d)
+    seeds, blocks = (spark.range(n).select(F.col("id").cast(kind).alias(name)) for n, kind, name in ((5, "int", "seed"), (64, "long", "block_id")))
+    grid = runs.select("method").distinct().join(seeds).join(blocks)
+    sums = runs.groupBy("method", "seed", F.pmod("event_id", F.lit(64)).alias("block_id")).agg(F.sum("value").alias("nll"))
+    return grid.join(sums, ["method", "seed", "block_id"], "left").withColumn("nll", F.coalesce("nll", F.lit(0.0)))
+
+
 def paired_delta(spark, d):
-    b = _blocks(spark, d)
-    pair = b.groupBy("seed", "block_id").pivot("method", ["click", "view"]).agg(F.first("nll"))
-    return pair.where("click is not null and view is not null").select("seed", "block_id", _r(F.col("click") - F.col("view")).alias("delta"))
+    c = results.contrasts(_grid(spark, d), "method", "click", ["seed", "block_id"], "nll")
+    return c.select("contrast", "seed", "block_id", _r("delta").alias("delta"))
+
+
+def contrast_summary(spark, d):
+    c = results.contrasts(_grid(spark, d).withColumn("nll", F.col("nll") / 1000), "method", "click", ["seed", "block_id"], "nll")
+    return results.contrast_summary(c, "seed").select("contrast", "paired_seeds", _r("mean").alias("mean"), _r("ratio").alias("ratio"))
 
 
 def block_group_mean(spark, d):
-    g = results.block_groups(_blocks(spark, d), ["method", "seed"], "block_id", "nll", 32)
+    g = results.block_groups(_grid(spark, d), ["method", "seed"], "block_id", "nll", 32)
     return g.select("method", "seed", "block_group", "blocks", _r("mean").alias("mean"))
 
 
 def bootstrap_ci(spark, d):
-    g = results.block_groups(_blocks(spark, d).where("method = 'click'"), ["seed"], "block_id", "nll", 8)
-    return results.bootstrap(g, "seed", "block_group", "mean", 500, 9)
+    """Intervals of the paired differences of each method to `click`: 2,000 repetitions over seeds and groups of 32 blocks."""
+    c, out = results.contrasts(_grid(spark, d), "method", "click", ["seed", "block_id"], "nll"), None
+    for r in c.select("contrast").distinct().orderBy("contrast").collect():
+        g = results.block_groups(c.where(F.col("contrast") == r[0]), ["seed"], "block_id", "delta", 32)
+        one = results.bootstrap(g, "seed", "block_group", "mean", 2000, 9).withColumn("contrast", F.lit(r[0]))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def largest_value(spark, d):
+    return results.largest(_t(spark, d, "events"), ["event_type"], "value")
+
+
+def _jobs(spark, d):
+    return results.matrix(spark.range(1).select(F.lit("a").alias("model")), _runs(spark, d).select("method").distinct(), spark.range(6).select(F.col("id").cast("int").alias("seed")))
+
+
+def run_status(spark, d):
+    """Event types as methods: runs are complete, saved, logged and marked by how many events of some users they have."""
+    n = _runs(spark, d).groupBy("method", "seed").agg(F.count("*").alias("n"), F.max("day").alias("last"), F.avg("value").alias("v"))
+    n = n.withColumn("run", results.run_name(F.lit("a"), F.col("method"), F.col("seed")))
+    complete = n.where("n % 3 = 0").select("run", F.lit(True).alias("complete"), F.lit(100).alias("final_step"), F.lit(4).alias("tasks_done"), _r("v").alias("test_ppl"))
+    saved = n.where("n % 2 = 0").select("run", (F.col("n") % 90).alias("checkpoint_step"))
+    logged = n.where("n % 5 < 3").select("run", (F.col("n") % 110).alias("step"))
+    marks = n.select("run", (F.col("n") % 7 == 0).alias("evaluated"), (F.col("n") % 4 == 1).alias("warm"), F.lit(True).alias("started"), (F.col("n") % 4).alias("tasks_done"), F.lit(None).cast("double").alias("test_ppl"))
+    return results.run_status(_jobs(spark, d), complete, saved, logged, marks, 100, 4)
+
+
+def completed_runs(spark, d):
+    return results.completed(run_status(spark, d))
+
+
+def recovery_report(spark, d):
+    """Days as steps, each method's curve against its own mean."""
+    c = _curve(spark, d)
+    first = c.agg(F.min("day").alias("m"))
+    curve = c.join(F.broadcast(first)).select("method", (F.col("day") - F.col("m")).alias("step"), F.col("y").alias("nll"), F.lit("i").alias("indices"))  # one row
+    means = _runs(spark, d).groupBy("method").agg(F.avg("value").alias("reference")).withColumn("indices", F.lit("i"))
+    budgets = means.select("method", F.lit(10).alias("final_step"), F.lit(81_920).alias("input_tokens"))
+    r = results.recovery(curve, means, budgets, ["method"])
+    return r.select("method", _r("reference").alias("reference"), "first_tokens", "right_censored", "observed_tokens", _r("excess_auc", 2).alias("excess_auc"))
 
 
 def quantile_band(spark, d):
@@ -336,8 +432,8 @@ def lr_schedule(spark, d):
 
 
 def block_cross_entropy(spark, d):
-    """Mean negative log probability of the label among the first ten components as logits, and the perplexity."""
-    e = _t(spark, d, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("z"))
+    """Mean negative log probability of the label with the components as logits, and the perplexity."""
+    e = _t(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("z"))
     n = e.select("label", numeric.cross_entropy(F.col("z"), F.col("label")).alias("nll")).groupBy("label").agg(F.avg("nll").alias("nll"))
     return n.select("label", _r("nll").alias("nll"), _r(F.exp("nll")).alias("ppl"))
 
@@ -368,10 +464,10 @@ def routing_totals(spark, d):
 
 
 def expert_dispatch(spark, d):
-    """Expert e of a vector puts out its four components from 8 + 4 e on."""
+    """Expert e of a vector puts out its four components from e on, the first after the last."""
     chosen = routing.assignments(_probabilities(spark, d), "p", 2).select("vec_id", "expert", "probability")
     v = F.col("embedding").cast("array<double>")
-    each = F.explode(F.array(*(F.struct(F.lit(e).alias("expert"), F.slice(v, 9 + 4 * e, 4).alias("output")) for e in range(DIM))))
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("expert"), F.array(*(F.element_at(v, (e + j) % DIM + 1) for j in range(4))).alias("output")) for e in range(DIM))))
     outputs = _t(spark, d, "embeddings").select("vec_id", each.alias("o")).select("vec_id", "o.expert", "o.output")
     m = experts.dispatch(chosen, outputs, "vec_id", "expert", "probability", "output", renormalize=True)
     return m.select("vec_id", F.posexplode("mixed").alias("dim", "x")).select("vec_id", "dim", _r("x").alias("value"))
@@ -444,15 +540,70 @@ def parameter_counts(spark, d):
     return _t(spark, d, "part").select("p_partkey", base.cast("long").alias("base"), extra.cast("long").alias("extra"))
 
 
+def expert_descriptor(spark, d):
+    """Vectors as tokens that call two of 64 experts; experts that are called, by label as the layer."""
+    p = _probabilities(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    calls = routing.assignments(p, "p", 2)
+    x = experts.descriptor(calls, calls, calls.select("label", "expert").distinct(), ["label"], "expert", "probability", "embedding")
+    experts.check_descriptor(x, p.groupBy("label").agg((2 * F.count("*")).alias("expected")), ["label"], 64)
+    total = lambda c: _r(numeric.array_sum(F.col(c)), 5).alias(c)
+    return x.select("label", "expert", "count", "observed", _r("a").alias("a"), total("mu"), total("sigma"))
+
+
+def scored_plans(spark, d):
+    c = _calls(spark, d)
+    return experts.scored_plans(c.select("layer").distinct(), c, "layer", 12, "expert", "calls")
+
+
+def inherited_labels(spark, d):
+    c = _calls(spark, d)
+    parents = experts.check_plan(experts.scored_plans(c.select("layer").distinct(), c, "layer", 12, "expert", "calls"), ["layer"], 12, 12)
+    return experts.inherited_labels(parents, c.select("layer", "expert", (F.col("expert") % 3).alias("label")), ["layer"], 12)
+
+
+def distinct_parents(spark, d):
+    return experts.distinct_parents(greedy_cap3(spark, d), ["layer"])
+
+
+def seed_ari(spark, d):
+    labels = F.array(F.col("label").cast("long"), F.pmod("vec_id", F.lit(7)), F.pmod(F.col("label") + F.col("vec_id"), F.lit(5)))
+    s = experts.seed_stability(_t(spark, d, "embeddings").select("vec_id", F.posexplode(labels).alias("seed", "l")), "seed", "vec_id", "l")
+    return experts.stability_summary(s.withColumn("layer", F.lit(0)), ["layer"]).select("layer", *(_r(c, 9).alias(c) for c in ("seed_ari_mean", "seed_ari_min")))
+
+
+def plan_report(spark, d):
+    g = _runs(spark, d).withColumn("layer", F.pmod("event_id", F.lit(3)))
+    m = g.groupBy("method", "seed", "layer").agg(F.avg(F.when(F.col("seed") < 4, F.col("value"))).alias("ratio"), F.max("value").alias("null_mean"), F.min("value").alias("coverage"), F.count_distinct("day").alias("unique_parents"))
+    s = g.where("method <> 'view'").groupBy("method", "layer").agg(F.avg("value").alias("seed_ari_mean"))
+    r = experts.plan_report(m, s)
+    return r.select("method", "layers", "plan_seeds", *(_r(c).alias(c) for c in ("ratio_mean", "null_mean_mean", "coverage_mean", "unique_parents_mean", "ratio_seed_sd", "seed_ari_mean")))
+
+
+def resource_estimate(spark, d):
+    k, sizes = F.col("p_partkey"), parameter_counts(spark, d)
+    method = F.element_at(F.array(*map(F.lit, ("gradient", "original", "continue", "grouped", "warm"))), (k % 5 + 1).cast("int"))
+    c = {"base": F.col("base"), "extra": F.col("extra"), "layers": 1 + k % 7, "experts": 8 * (1 + k % 8), "all_experts": 8 * (1 + k % 8) + 4 * (1 + k % 3), "expert": 3 * 64 * (1 + k % 16) * 32 * (1 + k % 5), "width": 64 * (1 + k % 16)}
+    r = experts.resources(c, method, ("warm",), k % 2 == 0)
+    return sizes.select("p_partkey", method.alias("method"), *(_r(v, 5).alias(n) for n, v in r.items()))
+
+
+def causal_loss(spark, d):
+    """Sixteen vectors make a block; each one's components are the logits of the next one's label."""
+    e = _t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("block"), F.pmod("vec_id", F.lit(16)).alias("pos"), F.col("embedding").cast("array<double>").alias("z"), F.col("label").alias("token"))
+    return numeric.causal_loss(e, "block", "pos", "z", "token").select("block", "targets", _r("nll", 5).alias("nll"))
+
+
 QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
     full_quota_admission, full_pack_spans, full_pack_blocks,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
-    parent_coverage, parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
+    parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
     latest_status, run_stage, manifest_diff, lr_schedule, block_cross_entropy, probe_windows,
     probe_coordinates, conditional_prob, routing_totals, expert_dispatch, mean_gradient_energy, seed_stability, traffic_reallocation, plan_summary, plan_variants, micro_batches,
     evaluation_progress, merged_manifest, flattened_samples, preparation_costs, parameter_counts,
+    two_tokenizer_quota, raw_document_fields, packed_ids, calibration_blocks, subset_blocks, local_shuffle, source_description, contrast_summary, largest_value, run_status, completed_runs,
+    recovery_report, expert_descriptor, scored_plans, inherited_labels, distinct_parents, seed_ari, plan_report, resource_estimate, causal_loss,
 ]
 
 

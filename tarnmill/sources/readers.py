@@ -60,3 +60,112 @@ def block_range(blocks: DataFrame, start: int, stop: int) -> DataFrame:
 def with_default(keys: DataFrame, values: DataFrame, on: list[str], **defaults) -> DataFrame:
     """values for all keys, with defaults where there are none."""
     return keys.join(values, on, "left").withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Malformed lines of one file with their numbers from 1, for the message of an error. The file is read as one value."""
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    d = d.where(F.trim("value") != "").withColumn("line", F.col("line") + 1)
+    return d.where(~F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False)))
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path; they reach every store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = file_system(spark, path)
+    return fs.exists(at)
+
+
+def train_log(spark: SparkSession, path: str) -> DataFrame:
+    """A whole log, strictly; an absent one is empty."""
+    return json_lines(spark, path, TRAIN_LOG) if exists(spark, path) else spark.createDataFrame([], TRAIN_LOG)
+
+
+def describe_source(spark: SparkSession, files: list[str] | None = None, dataset: str | None = None, revision: str | None = None, split: str = "train") -> dict:
+    """What identifies a source: name, size and digest of JSONL files, or a dataset's pinned revision and split."""
+    if files:
+        rows = file_digests(spark, files).orderBy("file").collect()  # one row per file
+        return {"kind": "jsonl", "files": [{"name": r["file"], "bytes": r["length"], "sha256": r["sha256"]} for r in rows]}
+    if not dataset or not revision:
+        raise ValueError("a dataset needs a pinned revision")
+    return {"kind": "snapshot", "dataset": dataset, "revision": revision, "split": split}
+
+
+def open_source(spark: SparkSession, source: dict, paths: list[str] | None = None, schema: T.StructType = DOCUMENT) -> DataFrame:
+    """The rows of a described source (of JSONL files also their paths); files that have changed, and revisions that are not
+    at hand, are errors."""
+    if source["kind"] == "snapshot":
+        path = f"{source['dataset']}/{source['revision']}/{source['split']}"
+        if not exists(spark, path):
+            raise FileNotFoundError(f"the snapshot {path} is not at hand")
+        return spark.read.schema(schema).parquet(path)
+    if not paths or describe_source(spark, paths)["files"] != source["files"]:
+        raise ValueError("the files are not those that were described")
+    return json_lines(spark, paths, schema)
+
+
+def token_blocks(spark: SparkSession, path: str, sha256: str, size: int, tokens: int, most: int = 0) -> DataFrame:
+    """block_id and tokens of a two-dimensional integer .npy file, after its digest, row length and id range were checked; the
+    first `most` blocks (0: all). The file must fit into a row; larger corpora are Parquet."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(batches):
+        for b in batches:
+            for content in b.column(0):
+                a = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                if a.ndim != 2 or a.shape[1] != size or a.dtype.kind not in "iu" or not a.size or a.min() < 0 or a.max() >= tokens:
+                    raise ValueError(f"{path} holds no blocks of {size} ids below {tokens}")
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(list(a.astype(np.int32)), pa.list_(pa.int32()))], names=["block_id", "tokens"])
+
+    d = spark.read.format("binaryFile").load(path)
+    right = F.when(F.sha2("content", 256) == sha256, F.lit(True)).otherwise(F.raise_error(F.lit(f"{path} is not the file that was recorded")).cast("boolean"))
+    out = d.where(right).select("content").mapInArrow(rows, "block_id long, tokens array<int>")
+    return out.where(F.col("block_id") < most) if most else out
+
+
+def snapshot_tree(spark: SparkSession, path: str) -> DataFrame:
+    """task, split, rows, fingerprint of a JSON tree of tasks of any depth; a leaf has splits. Names are joined by slashes."""
+    import json
+
+    found: list[tuple] = []
+
+    def walk(node: dict, name: str) -> None:
+        if "splits" in node:
+            found.extend((name, k, int(v["rows"]), str(v["fingerprint"])) for k, v in sorted(node["splits"].items()))
+        for k, v in sorted(node.items()):
+            if k != "splits" and isinstance(v, dict):
+                walk(v, f"{name}/{k}" if name else k)
+
+    walk(json.loads(spark.read.text(path, wholetext=True).first()[0]), "")  # a report of a few tasks
+    return spark.createDataFrame(found, "task string, split string, rows long, fingerprint string")
+
+
+def checkpoint_identity(spark: SparkSession, folder: str) -> dict:
+    """Names, sizes and times of a model's weight files, and the digests of its configuration and indices."""
+    d = spark.read.format("binaryFile").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    files = d.select(name.alias("name"), "length", "modificationTime")
+    listed = files.where(F.col("name").endswith(".safetensors")).orderBy("name").collect() or files.where(F.col("name").rlike(r"^pytorch_model.*\.bin$")).orderBy("name").collect()
+    if not listed:
+        raise FileNotFoundError(f"{folder} holds no weights")
+    small = d.where((name == "config.json") | name.endswith(".index.json")).select(name.alias("name"), F.sha2("content", 256).alias("sha256")).collect()
+    digests = {r["name"]: r["sha256"] for r in small}
+    return {"config_sha256": digests.pop("config.json", None), "index_sha256": digests, "weight_files": [{"name": r["name"], "bytes": r["length"], "modified": r["modificationTime"].timestamp()} for r in listed]}
+
+
+#: The files that a tokenizer may consist of; it needs the first and one of the next five.
+TOKENIZER_FILES = ["tokenizer_config.json", "tokenizer.json", "tokenizer.model", "vocab.json", "vocab.txt", "spiece.model", "merges.txt", "special_tokens_map.json", "added_tokens.json"]
+
+
+def tokenizer_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    got = {r["file"]: r["sha256"] for r in file_digests(spark, folder).where(F.col("file").isin(*TOKENIZER_FILES)).collect()}
+    if TOKENIZER_FILES[0] not in got or not any(n in got for n in TOKENIZER_FILES[1:6]):
+        raise FileNotFoundError(f"{folder} holds no whole tokenizer")
+    return got

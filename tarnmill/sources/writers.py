@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .readers import file_system
 
 
 def split_json_lines(df: DataFrame, path: str, by: str = "split") -> None:
@@ -36,15 +36,64 @@ def csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> No
     df.select(*(columns or df.columns)).coalesce(1).write.mode("errorifexists").csv(path, header=True)
 
 
-def json_report(value, path: str | Path) -> None:
-    """Atomic; values that JSON cannot hold are errors."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=path.parent, delete=False, encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f.name, path)
+def _replace(spark: SparkSession, path: str, content: bytes, overwrite: bool) -> None:
+    """Writes a small file beside its place and renames it, through Hadoop's file systems."""
+    to, fs = file_system(spark, path)
+    beside, _ = file_system(spark, f"{path}.building")
+    if fs.exists(to) and not overwrite:
+        raise FileExistsError(path)
+    out = fs.create(beside, True)
+    out.write(bytearray(content))
+    out.hsync()
+    out.close()
+    if overwrite:
+        fs.delete(to, False)
+    if not fs.rename(beside, to):
+        raise OSError(f"{path} could not be put in its place")
+
+
+def jsonable(value):
+    """Arrays as lists, sets sorted, and anything else that JSON does not know as its text."""
+    if isinstance(value, dict):
+        return {str(k): jsonable(v) for k, v in value.items()}
+    if isinstance(value, set | frozenset):
+        return sorted(jsonable(v) for v in value)
+    if isinstance(value, list | tuple):
+        return [jsonable(v) for v in value]
+    if hasattr(value, "tolist"):
+        return jsonable(value.tolist())
+    return value if value is None or isinstance(value, str | int | float | bool) else str(value)
+
+
+def json_report(spark: SparkSession, value, path: str) -> None:
+    """One JSON file, whole or not at all; NaN and infinity are errors."""
+    _replace(spark, path, json.dumps(jsonable(value), ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False).encode(), True)
+
+
+def array_file(spark: SparkSession, array, path: str) -> None:
+    """One .npy file, whole or not at all; refuses to write over what is there."""
+    import io
+
+    import numpy as np
+
+    buffer = io.BytesIO()
+    np.save(buffer, array, allow_pickle=False)
+    _replace(spark, path, buffer.getvalue(), False)
+
+
+def digested_splits(df: DataFrame, path: str, order: str, by: str = "split") -> DataFrame:
+    """Writes JSON lines by split and returns by, rows and a digest of each split's rows in their order, for a manifest.
+
+    Rows are digested one by one; the digest of a split is that of their digests in order, by chunks, so no task needs a
+    split's texts at once.
+    """
+    split_json_lines(df, path, by)
+    line = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != by])), 256)
+    chunk = F.floor(F.col(order) / 65_536)
+    ordered = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
+    d = df.select(by, F.col(order).alias("__o"), chunk.alias("__c"), line.alias("__d"))
+    parts = d.groupBy(by, "__c").agg(F.count("*").alias("n"), ordered("__o", "__d").alias("__h"))
+    return parts.groupBy(by).agg(F.sum("n").alias("rows"), ordered("__c", "__h").alias("sha256"))
 
 
 def tex_cell(mean: float | None, sd: float | None = None, digits: int = 2) -> str:
@@ -58,3 +107,14 @@ def tex_table(rows: list[dict], columns: list[str], complete: bool = True) -> st
     head = [] if complete else ["% INCOMPLETE: some runs are missing"]
     body = [" & ".join(r[c] if isinstance(r[c], str) else tex_cell(r[c]) for c in columns) + r" \\" for r in rows]
     return "\n".join([*head, r"\begin{tabular}{" + "l" * len(columns) + "}", " & ".join(columns) + r" \\", r"\hline", *body, r"\end{tabular}", ""])
+
+
+def interpretation(first: str, replicates: int, repeats: int) -> str:
+    """What a reader of the tables must know."""
+    return "\n".join([
+        f"Differences are {first} less the other method; negative ones favour {first}.",
+        f"Intervals resample {replicates} seeds and groups of blocks {repeats} times; they describe these runs and are not corrected for many comparisons.",
+        "Recovery counts input tokens only; preparation and warm-start costs are listed apart.",
+        "A run that is missing is no run that failed; tables that lack runs say so.",
+        "",
+    ])

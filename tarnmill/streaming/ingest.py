@@ -4,34 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.corpus import candidates, first_of_each
+from ..operators.corpus import candidates, check_recovered, quota, two_key_dedup
+from ..sources.readers import exists
 
+ADMITTED = T.StructType([T.StructField("source_row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("text_sha256", T.StringType()), T.StructField("batch", T.LongType())])
 
-def ingest(stream: DataFrame, admitted: str, checkpoint: str, key: str = "text_sha256", order: str = "source_row"):
-    """Appends the first row of each digest that is not admitted yet; one Parquet folder per batch, which a repeated
-    batch overwrites, so that every row is admitted once. Returns the started query; it ends when all input is read."""
+
+def ingest(stream: DataFrame, admitted: str, checkpoint: str):
+    """Appends the rows of a stream that no admitted row has the text or the non-empty source_id of; rows of a batch are
+    admitted in the order of source_row. stream: source_row long, text string, source_id string.
+
+    Each batch is one Parquet folder, batch=<number>; a batch that is repeated after a failure overwrites what it had
+    written, so every row is admitted once and a torn write leaves nothing behind. Earlier rows are looked up by their keys
+    only, not by their texts. Returns the started query; it ends when all input is read.
+    """
     spark = stream.sparkSession
 
     def commit(batch: DataFrame, number: int) -> None:
-        fresh = first_of_each(candidates(batch), key, order)
-        earlier = [f"{admitted}/batch={n}" for n in range(number) if _exists(spark, f"{admitted}/batch={n}")]
-        if earlier:
-            fresh = fresh.join(spark.read.parquet(*earlier).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{admitted}/batch={number}")
+        rows = candidates(batch.withColumn("source_id", F.coalesce("source_id", F.lit(""))))
+        if number and exists(spark, admitted):
+            earlier = spark.read.schema(ADMITTED).parquet(admitted).where(F.col("batch") < number)
+            rows = rows.join(earlier.select("text_sha256"), "text_sha256", "left_anti").join(earlier.where("source_id <> ''").select("source_id"), "source_id", "left_anti")
+        two_key_dedup(rows).select("source_row", "text", "source_id", "text_sha256").write.mode("overwrite").parquet(f"{admitted}/batch={number}")
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+def admitted_rows(spark: SparkSession, admitted: str) -> DataFrame:
+    """What was admitted so far, checked: no text and no source_id twice."""
+    rows = spark.read.schema(ADMITTED).parquet(admitted).withColumn("split", F.lit("all"))
+    return check_recovered(rows, [], rows.groupBy("split").agg(F.count("*").alias("documents"))).drop("split")
+
+
+def within_quota(spark: SparkSession, admitted: str, counters: list[str], targets: dict[str, int], split, count) -> DataFrame:
+    """Admitted rows until their split is full. split and count are columns of a row; count has one for each counter."""
+    rows = spark.read.schema(ADMITTED).parquet(admitted).withColumn("split", split).withColumns(dict(zip(counters, count)))
+    return quota(rows, counters, targets)
 
 
 def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def latest_progress(log: DataFrame, run: str = "run") -> DataFrame:
-    """The newest step of each run; a replayed step counts once, with its last value. Works on streams and tables."""
-    return log.groupBy(run).agg(F.max("step").alias("step"), F.max_by("input_tokens", "step").alias("input_tokens"))
+def latest_progress(log: DataFrame, run: str = "run", line: str | None = None) -> DataFrame:
+    """The newest step of each run; a step that was replayed counts once, with the value of its last line. `line` orders the
+    lines of a run (their numbers, or the time of their arrival); without it the larger value of a replayed step holds, so
+    that the result does not depend on the order of the rows. Works on streams and tables."""
+    order = F.struct("step", line) if line else F.struct("step", "input_tokens")
+    return log.groupBy(run).agg(F.max("step").alias("step"), F.max_by("input_tokens", order).alias("input_tokens"))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -123,10 +124,13 @@ def test_sources_and_sinks(spark, tmp_path):
         (tmp_path / run / "train.jsonl").write_text(text)
     got = {r["file"].split("/")[-2]: r["step"] for r in readers.last_steps(spark, f"{tmp_path}/r*/train.jsonl").collect()}
     assert got["r1"] == 2 and got.get("r2", 0) == 0
-    writers.json_report({"a": 1}, tmp_path / "x" / "r.json")
-    assert json.loads((tmp_path / "x" / "r.json").read_text()) == {"a": 1}
+    for value in ({"a": 0}, {"a": {3, 1, 2}, "b": np.arange(2), "c": tmp_path}):
+        writers.json_report(spark, value, f"{tmp_path}/x/r.json")
+    assert json.loads((tmp_path / "x" / "r.json").read_text()) == {"a": [1, 2, 3], "b": [0, 1], "c": str(tmp_path)}
     with pytest.raises(ValueError):
-        writers.json_report({"a": float("nan")}, tmp_path / "n.json")
+        writers.json_report(spark, {"a": float("nan")}, f"{tmp_path}/n.json")
+    assert [r["line"] for r in readers.numbered_lines(spark, str(tmp_path / "b.jsonl")).collect()] == [2]
+    assert readers.train_log(spark, f"{tmp_path}/absent.jsonl").collect() == []
     d = readers.file_digests(spark, str(tmp_path / "a.jsonl")).first()
     assert d["file"] == "a.jsonl" and len(d["sha256"]) == 64
     writers.csv_report(spark.createDataFrame([(1, 2)], "b int, a int"), str(tmp_path / "csv"), ["a", "b"])
@@ -137,17 +141,90 @@ def test_sources_and_sinks(spark, tmp_path):
         writers.publish(spark.range(3), str(tmp_path / "stage"), str(tmp_path / "final"), lambda t: None)
 
 
+def test_array_files_and_sources(spark, tmp_path):
+    blocks = np.arange(12, dtype=np.int32).reshape(3, 4)
+    writers.array_file(spark, blocks, f"{tmp_path}/t.npy")
+    with pytest.raises(FileExistsError):
+        writers.array_file(spark, blocks, f"{tmp_path}/t.npy")
+    digest = hashlib.sha256((tmp_path / "t.npy").read_bytes()).hexdigest()
+    assert [r["tokens"] for r in readers.token_blocks(spark, f"{tmp_path}/t.npy", digest, 4, 12, most=2).orderBy("block_id").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    for bad in (dict(size=3, tokens=12, sha256=digest), dict(size=4, tokens=11, sha256=digest), dict(size=4, tokens=12, sha256="0" * 64)):
+        with pytest.raises(Exception):
+            readers.token_blocks(spark, f"{tmp_path}/t.npy", **bad).collect()
+    (tmp_path / "a.jsonl").write_text('{"text": "x"}\n')
+    source = readers.describe_source(spark, [f"{tmp_path}/a.jsonl"])
+    assert source["files"][0]["name"] == "a.jsonl" and readers.open_source(spark, source, [f"{tmp_path}/a.jsonl"]).count() == 1
+    (tmp_path / "a.jsonl").write_text('{"text": "y"}\n')
+    with pytest.raises(ValueError):
+        readers.open_source(spark, source, [f"{tmp_path}/a.jsonl"])
+    pinned = readers.describe_source(spark, dataset=f"{tmp_path}/set", revision="r1")
+    with pytest.raises(FileNotFoundError):
+        readers.open_source(spark, pinned)
+    spark.createDataFrame([("x", "1", None)], readers.DOCUMENT).write.parquet(f"{tmp_path}/set/r1/train")
+    assert readers.open_source(spark, pinned).count() == 1
+    (tmp_path / "tree.json").write_text(json.dumps({"g": {"a": {"splits": {"test": {"rows": 3, "fingerprint": "f"}}}, "b": {"c": {"splits": {"test": {"rows": 1, "fingerprint": "h"}}}}}}))
+    assert sorted(tuple(r) for r in readers.snapshot_tree(spark, f"{tmp_path}/tree.json").collect()) == [("g/a", "test", 3, "f"), ("g/b/c", "test", 1, "h")]
+    model = tmp_path / "model"
+    model.mkdir()
+    with pytest.raises(Exception):
+        readers.checkpoint_identity(spark, str(model))
+    for name in ("config.json", "w.safetensors", "w.index.json", "tokenizer_config.json"):
+        (model / name).write_text("{}")
+    identity = readers.checkpoint_identity(spark, str(model))
+    assert [f["name"] for f in identity["weight_files"]] == ["w.safetensors"] and set(identity["index_sha256"]) == {"w.index.json"}
+    with pytest.raises(FileNotFoundError):
+        readers.tokenizer_files(spark, str(model))
+    (model / "tokenizer.json").write_text("{}")
+    assert set(readers.tokenizer_files(spark, str(model))) == {"tokenizer.json", "tokenizer_config.json"}
+    d = spark.createDataFrame([("a", 1, "x"), ("a", 0, "y"), ("b", 0, "z")], "split string, k long, text string")
+    one, two = (sorted(map(tuple, writers.digested_splits(x, f"{tmp_path}/{n}", "k").collect())) for n, x in (("p", d), ("q", d.orderBy("text").repartition(3))))
+    assert one == two and [r[:2] for r in one] == [("a", 2), ("b", 1)]
+    assert "click" in writers.interpretation("click", 3, 2000)
+
+
+def test_run_tables(spark):
+    jobs = spark.createDataFrame([("m", "x", 0), ("m", "x", 1), ("m", "original", 0), ("m", "x", 2)], "model string, method string, seed int")
+    complete = spark.createDataFrame([("m_x_seed0", True, 8, 2, 3.5)], "run string, complete boolean, final_step long, tasks_done long, test_ppl double")
+    saved, logged = spark.createDataFrame([("m_x_seed1", 4)], "run string, checkpoint_step long"), spark.createDataFrame([("m_x_seed1", 6)], "run string, step long")
+    marks = spark.createDataFrame([("m_original_seed0", None, None, True, 1, None)], "run string, evaluated boolean, warm boolean, started boolean, tasks_done long, test_ppl double")
+    status = results.run_status(jobs, complete, saved, logged, marks, 8, 2)
+    got = {r["run"]: (r["step"], r["total_steps"], r["checkpoint_step"], r["tasks_done"], r["test_ppl"], r["stage"]) for r in status.collect()}
+    assert got == {"m_x_seed0": (8, 8, None, 2, 3.5, "complete"), "m_x_seed1": (6, 8, 4, 0, None, "training"), "m_original_seed0": (0, 0, None, 1, None, "initialization/evaluation"), "m_x_seed2": (0, 8, None, 0, None, "pending")}
+    assert tuple(results.completed(status).first()) == (1, 4)
+    curve = spark.createDataFrame([("r", 512, 2.1, "i"), ("r", 0, 2.5, "i"), ("r", 1024, 1.9, "i")], "run string, step long, nll double, indices string")
+    reference = spark.createDataFrame([("r", 2.0, "i"), ("s", 1.0, "i")], "run string, reference double, indices string")
+    budget = spark.createDataFrame([("r", 10, 81_920), ("s", 10, 81_920)], "run string, final_step long, input_tokens long")
+    got = {r["run"]: r for r in results.recovery(curve, reference, budget, ["run"]).collect()}
+    assert got["r"]["first_tokens"] == 8_388_608 and got["r"]["right_censored"] is False and math.isclose(got["r"]["excess_auc"], 1_468_006.4, rel_tol=1e-9)
+    assert (got["s"]["first_tokens"], got["s"]["right_censored"], got["s"]["observed_tokens"], got["s"]["excess_auc"]) == (None, None, 0, None)
+    for c, b in ((curve.withColumn("indices", F.lit("j")), budget), (curve, budget.withColumn("input_tokens", F.lit(81_925)))):
+        with pytest.raises(Exception):
+            results.recovery(c, reference, b, ["run"]).collect()
+    with pytest.raises(Exception, match="no multiple"):
+        results.block_groups(spark.range(33).select(F.lit(1).alias("s"), F.col("id").alias("b"), F.lit(1.0).alias("v")), ["s"], "b", "v").collect()
+    points = spark.createDataFrame([("g", i, i, [float(i), 0.0]) for i in range(4)], "g string, i int, label int, v array<double>")
+    r = grouping.permutation_null(points, ["g"], "i", "label", "v", 10, 1).first()
+    assert (r["ratio"], r["null_mean"], r["null_q05"]) == (None, None, None)  # no two rows share a label
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    from tarnmill.operators.corpus import candidates, first_of_each
+    """The stream admits by text and by source_id what one pass over all rows admits."""
+    from tarnmill.operators.corpus import candidates, two_key_dedup
 
-    rows = [(i, f"t{i % 17}") for i in range(60)]
+    rows = [(i, f"t{i % 17}", f"s{i % 23}" if i % 3 else None) for i in range(60)]
     for k in range(4):
-        spark.createDataFrame(rows[k * 15 : k * 15 + 15], "source_row long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    docs = spark.read.parquet(f"{tmp_path}/in")
-    stream = ingest.document_stream(spark, f"{tmp_path}/in", docs.schema)
-    ingest.ingest(stream, f"{tmp_path}/admitted", f"{tmp_path}/checkpoint").awaitTermination(120)
-    got = spark.read.parquet(f"{tmp_path}/admitted").select("text_sha256").collect()
-    want = first_of_each(candidates(docs), "text_sha256", "source_row").select("text_sha256").collect()
-    assert sorted(r[0] for r in got) == sorted(r[0] for r in want)
-    log = spark.createDataFrame([("r", 1, 10), ("r", 2, 20), ("r", 2, 20)], "run string, step long, input_tokens long")
-    assert tuple(ingest.latest_progress(log).first()) == ("r", 2, 20)
+        spark.createDataFrame(rows[k * 15 : k * 15 + 15], "source_row long, text string, source_id string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+    docs = spark.read.parquet(*(f"{tmp_path}/in{k}" for k in range(4)))
+    for k in range(4):  # one run after another, as files arrive
+        for f in (tmp_path / f"in{k}").glob("part*"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{k}-{f.name}")
+        stream = ingest.document_stream(spark, f"{tmp_path}/in", docs.schema)
+        ingest.ingest(stream, f"{tmp_path}/admitted", f"{tmp_path}/checkpoint").awaitTermination(120)
+    got = sorted(r["source_row"] for r in ingest.admitted_rows(spark, f"{tmp_path}/admitted").collect())
+    all_ = spark.createDataFrame(rows, docs.schema).withColumn("source_id", F.coalesce("source_id", F.lit("")))
+    assert got == sorted(r["source_row"] for r in two_key_dedup(candidates(all_)).collect())
+    full = ingest.within_quota(spark, f"{tmp_path}/admitted", ["n"], {"all": 3}, F.lit("all"), [F.lit(1)])
+    assert sorted(r["source_row"] for r in full.collect()) == got[:3]
+    log = spark.createDataFrame([("r", 1, 10, 0), ("r", 2, 30, 1), ("r", 2, 20, 2)], "run string, step long, input_tokens long, line long")
+    assert tuple(ingest.latest_progress(log, line="line").first()) == ("r", 2, 20)

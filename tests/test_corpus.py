@@ -146,3 +146,83 @@ def test_full_quota_packs_every_document(spark, tmp_path):
     assert q["full_quota_admission"](spark, str(tmp_path)).count() == 400
     assert sum(r["token_end"] - r["token_start"] for r in q["full_pack_spans"](spark, str(tmp_path)).collect()) == 40_000
     assert sum(r["tokens"] for r in q["full_pack_blocks"](spark, str(tmp_path)).collect()) == 40_000
+
+
+def test_chains_of_any_length(spark):
+    """Each row shares its text with the one before it and its id with the one after it, or the other way round."""
+    rows = [(i, f"t{(i + 1) // 2}", f"s{i // 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "source_row long, text_sha256 string, source_id string")
+    assert sorted(r[0] for r in corpus.two_key_dedup(df).select("source_row").collect()) == list(range(0, 400, 2))
+
+
+def test_counters_and_recovery(spark):
+    from tarnmill.plans.corpus_build import report
+
+    recipe = Recipe(block_size=6, blocks={"train": 2, "valid": 1, "test": 1})
+    texts = [f"w{i} x y" for i in range(30)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts[:5] + [texts[0], " ", texts[1]] + texts[5:])]
+    docs = spark.createDataFrame(rows, "source_row long, text string, source_id string")
+    raw = raw_documents(docs, recipe)
+    got = {r["split"]: r for r in report(docs, raw, recipe, ["tokens"]).collect()}
+    kept = {r["source_row"]: r for r in raw.collect()}
+    fill = {k: min((x for x in kept if kept[x]["split"] == k and sum(kept[y]["tokens"] for y in kept if y <= x and kept[y]["split"] == k) >= v), default=None) for k, v in recipe.targets.items()}
+    stop = max(fill.values()) if None not in fill.values() else len(rows) - 1
+    for k, r in got.items():
+        assert r["fill_row"] == fill[k] and r["documents"] == sum(x["split"] == k for x in kept.values()) and r["rows_read"] == stop + 1
+        assert r["empty_skipped"] == sum(i <= stop and not t.strip() for i, t, _ in rows)
+        assert r["duplicates_skipped"] == sum(i <= stop and any(j < i and j in kept and t == u for j, u, _ in rows) for i, t, _ in rows)
+    counts = raw.groupBy("split").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+    corpus.check_recovered(raw, ["tokens"], counts)
+    for bad in (raw.union(raw.limit(1)), raw.where(F.col("source_row") != min(kept))):
+        with pytest.raises(ExpectationError):
+            corpus.check_recovered(bad, ["tokens"], counts)
+
+
+def test_local_shuffle_stays_local(spark):
+    d = corpus.local_shuffle(spark.range(500).withColumnRenamed("id", "source_row"), "source_row", 40, 3).orderBy("draw", "source_row").collect()
+    assert max(abs(r["source_row"] - k) for k, r in enumerate(d)) < 40 and [r["source_row"] for r in d] != list(range(500))
+
+
+def test_tokenizer_files(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tarnmill.functions.tokenizers import Characters, FileTokenizer, HashedWords
+
+    docs = spark.createDataFrame([(0, "Hello  world's 123"), (1, "déjà vu")], "source_row long, text string")
+    file = FileTokenizer(tokenizers.path("byte_bpe_50k.json"), 1, 60_000)
+    for t in (file, HashedWords(), Characters()):
+        for r in docs.select(t.ids(F.col("text")).alias("ids"), t.count(F.col("text")).alias("n")).collect():
+            assert len(r["ids"]) == r["n"] and all(0 <= i < t.size for i in r["ids"])
+    with pytest.raises(Exception, match="gives ids"):
+        docs.select(FileTokenizer(file.path, 1, 100).ids(F.col("text"))).collect()
+
+
+def test_protocol_and_command_line(spark, tmp_path):
+    from tarnmill import __main__ as cli
+    from tarnmill.functions.text import canonical_digest
+    from tarnmill.plans import protocol
+
+    (tmp_path / "c.json").write_text('{"data": "in", "output": "/x", "steps": 2}')
+    assert protocol.load_config(str(tmp_path / "c.json")) == {"data": str(tmp_path / "in"), "output": "/x", "steps": 2}
+    good = {"steps": 2, "accumulation": 2, "eval_every": 1, "save_every": 1, "seeds": [1, 2]}
+    assert protocol.check_protocol(good, 4, 2048) == good
+    for bad in ({"steps": 3}, {"seeds": [1, 1]}, {"seeds": [-1]}, {"eval_every": 0}, {"save_every": 1.5}):
+        with pytest.raises(ValueError):
+            protocol.check_protocol(good | bad, 4, 2048)
+    assert protocol.collection_settings({})["fit_blocks"] == 384
+    for bad in ({"fraction": 1.0}, {"probes": 0}, {"probes": 1 << 30}, {"fraction": 1e-9}):
+        with pytest.raises(ValueError):
+            protocol.collection_settings(bad)
+    recipe = {"model": "m", "method": "x", "seed": 1, "config": {"steps": 4}}
+    done = {"complete": True, "recipe_sha256": canonical_digest(recipe), "model": "m", "method": "x", "seed": 1, "final_step": 4}
+    assert protocol.check_run(recipe, done) == done
+    for bad in ({"complete": False}, {"seed": 2}, {"final_step": 3}, {"recipe_sha256": ""}):
+        with pytest.raises(ValueError):
+            protocol.check_run(recipe, done | bad)
+    assert protocol.ready({"complete": True, "files_sha256": {"a": "1"}}, {"a": "1", "b": "2"}) and not protocol.ready({"complete": True, "files_sha256": {"a": "1"}}, {})
+    spark.createDataFrame([(i, f"w{i} x y z", f"s{i}") for i in range(200)], "source_row long, text string, source_id string").write.parquet(f"{tmp_path}/docs")
+    size = ["--block-size", "10", "--train", "8", "--valid", "1", "--test", "1"]
+    cli.main(["build", "--source", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", *size])
+    cli.main(["check", "--output", f"{tmp_path}/out", *size])
+    assert spark.read.parquet(f"{tmp_path}/out/blocks").count() == 10 and (tmp_path / "out" / "report.json").exists()
+    with pytest.raises(SystemExit):
+        cli.main(["build", "--source", "x", "--output", "y", "--train", "0"])

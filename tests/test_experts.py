@@ -48,3 +48,35 @@ def test_costs_and_summaries(spark):
     rows = spark.createDataFrame([("g", 0, 1.0), ("g", 0, None), ("g", 1, 3.0), ("h", 0, None)], "by string, seed int, v double")
     s = {r["by"]: (r["mean"], r["sd"]) for r in experts.two_level_summary(rows, ["by"], "seed", "v").collect()}
     assert s["g"] == (2.0, pytest.approx(2**0.5)) and s["h"] == (None, None)
+
+
+def test_descriptors_and_growth(spark):
+    calls = spark.createDataFrame([(0, 0, 0.5, [1.0, 2.0]), (0, 0, 0.7, [3.0, 2.0]), (0, 1, 0.2, [5.0, 6.0])], "layer int, expert int, p double, x array<double>")
+    ids = spark.createDataFrame([(0, 0), (0, 1)], "layer int, expert int")
+    d = experts.descriptor(calls, calls, ids, ["layer"], "expert", "p", "x")
+    got = {r["expert"]: r for r in d.collect()}
+    assert got[0]["mu"] == [2.0, 2.0] and got[0]["sigma"] == [1.0, 0.0] and abs(got[0]["a"] - 0.6) < 1e-12 and got[1]["count"] == 1
+    totals = spark.createDataFrame([(0, 3)], "layer int, expected long")
+    experts.check_descriptor(d, totals, ["layer"], 2)
+    for bad in ((d, totals, 3), (d.withColumn("a", F.lit(1.1)), totals, 2), (d, totals.withColumn("expected", F.lit(4)), 2)):
+        with pytest.raises(ValueError):
+            experts.check_descriptor(bad[0], bad[1], ["layer"], bad[2])
+    with pytest.raises(Exception, match="never called"):
+        experts.descriptor(calls, calls, ids.union(spark.createDataFrame([(0, 2)], "layer int, expert int")), ["layer"], "expert", "p", "x").collect()
+    probes = spark.createDataFrame([("fit", 3, 0), ("fit", 3, 1)], "phase string, block_id long, token_pos long")
+    part = spark.createDataFrame([("fit", 3), ("check", 4)], "phase string, block_id long")
+    experts.check_probes(probes, part, ["phase"], 2)
+    for bad in (probes.union(probes), probes.withColumn("phase", F.lit("check")), probes.withColumn("token_pos", F.col("token_pos") + 2)):
+        with pytest.raises(ValueError):
+            experts.check_probes(bad, part, ["phase"], 2)
+    scores = spark.createDataFrame([(0, 0, 1.0), (0, 1, 5.0), (0, 2, 5.0)], "layer int, expert int, s double")
+    layers = spark.createDataFrame([(0,)], "layer int")
+    plan = experts.check_plan(experts.scored_plans(layers, scores, "layer", 7, "expert", "s"), ["layer"], 3, 7)
+    assert [r["parent"] for r in plan.orderBy("place").collect()] == [1, 1, 1, 2, 2, 2, 0]
+    for n, layer in ((10, layers), (7, layers.union(spark.createDataFrame([(1,)], "layer int")))):
+        with pytest.raises(Exception, match="do not fill"):
+            experts.scored_plans(layer, scores, "layer", n, "expert", "s").collect()
+    labels = spark.createDataFrame([(0, e, e % 2) for e in range(3)], "layer int, expert int, label int")
+    grown = {r["expert"]: r["label"] for r in experts.inherited_labels(plan, labels, ["layer"], 3).collect()}
+    assert grown == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
+    assert tuple(experts.distinct_parents(plan, ["layer"]).first()) == (0, 7, 3)
