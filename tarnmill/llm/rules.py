@@ -131,15 +131,15 @@ def _pooled(moments: DataFrame, pool: tuple[float, float]) -> DataFrame:
         return moments
     mean = lambda c, name: (F.sum(c) / F.sum("n")).alias(f"{name}_{c}")
     own = moments.withColumn("g", F.col("key.lang"))
-    langs, every = own.groupBy("g").agg(*(mean(c, "l") for c in _SUMS)), own.agg(*(mean(c, "a") for c in _SUMS))
-    out = own.join(langs, "g").join(F.broadcast(every))  # one row
+    langs, every = own.groupBy("g", "start").agg(*(mean(c, "l") for c in _SUMS)), own.groupBy("start").agg(*(mean(c, "a") for c in _SUMS))
+    out = own.join(langs, ["g", "start"]).join(F.broadcast(every), "start")  # one row for each start
     more = {c: F.col(c) + pool[0] * F.col(f"l_{c}") + pool[1] * F.col(f"a_{c}") for c in _SUMS}
     return out.withColumns(more).withColumn("n", F.col("n") + sum(pool)).select(*moments.columns)
 
 
 def _factor(moments: DataFrame, scale: float) -> DataFrame:
     """key, n, means and the Cholesky factor of scale * covariance plus the floors, from sums of products."""
-    m = moments.select("key", "n", "size", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(f"s{i}{j}" for i in range(P) for j in range(i + 1)))
+    m = moments.select("key", "start", "n", "size", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(f"s{i}{j}" for i in range(P) for j in range(i + 1)))
     floors = [v * v for v in STATS.values()]
     for i in range(P):
         for j in range(i + 1):
@@ -148,7 +148,7 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
                 c = c - F.col(_entry(i, k)) * F.col(_entry(j, k))
             c = F.sqrt(F.greatest(c, F.lit(0.0)) + floors[i]) if i == j else c / F.col(_entry(j, j))
             m = m.withColumn(_entry(i, j), c)
-    return m.select("key", "size", *(f"m{i}" for i in range(P)), *(_entry(i, j) for i in range(P) for j in range(i + 1)))
+    return m.select("key", "start", "size", *(f"m{i}" for i in range(P)), *(_entry(i, j) for i in range(P) for j in range(i + 1)))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def _start(rows: DataFrame) -> DataFrame:
     g = q.groupBy("key").agg(F.max("size").alias("size"), *(of("mid", i).alias(f"m{i}") for i in range(P)), *(of("lo", i).alias(f"q{i}") for i in range(P)), *(of("hi", i).alias(f"r{i}") for i in range(P)))
     floors = list(STATS.values())
     diag = lambda i: F.sqrt(((F.col(f"r{i}") - F.col(f"q{i}")) / 1.349) ** 2 + floors[i] ** 2)
-    return g.select("key", "size", *(f"m{i}" for i in range(P)), *((diag(i) if i == j else F.lit(0.0)).alias(_entry(i, j)) for i in range(P) for j in range(i + 1)))
+    return g.select("key", F.lit(0).alias("start"), "size", *(f"m{i}" for i in range(P)), *((diag(i) if i == j else F.lit(0.0)).alias(_entry(i, j)) for i in range(P) for j in range(i + 1)))
 
 
 def _products() -> list[Column]:
@@ -172,26 +172,27 @@ def _products() -> list[Column]:
 
 def _moments(rows: DataFrame, pool: tuple[float, float] = POOL) -> DataFrame:
     """Plain means and covariances of each group."""
-    return _factor(_pooled(rows.groupBy("key").agg(F.count("*").cast("double").alias("n"), F.count("*").alias("size"), *_products()), pool), 1.0)
+    sums = rows.groupBy("key").agg(F.count("*").cast("double").alias("n"), F.count("*").alias("size"), *_products())
+    return _factor(_pooled(sums.withColumn("start", F.lit(1)), pool), 1.0)
 
 
 def _concentrate(rows: DataFrame, fit: DataFrame, share: float, scale: float, pool: tuple[float, float] = POOL) -> DataFrame:
-    """One concentration step: the moments of the nearest `share` of each group."""
+    """One concentration step of all starts: the moments of the nearest `share` of each group."""
     near = _distance(rows.join(fit.drop("size"), "key")).withColumn("bin", F.floor(32 * F.log2(F.col("d2") + 1e-6)).cast("int"))
     # Written, so that the sums are dealt out by group and bin: a window over groups would pull their shuffle to the group.
-    bins = materialize(near.groupBy("key", "bin").agg(F.count("*").alias("n"), *_products()), "rule-bins")
-    w = Window.partitionBy("key")
+    bins = materialize(near.groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *_products()), "rule-bins")
+    w = Window.partitionBy("key", "start")
     bins = bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("size", F.sum("n").over(w))
-    kept = bins.where(F.col("before") < share * F.col("size")).groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.max("size").alias("size"), *(F.sum(c).alias(c) for c in _SUMS))
+    kept = bins.where(F.col("before") < share * F.col("size")).groupBy("key", "start").agg(F.sum("n").cast("double").alias("n"), F.max("size").alias("size"), *(F.sum(c).alias(c) for c in _SUMS))
     return _factor(_pooled(kept, pool), scale)
 
 
-def _smallest(fits: list[DataFrame]) -> DataFrame:
+def _smallest(fits: DataFrame) -> DataFrame:
     """For each group that of its fits with the smallest determinant."""
     log = sum((F.log(_entry(i, i)) for i in range(1, P)), F.log(_entry(0, 0)))
-    names = [c for c in fits[0].columns if c != "key"]
-    both = fits[0].union(fits[1]).select("key", F.struct(F.round(log, 9).alias("d"), *names).alias("f"))
-    return both.groupBy("key").agg(F.min("f").alias("f")).select("key", *(F.col(f"f.{c}").alias(c) for c in names))
+    names = [c for c in fits.columns if c != "key"]
+    best = fits.select("key", F.struct(F.round(log, 9).alias("d"), *names).alias("f")).groupBy("key").agg(F.min("f").alias("f"))
+    return best.select("key", *(F.col(f"f.{c}").alias(c) for c in names if c != "start"))
 
 
 def judge(docs: DataFrame, tail: float = TAIL, steps: int = STEPS, pool: tuple[float, float] = POOL, carry: list[str] | None = None) -> DataFrame:
@@ -215,17 +216,14 @@ def judge(docs: DataFrame, tail: float = TAIL, steps: int = STEPS, pool: tuple[f
     files = max(1, -(-numbers.select("key").distinct().count() // 10_000))
     q = chi2_quantile(H, P)
     scale = H / chi2_cdf(q, P + 2)
-    fits = []
-    for start in (_start(numbers), _moments(numbers, pool)):
-        fit = materialize(start.repartition(files), "rule-fit")
-        for _ in range(steps):
-            nxt = materialize(_concentrate(numbers, fit, H, scale, pool).repartition(files), "rule-fit")
-            release(fit)
-            fit = nxt
-        fits.append(fit)
-        sweep(docs.sparkSession)
-    best = materialize(_smallest(fits).repartition(files), "rule-fit")
-    release(*fits)
+    fit = materialize(_start(numbers).union(_moments(numbers, pool)).repartition(files), "rule-fit")
+    for _ in range(steps):
+        nxt = materialize(_concentrate(numbers, fit, H, scale, pool).repartition(files), "rule-fit")
+        release(fit)
+        fit = nxt
+    best = materialize(_smallest(fit).repartition(files), "rule-fit")
+    release(fit)
+    sweep(docs.sparkSession)
     out = _distance(stats.join(best, "key", "left"))
     bad, far = base_failed(), F.col("d2") > chi2_quantile(1 - tail, P)
     final = out.withColumn("base_failed", bad).withColumn("kept", ~bad & ~F.coalesce(far, F.lit(False)))
