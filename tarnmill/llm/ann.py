@@ -95,13 +95,19 @@ def _encoder(books: np.ndarray, beam: int):
     return run
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added component by component in their order, as SQL adds them."""
+    return np.add.reduce(np.multiply(x.T, y.T, order="C"), axis=0)
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """The measure in double precision, larger is nearer; equal rows get equal scores."""
+    q = q[None]
     if metric == "ip":
-        return (x * q).sum(1)
+        return _products(x, q)
     if metric == "l2":
-        return -((x - q) ** 2).sum(1)
-    return (x * q).sum(1) / np.sqrt((x * x).sum(1)) / np.sqrt((q * q).sum())
+        return -_products(x - q, x - q)
+    return _products(x, q) / np.sqrt(_products(x, x)) / np.sqrt(_products(q, q))
 
 
 def bounds(dot: np.ndarray, slack: float, q: np.ndarray, length: np.ndarray, norm: np.ndarray, rest: np.ndarray, metric: str) -> np.ndarray:
