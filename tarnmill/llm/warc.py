@@ -2,8 +2,8 @@
 
 A Zstandard dictionary is trained on a bounded sample of the records as they are archived. Each archive begins with
 a skippable frame (magic 0x184D2A5D) that holds the dictionary, followed by one frame per record, so that any record
-can be read by itself. Archives are rows of a table in the shared folder (archive, records, content), because only
-Spark's writers reach every store; `content` is the file's bytes.
+can be read by itself. Archives are rows of a table in the shared folder (archive, records, content); `content` is the
+file's bytes, and export_archives() writes the files themselves.
 
 Of records with equal payloads of at least `least` bytes, that with the smallest page_id is a response and the
 others are revisits that refer to it. The digests are grouped with a partial minimum before the shuffle, and joined
@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, materialize
@@ -177,3 +178,40 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     Lengths and digests of responses are checked against the payload that was read.
     """
     return archives.select("content").mapInArrow(_reader(payloads), RECORD)
+
+
+def _exporter(uri: str):
+    def run(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for row in b.to_pylist():
+                at = f"{folder.rstrip('/')}/{row['archive']}"
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(row["content"])
+                store.move(part, at)
+            yield b.drop_columns(["content"])
+
+    return run
+
+
+def export_archives(archives: DataFrame, uri: str) -> DataFrame:
+    """Writes each archive as a file (name.warc.zst) into a folder that all executors reach; returns archive and records.
+
+    archives: a written table, as of write_archives(). uri: what Arrow's file systems open (file, hdfs, s3, gs).
+    Names are digests of the contents and files are moved into place when they are whole, so a task that is run again
+    writes the same files; what a lost task leaves ends in .part. Without archives the folder is empty.
+    """
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(uri)
+    store.create_dir(folder, recursive=True)
+    return materialize(archives.select("archive", "records", "content").mapInArrow(_exporter(uri), "archive string, records long"), "exported")
+
+
+def open_files(spark: SparkSession, path: str) -> DataFrame:
+    """The archives of a folder, for read_archives(): archive and content; files that are not whole are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")

@@ -60,3 +60,17 @@ def test_archives(spark):
 def test_null_urls_survive(spark):
     df = spark.createDataFrame([(1, None, "x")], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(df)).select(F.col("url")).collect()[0][0] is None
+
+
+def test_archives_as_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}", f"<p>page {i % 7}</p>" * 40) for i in range(60)], "page_id long, url string, html string")
+    archives = warc.write_archives(df, archive_bytes=300)
+    out = f"file://{tmp_path}/archives"
+    for _ in range(2):  # a second time gives the same files
+        names = {r["archive"] for r in warc.export_archives(archives, out).collect()}
+    assert names == {p.name for p in (tmp_path / "archives").iterdir() if not p.name.startswith(".")}
+    (tmp_path / "archives" / "x.warc.zst.1.part").write_bytes(b"torn")
+    own = warc.read_archives(archives).collect()
+    assert len(own) == 60 and sorted(map(repr, warc.read_archives(warc.open_files(spark, out)).collect())) == sorted(map(repr, own))
+    warc.export_archives(archives.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archives(warc.open_files(spark, f"file://{tmp_path}/none")).collect() == []
