@@ -9,7 +9,8 @@ still be among the nearest: those whose lookup score, with the norm of the rest
 last of the best. The result is thus that of an exact search, also where many near copies have the same codes.
 
 Queries and rows meet in blocks (query block x data block) of bounded size; each block keeps its best `top` rows
-per query, and these are merged by rank. No part of it holds more than a block.
+per query, and these are merged by rank. No part of it holds more than a block. A row is sent once for each block of
+queries and a query once for each block of rows, so large blocks keep the shuffle small.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import bounded_sample, materialize
 
 #: Codebooks, codewords in each, beam width, rows of the training sample, rows of each block that are scored exactly first.
 BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 128, 8, 16_384, 320
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+DATA_BLOCK, QUERY_BLOCK = 16_384, 16_384
 #: Rows of a block that are scored at once after the first ones.
 PIECE = 512
 
