@@ -75,7 +75,8 @@ def train(x: np.ndarray, books: int, words: int, beam: int, rounds: int = 8, see
     for a in range(books):
         np.add.at(rhs, flat[:, a], x)
         for b in range(books):
-            gram += np.bincount(flat[:, a] * (books * words) + flat[:, b], minlength=gram.size).reshape(gram.shape)
+            both = np.bincount(codes[:, a].astype(np.int64) * words + codes[:, b], minlength=words * words)
+            gram[a * words : (a + 1) * words, b * words : (b + 1) * words] = both.reshape(words, words)
     prior = c.reshape(-1, x.shape[1])  # a codeword that is not used stays what it was
     return np.linalg.solve(gram + 0.1 * np.eye(len(gram)), rhs + 0.1 * prior).reshape(c.shape).astype(np.float32)
 
@@ -98,7 +99,7 @@ def _encoder(books: np.ndarray, beam: int):
 
 def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of rows, added component by component in their order, as SQL adds them."""
-    return np.add.reduce(np.multiply(x.T, y.T, order="C"), axis=0)
+    return np.add.accumulate(np.multiply(x.T, y.T, order="C"), axis=0)[-1]  # reduce() would add those of a single row by halves
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -111,6 +112,18 @@ def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return _products(x, q) / np.sqrt(_products(x, x)) / np.sqrt(_products(q, q))
 
 
+def quick_scores(q: np.ndarray, x: np.ndarray, length: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The measure as the fastest sums give it, and how far the exact ones can be above. length: the norms of x."""
+    slack, size = 1e-14 * x.shape[1], np.sqrt((q * q).sum())
+    if metric == "l2":
+        away = x - q
+        score = -np.einsum("nd,nd->n", away, away)
+        return score, -slack * score
+    if metric == "ip":
+        return x @ q, slack * size * length
+    return x @ q / length / size, np.full(len(x), slack)
+
+
 def bounds(dot: np.ndarray, slack: float, q: np.ndarray, length: np.ndarray, norm: np.ndarray, rest: np.ndarray, metric: str) -> np.ndarray:
     """What the exact scores cannot exceed. dot: the query's products with the approximations, wrong by slack at most;
     length: the rows' norms, norm: the approximations' squared ones, rest: the norms of their differences."""
@@ -139,11 +152,12 @@ def _search(books: np.ndarray, metric: str, top: int, rerank: int):
             # Of sums in single precision, relative to the product of the norms.
             inexact = 4 * (dim + m) * float(np.finfo(np.float32).eps) * float(np.sqrt((books.astype(np.float64) ** 2).sum(2)).max(1).sum())
             for s in range(0, len(q), 64):
-                lookup = np.einsum("qd,mwd->mqw", q[s : s + 64].astype(np.float32), books, optimize=True)
-                guess = np.zeros((len(lookup[0]), len(ids)), np.float32)
+                lookup = books @ q[s : s + 64].astype(np.float32).T
+                total = np.zeros((len(ids), lookup.shape[2]), np.float32)
+                entry = np.empty_like(total)
                 for k in range(m):
-                    guess += lookup[k][:, codes[:, k]]
-                dot = guess
+                    total += np.take(lookup[k], codes[:, k], axis=0, out=entry, mode="clip")
+                dot = guess = np.ascontiguousarray(total.T)
                 if metric == "l2":
                     guess = 2 * guess - norm.astype(np.float32)
                 elif metric == "cosine":
@@ -159,13 +173,18 @@ def _search(books: np.ndarray, metric: str, top: int, rerank: int):
                     most = bounds(dot[k].astype(np.float64), inexact * np.sqrt((q[s + k] ** 2).sum()), q[s + k], length, norm, rest, metric)
                     last = score[-1] if len(pick) == top else -np.inf
                     more = np.flatnonzero((most >= last) & (ids != qid[s + k]))
-                    more = more[np.argsort(-most[more], kind="stable")]
+                    more = np.setdiff1d(more, pick, assume_unique=True)
+                    more = more[np.argsort(-most[more])]
                     for a in range(0, len(more), PIECE):
                         last = score[-1] if len(pick) == top else -np.inf
                         some = more[a : a + PIECE]
                         if most[some[0]] < last:
                             break
-                        some = np.setdiff1d(some[most[some] >= last], pick)
+                        some = some[most[some] >= last]
+                        near, above = quick_scores(q[s + k], x[some], length[some], metric)
+                        some = some[near + above >= last]
+                        if not len(some):
+                            continue
                         pick = np.concatenate((pick, some))
                         score = np.concatenate((score, exact_scores(q[s + k], x[some], metric)))
                         best = np.lexsort((ids[pick], -score))[:top]
