@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, materialize
 
 #: Codebooks, codewords in each, beam width, rows of the training sample, rows of each block that are scored exactly first.
-BOOKS, WORDS, BEAM, SAMPLE, RERANK = 16, 128, 8, 16_384, 320
+BOOKS, WORDS, BEAM, SAMPLE, RERANK = 48, 64, 8, 16_384, 320
 DATA_BLOCK, QUERY_BLOCK = 16_384, 16_384
 #: Rows of a block that are scored at once after the first ones.
 PIECE = 512
@@ -78,7 +78,8 @@ def train(x: np.ndarray, books: int, words: int, beam: int, rounds: int = 8, see
             both = np.bincount(codes[:, a].astype(np.int64) * words + codes[:, b], minlength=words * words)
             gram[a * words : (a + 1) * words, b * words : (b + 1) * words] = both.reshape(words, words)
     prior = c.reshape(-1, x.shape[1])  # a codeword that is not used stays what it was
-    return np.linalg.solve(gram + 0.1 * np.eye(len(gram)), rhs + 0.1 * prior).reshape(c.shape).astype(np.float32)
+    gram[np.diag_indices(len(gram))] += 0.1
+    return np.linalg.solve(gram, rhs + 0.1 * prior).reshape(c.shape).astype(np.float32)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
