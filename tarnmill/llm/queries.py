@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lm, mixing, neardup, packing, quality, rules, toxicity, warc
+from . import ann, chat, lm, mixing, neardup, packing, quality, repair, rules, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_co_training_quality": op1_co_training_quality,
@@ -66,6 +70,7 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_soft_mixing": op9_soft_mixing,
         "op10_packing": op10_packing,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
@@ -110,4 +115,4 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_additive_quantisation": OP3_SQL, "op4_chat_formatting": chat.SQL, "op8_warc": OP8_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_additive_quantisation": OP3_SQL, "op4_chat_formatting": chat.SQL, "op8_warc": OP8_SQL, "op13_structure_repair": repair.SQL}
