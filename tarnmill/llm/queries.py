@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lm, mixing, neardup, packing, quality, repair, rules, toxicity, warc
+from . import ann, chat, lm, mixing, neardup, packing, quality, repair, rules, spots, toxicity, variants, warc
 from .common import table
 
 
@@ -54,6 +54,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +78,8 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_soft_mixing": op9_soft_mixing,
         "op10_packing": op10_packing,
+        "op11_spot_signatures": op11_spot_signatures,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_structure_repair": op13_structure_repair,
     }
 
@@ -115,4 +125,4 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_additive_quantisation": OP3_SQL, "op4_chat_formatting": chat.SQL, "op8_warc": OP8_SQL, "op13_structure_repair": repair.SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_additive_quantisation": OP3_SQL, "op4_chat_formatting": chat.SQL, "op8_warc": OP8_SQL, "op11_spot_signatures": spots.SQL, "op12_spelling_variants": variants.SQL, "op13_structure_repair": repair.SQL}

@@ -280,9 +280,9 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces in order to conversations; of the texts only the running digest is kept."""
     now: dict | None = None
 
-    def close(c: dict) -> pd.DataFrame:
+    def close(c: dict) -> dict:
         gaps = c["high"] - c["low"] + 1 - c["turns"] if c["low"] is not None else 0
-        return pd.DataFrame([{"conv_id": c["conv_id"], "gaps": gaps, **{k: c[k] for k in COUNTS}, "audit": b"".join(c["audit"]).decode(), "repaired_sha256": c["hash"].hexdigest()}]).astype({"conv_id": "Int64"})
+        return {"conv_id": c["conv_id"], "gaps": gaps, **{k: c[k] for k in COUNTS}, "audit": b"".join(c["audit"]).decode(), "repaired_sha256": c["hash"].hexdigest()}
 
     for df in batches:
         out = []
@@ -308,9 +308,9 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 now["hash"].update((("\n" if now["some"] else "") + f"{role}:{text}").encode())
                 now["some"] = True
         if out:
-            yield pd.concat(out)
+            yield pd.DataFrame(out).astype({"conv_id": "Int64"})
     if now is not None:
-        yield close(now)
+        yield pd.DataFrame([close(now)]).astype({"conv_id": "Int64"})
 
 
 def repaired_pieces(rows: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
