@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest_modulo, not_blank, text_digest, word_tokens
@@ -96,12 +97,21 @@ def running_sum(df: DataFrame, values: list[str], order: str, by: str | None = N
     return d.withColumns({f"before_{v}": F.col(f"__o_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).drop("__chunk", *(f"__o_{v}" for v in values))
 
 
-def quota(rows: DataFrame, counters: list[str], targets: dict[str, int], order: str = "source_row") -> DataFrame:
-    """Rows that are admitted: before them, some tokenizer's total of their split is below the split's target."""
+def _by_split(values: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
+
+
+def _totals_before(rows: DataFrame, counters: list[str], order: str, base: dict[str, dict[str, int]] | None) -> DataFrame:
+    """Adds before_<counter>, with what earlier ranges have brought each split (base)."""
     d = running_sum(rows, counters, order, "split")
-    goal = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
+    return d.withColumns({f"before_{c}": F.col(f"before_{c}") + _by_split({k: v[c] for k, v in base.items()}) for c in counters}) if base else d
+
+
+def quota(rows: DataFrame, counters: list[str], targets: dict[str, int], order: str = "source_row", base: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Rows that are admitted: before them, some tokenizer's total of their split is below the split's target."""
+    d = _totals_before(rows, counters, order, base)
     least = F.least(*(F.col(f"before_{c}") for c in counters)) if len(counters) > 1 else F.col(f"before_{counters[0]}")
-    return d.where(least < goal)
+    return d.where(least < _by_split(targets))
 
 
 def _in_turn(t: pa.Table) -> pa.Table:
@@ -147,40 +157,88 @@ def two_key_dedup(rows: DataFrame, order: str = "source_row", text: str = "text_
     return rows.join(kept.withColumnRenamed("__order", order), order, "left_semi")
 
 
-def admit(docs: DataFrame, counters: list[str], targets: dict[str, int], seed: int, blocks: dict[str, int], order: str = "source_row", most: int = 20) -> DataFrame:
+def admit(docs: DataFrame, counters: list[str], targets: dict[str, int], seed: int, blocks: dict[str, int], order: str = "source_row", base: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """Deduplication by two keys together with quotas, as if rows came one by one.
 
     Rows after the row that fills their split are neither kept nor do they claim keys; so deduplication and quotas are
-    repeated until the set of such rows is stable. A stable state is the sequential answer. Needs text_sha256 and
-    source_id; adds split and before_<counter>.
+    repeated until the set of such rows is stable. A stable state is the sequential answer: the first row on which two rounds
+    differ lies behind the first one before, so the rounds end. Needs text_sha256 and source_id; adds split and
+    before_<counter>. base: what each split has already.
     """
     rows = docs.withColumn("split", split_of(F.col("text_sha256"), seed, blocks))
     twice = rows.where(F.col("source_id") != "").agg((F.count("*") - F.count_distinct("source_id")).alias("n")).first()["n"]
     if not twice:  # ids cannot conflict: one minimum and one running sum
-        return _within(first_of_each(rows, "text_sha256", order), counters, targets, order)
+        return quota(first_of_each(rows, "text_sha256", order), counters, targets, order, base)
     last: dict | None = None
-    for _ in range(most):
+    while True:
         live = rows if last is None else rows.where(reduce(lambda a, b: a & b, (~((F.col("split") == k) & (F.col(order) > v)) for k, v in last.items() if v is not None), F.lit(True)))
         kept = store(two_key_dedup(live, order), "deduplicated")
-        filled = fill_rows(kept, counters, targets, order)
+        filled = fill_rows(kept, counters, targets, order, base)
         if filled == last or last is None and not any(v is not None for v in filled.values()):
-            return _within(kept, counters, targets, order)
+            return quota(kept, counters, targets, order, base)
         last = filled
-    raise RuntimeError("quotas and deduplication did not settle")
 
 
-def _within(kept: DataFrame, counters, targets, order) -> DataFrame:
-    return quota(kept, counters, targets, order)
+def admit_ranges(
+    docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], counters: list[str], targets: dict[str, int], seed: int, blocks: dict[str, int],
+    order: str = "source_row", first: int | None = None, most_rows: int | None = None, strict: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of admit() over prepare(docs), read only as far as the quotas need.
 
-
-def fill_rows(kept: DataFrame, counters: list[str], targets: dict[str, int], order: str = "source_row") -> dict[str, int | None]:
+    The source is read in ranges of the order's integers, which reach its scan as a filter. Each range is prepared (digests,
+    token counts) and written; rows whose text or source_id an earlier range has admitted go, and the rest is admitted on top
+    of the earlier totals. The next range is as long as the rows still needed by the yield so far, at most eight times the last. Reading stops
+    when all splits are full, at most_rows, or at the end of the source; unless all are full, strict raises an error then.
+    Only the totals of a split reach the driver. Returns the admitted rows, and the ranges: low, high and scanned, the rows
+    that the scan has read.
+    """
+    spark, low, size = docs.sparkSession, 0, first or max(1024, sum(targets.values()) // 512)
+    base = {k: dict.fromkeys(counters, 0) for k in targets}
+    open_ = [k for k, goal in targets.items() if goal > 0]
+    parts: list[DataFrame] = []
+    ranges: list[tuple[int, int, int]] = []
+    while open_ and (most_rows is None or low < most_rows):
+        high = low + size if most_rows is None else min(low + size, most_rows)
+        seen = Observation()
+        part = docs.where((F.col(order) >= low) & (F.col(order) < high)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        ready = store(prepare(part), "range")
+        ranges.append((low, high, int(seen.get["rows"])))
+        if not ranges[-1][2]:  # a gap, or the end
+            drop_stored(ready)
+            ahead = docs.where(F.col(order) >= high).agg(F.min(order)).first()[0]
+            if ahead is None:
+                break
+            low = ahead
+            continue
+        rows = ready.where(split_of(F.col("text_sha256"), seed, blocks).isin(*open_))
+        if parts:
+            old = reduce(DataFrame.unionByName, (p.select("text_sha256", "source_id") for p in parts))
+            rows = rows.join(old.select("text_sha256"), "text_sha256", "left_anti").join(old.where("source_id <> ''").select("source_id"), "source_id", "left_anti")
+        new = store(admit(rows, counters, targets, seed, blocks, order, base), "admitted")
+        drop_stored(ready)
+        parts.append(new)
+        for r in new.groupBy("split").agg(*(F.sum(c).alias(c) for c in counters)).collect():  # a row per split
+            for c in counters:
+                base[r["split"]][c] += int(r[c])
+        open_ = [k for k in open_ if min(base[k].values()) < targets[k]]
+        low = high
+        if open_:
+            needed = [float("inf") if not base[k][c] else (targets[k] - base[k][c]) / base[k][c] for k in open_ for c in counters]
+            size = int(min(8 * size, max(1024, 1.25 * max(needed) * sum(n for _, _, n in ranges))))
+    if open_ and strict:
+        raise ExpectationError(f"the source ended, or most_rows was reached, before the quotas: {base}")
+    if not parts:
+        parts = [admit(prepare(docs.where(F.lit(False))), counters, targets, seed, blocks, order)]
+    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(ranges, "low long, high long, scanned long")
+
+
+def fill_rows(kept: DataFrame, counters: list[str], targets: dict[str, int], order: str = "source_row", base: dict[str, dict[str, int]] | None = None) -> dict[str, int | None]:
     """For each split the row at which all counters have reached the target, or None."""
     have = all(f"before_{c}" in kept.columns for c in counters)
-    d = kept if have else running_sum(kept, counters, order, "split")
+    d = kept if have else _totals_before(kept, counters, order, base)
     after = [F.col(f"before_{c}") + F.col(c) for c in counters]
     least = F.least(*after) if len(after) > 1 else after[0]
-    goal = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v))]), F.col("split"))
-    got = {r["split"]: r["row"] for r in d.groupBy("split").agg(F.min(F.when(least >= goal, F.col(order))).alias("row")).collect()}
+    got = {r["split"]: r["row"] for r in d.groupBy("split").agg(F.min(F.when(least >= _by_split(targets), F.col(order))).alias("row")).collect()}
     return {k: got.get(k) for k in targets}
 
 

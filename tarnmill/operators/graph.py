@@ -18,18 +18,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame, store, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, store) -> DataFrame:
     """(node, root) for edges (a, b): the least node that each one reaches, a node without an edge to another included if it
     has a loop. A chain of n nodes takes about log n rounds; `store` writes a table between them."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     e = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         e = store(_stars(_stars(e, True), False), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
         if now == seen or not now[0]:
             break
         seen = now
-    else:
-        raise RuntimeError("the components did not settle")
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

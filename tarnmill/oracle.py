@@ -97,6 +97,7 @@ w AS (SELECT r, j, {_FOLD.replace('% 100)', '% 2001)')}::DOUBLE / 1000 - 1 AS w
 x AS (SELECT vec_id, unnest(range(64)) AS r, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
 SELECT vec_id, j::INTEGER AS dim, round(sum(x * w), 6) AS value FROM x JOIN w USING (r) GROUP BY vec_id, j""",
     "full_quota_admission": f"WITH {_FULL} SELECT source_row, split, tokens, before_tokens FROM admitted",
+    "capped_admission": f"WITH {_FULL.replace('FROM documents WHERE', 'FROM documents WHERE doc_id < 500 AND')} SELECT source_row, split, tokens, before_tokens FROM admitted",
     "full_pack_spans": f"WITH {_FULL} SELECT split, source_row, token_start, token_end, document_tail_truncated FROM spans",
     "full_pack_blocks": f"""WITH {_FULL},
 t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans),

@@ -31,16 +31,24 @@ class Recipe:
         return canonical_digest({"seed": self.seed, "block_size": self.block_size, "blocks": self.blocks, "calibration": self.calibration})
 
 
-def raw_documents(docs: DataFrame, recipe: Recipe, tokenizers: list[Tokenizer] | None = None) -> DataFrame:
-    """Admitted documents. docs: source_row, text and, if ids can repeat, source_id. With tokenizers, a split is full when
-    the counts of all of them (columns by their names) have reached its target."""
+def scan_documents(docs: DataFrame, recipe: Recipe, tokenizers: list[Tokenizer] | None = None, **limits) -> tuple[DataFrame, DataFrame]:
+    """Admitted documents and the ranges that were read for them. docs: source_row, text and, if ids can repeat, source_id.
+    With tokenizers, a split is full when the counts of all of them (columns by their names) have reached its target. limits:
+    first, most_rows and strict of corpus.admit_ranges()."""
     if "source_id" not in docs.columns:
         docs = docs.withColumn("source_id", F.lit(""))
-    rows = corpus.candidates(docs)
-    if tokenizers:
-        rows = rows.withColumns({t.name: t.count(F.col("text")) for t in tokenizers})
-        return corpus.admit(rows, [t.name for t in tokenizers], recipe.targets, recipe.seed, recipe.blocks)
-    return corpus.admit(corpus.token_counts(rows), ["tokens"], recipe.targets, recipe.seed, recipe.blocks)
+
+    def prepare(part: DataFrame) -> DataFrame:
+        rows = corpus.candidates(part)
+        return rows.withColumns({t.name: t.count(F.col("text")) for t in tokenizers}) if tokenizers else corpus.token_counts(rows)
+
+    counters = [t.name for t in tokenizers] if tokenizers else ["tokens"]
+    return corpus.admit_ranges(docs, prepare, counters, recipe.targets, recipe.seed, recipe.blocks, **limits)
+
+
+def raw_documents(docs: DataFrame, recipe: Recipe, tokenizers: list[Tokenizer] | None = None, **limits) -> DataFrame:
+    """The admitted documents of scan_documents()."""
+    return scan_documents(docs, recipe, tokenizers, **limits)[0]
 
 
 def raw_records(raw: DataFrame, counters: list[str]) -> DataFrame:

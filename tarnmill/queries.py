@@ -137,6 +137,12 @@ def full_quota_admission(spark, d):
     return raw_documents(_docs(spark, d), FULL).select("source_row", "split", "tokens", F.col("before_tokens").cast("long").alias("before_tokens"))
 
 
+def capped_admission(spark, d):
+    """The full quotas, but no more than 500 source rows are read (the feature: a cap on reading)."""
+    raw = raw_documents(_docs(spark, d), FULL, most_rows=500)
+    return raw.select("source_row", "split", "tokens", F.col("before_tokens").cast("long").alias("before_tokens"))
+
+
 def full_pack_spans(spark, d):
     spans, _ = packed(raw_documents(_docs(spark, d), FULL), FULL)
     return spans.select("split", "source_row", F.col("token_start").cast("long").alias("token_start"), F.col("token_end").cast("long").alias("token_end"), "document_tail_truncated")
@@ -595,7 +601,7 @@ def causal_loss(spark, d):
 
 QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
-    full_quota_admission, full_pack_spans, full_pack_blocks,
+    full_quota_admission, capped_admission, full_pack_spans, full_pack_blocks,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
     parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,

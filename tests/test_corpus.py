@@ -54,6 +54,41 @@ def test_admission_equals_the_sequential_model(spark, seed):
     assert sorted(r[0] for r in got) == sequential(rows, targets, splits)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_ranges_equal_the_sequential_model(spark, seed):
+    """Rows with gaps in their numbers, read in ranges of a few; later ranges are not read once all splits are full."""
+    rng = random.Random(seed)
+    blocks, targets = {"train": 6, "valid": 2, "test": 2}, {"train": 60, "valid": 15, "test": 15}
+    numbers = sorted(rng.sample(range(200), 90)) + list(range(5000, 5040))
+    rows = [(i, digest(rng.randrange(60)), rng.choice(["", "", *(f"i{k}" for k in range(40))]), rng.randrange(1, 6)) for i in numbers]
+    df = spark.createDataFrame(rows, ROW)
+    splits = {r["text_sha256"]: r["s"] for r in df.select("text_sha256", corpus.split_of(F.col("text_sha256"), 17, blocks).alias("s")).collect()}
+    got, ranges = corpus.admit_ranges(df, lambda d: d, ["tokens"], targets, 17, blocks, first=20)
+    assert sorted(r["source_row"] for r in got.select("source_row").collect()) == sequential(rows, targets, splits)
+    total, before = dict.fromkeys(targets, 0), {r["source_row"]: r["before_tokens"] for r in got.collect()}
+    for i, d, _, n in rows:
+        if i in before:
+            assert before[i] == total[splits[d]]
+            total[splits[d]] += n
+    last = max(r["high"] for r in ranges.collect())
+    assert sum(r["scanned"] for r in ranges.collect()) == sum(i < last for i in numbers)
+    capped, _ = corpus.admit_ranges(df, lambda d: d, ["tokens"], targets, 17, blocks, first=20, most_rows=50)
+    assert sorted(r["source_row"] for r in capped.select("source_row").collect()) == sequential([r for r in rows if r[0] < 50], targets, splits)
+    with pytest.raises(ExpectationError, match="before the quotas"):
+        corpus.admit_ranges(df, lambda d: d, ["tokens"], targets, 17, blocks, most_rows=30, strict=True)
+
+
+def test_reading_stops(spark, tmp_path):
+    from tarnmill.plans.corpus_build import scan_documents
+
+    spark.createDataFrame([(i, f"w{i} x y z") for i in range(9000)], "source_row long, text string").repartitionByRange(9, "source_row").write.parquet(f"{tmp_path}/d")
+    recipe = Recipe(block_size=10, blocks={"train": 20, "valid": 2, "test": 2})
+    raw, ranges = scan_documents(spark.read.parquet(f"{tmp_path}/d"), recipe)
+    assert [tuple(r) for r in ranges.collect()] == [(0, 1024, 1024)] and raw.agg(F.sum("tokens")).first()[0] >= 240
+    assert scan_documents(spark.read.parquet(f"{tmp_path}/d"), recipe, most_rows=0)[0].count() == 0
+    assert raw_documents(spark.createDataFrame([], "source_row long, text string"), recipe).count() == 0
+
+
 def test_running_sum_over_chunks(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.randrange(9)) for i in range(200)]
