@@ -36,18 +36,22 @@ LOWER = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõ
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〿]+"
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted set of a text's signatures. The last chains may be shorter. A text without content words has one signature,
-    of its words or else of itself; an empty one has none."""
+def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """Adds the sorted set of the signatures of a text that is not null. The last chains may be shorter. A text without content
+    words has one signature, of its words or else of itself; an empty one has none.
+
+    Each step is a column of its own that the next ones name twice or more, so that Spark evaluates it once.
+    """
     words = F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != "")
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(w, F.lit(MARK))).otherwise(F.concat(w, F.lit(" ")))), "")
-    content = F.split(F.concat(F.lit(TOP + MARK), marked), " ")  # each content word behind the anchors before it
-    plain = F.transform(content, lambda x: F.substring_index(x, MARK, -1))
-    zipped = F.arrays_zip(content.alias("w0"), *[F.slice(plain, F.lit(1 + k), F.size(plain)).alias(f"w{k}") for k in range(1, chain)])
+    d = df.withColumn("__marked", marked)
+    d = d.withColumn("__content", F.split(F.concat(F.lit(TOP + MARK), "__marked"), " "))  # each content word behind the anchors before it
+    d = d.withColumn("__plain", F.transform("__content", lambda x: F.substring_index(x, MARK, -1)))
+    zipped = F.arrays_zip(F.col("__content").alias("w0"), *[F.slice("__plain", F.lit(1 + k), F.size("__plain")).alias(f"w{k}") for k in range(1, chain)])
     spots = F.filter(zipped, lambda x: F.contains(x["w0"], F.lit(MARK)) & ~F.endswith(x["w0"], F.lit(MARK)))
-    found = F.transform(spots, lambda x: F.left(F.md5(F.rtrim(F.concat_ws(" ", F.substring_index(x["w0"], MARK, -2), *[x[f"w{k}"] for k in range(1, chain)]))), F.lit(DIGITS)))
-    rest = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.left(F.md5(F.when(marked == "", text).otherwise(marked)), F.lit(DIGITS))))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(rest)
+    d = d.withColumn("__found", F.transform(spots, lambda x: F.left(F.md5(F.rtrim(F.concat_ws(" ", F.substring_index(x["w0"], MARK, -2), *[x[f"w{k}"] for k in range(1, chain)]))), F.lit(DIGITS))))
+    rest = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.array(F.left(F.md5(F.when(F.col("__marked") == "", F.col(text)).otherwise(F.col("__marked"))), F.lit(DIGITS))))
+    return d.withColumn(out, F.when(F.size("__found") > 0, F.sort_array(F.array_distinct("__found"))).otherwise(rest)).drop("__marked", "__content", "__plain", "__found")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -71,7 +75,7 @@ def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nothing and have class_id null. Rows that repeat a doc_id count as documents of their own. A set meets others through the
     rarest of its signatures, as many as it can lack and still be alike; those are counted over all sets.
     """
-    per_row = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", F.array_join("s", "").alias("fingerprint"), "s")
+    per_row = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").select("doc_id", F.array_join("s", "").alias("fingerprint"), "s")
     per_row = materialize(per_row, "spot-sets")
     classes = per_row.where(F.size("s") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("s").alias("s"))
     classes = materialize(classes.withColumn("key", F.md5("fingerprint")), "spot-classes")
@@ -101,7 +105,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
     each row finds its next one in its chunk. What the driver learns is the first key of each chunk."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("back"), F.xxhash64("text").alias("h")))
-    pieces = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = 3 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # several to a task, so that tasks are alike
     firsts = rows.select("k").repartitionByRange(pieces, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
     bounds = [r["k"] for r in firsts.orderBy("k").collect()]
     if not bounds:
@@ -124,15 +128,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text, then by the text; the first row is next to the last. A null text is empty. A single document is its own next one. An
     empty table gives no row.
     """
-    parts = _ordered(docs).repartition("chunk").withColumn("s", signatures(F.col("text")))
+    parts = with_signatures(_ordered(docs).repartition("chunk"), "text", "s")
     w = Window.partitionBy("chunk").orderBy("guard", "k", "text")
     seen = parts.withColumns({"next_text": F.lead("text").over(w), "next_s": F.lead("s").over(w)}).where("NOT guard")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = seen.withColumn("edited", F.concat(F.left(F.col("text"), n - third), F.left(F.col("next_text"), third)))
-    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "s", "next_s", signatures(F.col("edited")).alias("e"))
+    edited = with_signatures(edited, "edited", "e")
     return edited.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("s", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.array_join("s", "").alias("fingerprint"), F.array_join("e", "").alias("edited_fingerprint"),
         likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"), F.size("s").cast("long").alias("n_signatures"),
     )
 
