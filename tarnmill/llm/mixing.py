@@ -2,8 +2,9 @@
 
 A multinomial naive Bayes classifier over hashed words is fitted on the documents that a labelled table covers, with
 the tag that they carry (`domain`, the language by default) as the class. Every document gets posteriors over the
-domains; a document weighs like at most `evidence` words, so that memberships stay soft. Projected-gradient least
-squares then fits nonnegative document rates whose expected domain token totals match the targets:
+domains; a document of n words weighs like n * evidence / (n + evidence) of them, at every length, so that memberships
+stay soft. Projected-gradient least squares then fits nonnegative document rates whose expected domain token totals match
+the targets:
 
     minimise 1/2 sum_d (sum_i r_i n_i p_id - t_d)^2 / N_d   over r >= 0, starting from r = 1,
 
@@ -59,7 +60,7 @@ def posteriors(docs: DataFrame, names: list[str], prior: list[float], table: lis
     d = docs.withColumn("__slots", slots).withColumn("n_tokens", F.size("__slots").cast("long"))
     if not names:
         return d.drop("__slots").withColumn("p0", F.lit(1.0))
-    soft = F.least(F.col("n_tokens"), F.lit(evidence)) / F.greatest(F.col("n_tokens"), F.lit(1))
+    soft = F.lit(evidence) / (F.col("n_tokens") + evidence)
     for k, row in enumerate(table):
         logs = _constant(row)
         d = d.withColumn(f"__z{k}", F.lit(prior[k]) + soft * F.aggregate("__slots", F.lit(0.0), lambda s, x: s + F.get(logs, x)))
