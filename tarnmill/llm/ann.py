@@ -209,19 +209,19 @@ def build_index(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, beam
     """The written index (vec_id, vec, codes, norm, rest) and the codebooks; None if no vector is usable.
 
     vectors: vec_id long, embedding array; other columns are ignored. Null vectors, zero vectors, vectors with null
-    or non-finite components, with another length than the most common one of the sample, or with a null vec_id take
-    no part. Rows that repeat a vec_id count once, with the smallest vector.
+    or non-finite components, or with a null vec_id take no part. Shorter vectors count as if zeros followed them. Rows that
+    repeat a vec_id count once, with the smallest vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    picked = bounded_sample(rows.select("vec_id", "embedding", F.size("embedding").alias("dim")), sample, "vec_id", salt=11).toArrow()
-    if not picked.num_rows:
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    if dim is None:
         return None
-    sizes = np.bincount(picked.column("dim").to_numpy())
-    dim = int(sizes.argmax())
-    x = _matrix(picked.filter(pa.compute.equal(picked.column("dim"), dim)).column("embedding").combine_chunks(), dim).astype(np.float32)
+    rows = rows.withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding"))))
+    picked = bounded_sample(rows.select("vec_id", "embedding"), sample, "vec_id", salt=11).toArrow()
+    x = _matrix(picked.column("embedding").combine_chunks(), dim).astype(np.float32)
     learnt = train(x, books, words, beam)
-    index = rows.where(F.size("embedding") == dim).mapInArrow(_encoder(learnt, beam), "vec_id long, vec binary, codes binary, norm double, rest double")
+    index = rows.mapInArrow(_encoder(learnt, beam), "vec_id long, vec binary, codes binary, norm double, rest double")
     return materialize(index, "aq-index"), learnt
 
 
