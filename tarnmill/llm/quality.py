@@ -242,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[C
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     rows = rows.join(F.broadcast(known), "doc_id", "left").withColumns({"y": F.coalesce("y", F.lit(-1)), "fold": F.coalesce("fold", F.lit(-1))})  # at most `labelled` rows of three numbers
     features = materialize(rows.select("y", "fold", "text", *_META).mapInArrow(_extract, _FEATURES), "quality-features")
-    got = features.where("y >= 0").toArrow()
+    # A repeated doc_id brings its rows; of more than `labelled` rows those with the smallest hashes are learnt from.
+    got = features.where("y >= 0").orderBy(F.xxhash64("num", "source", "lang", "length"), "row").limit(labelled).toArrow()
     y = got.column("y").to_numpy()
     if not len(y):
         release(features)
