@@ -309,7 +309,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     counts = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("k")).first()
 
     def fitted(rows: DataFrame) -> np.ndarray | None:
-        feats = rows.select("toxic", "text").mapInArrow(_features(model, weights, ["toxic"]), "toxic int, heaviest double, weight double").toArrow()
+        feats = rows.select("toxic", "text").mapInArrow(_features(model, weights, ["toxic"]), "toxic int, heaviest double, weight double")
+        feats = feats.orderBy(F.xxhash64("toxic", "heaviest", "weight"), "toxic").limit(sample).toArrow()  # a repeated doc_id brings all of its rows
         x, y = np.column_stack([feats.column("heaviest").to_numpy(), feats.column("weight").to_numpy()]), np.minimum(feats.column("toxic").to_numpy(), 1).astype(float)
         return fit_logistic(x, y, 0.1) if len(np.unique(y)) > 1 else None
 
