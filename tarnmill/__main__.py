@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import results
 from .plans.corpus_build import Recipe, check, packed, raw_documents, report
-from .plans.protocol import logger
 from .sources import readers, writers
 
 
@@ -42,7 +42,7 @@ def verify(spark: SparkSession, a) -> None:
 def status(spark: SparkSession, a) -> None:
     d = readers.reports(spark, f"{a.output}/*/complete.json", "complete boolean")
     r = results.completed(d.withColumn("stage", F.when(F.col("complete"), "complete"))).first()
-    logger().info("%s of %s reports are complete", r["completed"], r["runs"])
+    logging.getLogger("tarnmill").info("%s of %s reports are complete", r["completed"], r["runs"])
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -59,6 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "build":
             s.add_argument("--source", required=True)
     a = p.parse_args(argv)
+    logging.basicConfig(format="%(asctime)s %(message)s", level=logging.INFO)
     a.run(SparkSession.builder.getOrCreate(), a)
 
 

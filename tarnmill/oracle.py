@@ -84,6 +84,11 @@ SELECT source_row, h AS text_sha256, i AS source_id FROM r JOIN walk USING (k) W
 t AS (SELECT split, token_start, list_concat(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), lambda w: ('0x' || substr(sha256(w), 1, 7))::INTEGER), [0])[1:(token_end - token_start)] AS ts FROM spans),
 u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS id FROM t)
 SELECT split, (pos // 2048)::BIGINT AS block_id, count(*)::BIGINT AS tokens, min(id) AS low, max(id) AS high, sum(id)::BIGINT AS total FROM u GROUP BY ALL""",
+    "npy_block_scan": f"""WITH {_FULL},
+t AS (SELECT split, token_start, list_concat(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), lambda w: ('0x' || substr(sha256(w), 1, 7))::INTEGER), [0])[1:(token_end - token_start)] AS ts FROM spans),
+u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS id FROM t)
+SELECT block_id, low, high, total FROM (SELECT (pos // 2048)::BIGINT AS block_id, count(*) AS n, min(id) AS low, max(id) AS high, sum(id)::BIGINT AS total FROM u WHERE split = 'train' GROUP BY ALL) WHERE n = 2048 AND block_id >= 2""",
+    "json_line_numbers": r"SELECT doc_id::VARCHAR AS id, sha256(text) AS text_sha256, true AS complete FROM documents WHERE regexp_matches(text, '\S')",
     "calibration_blocks": f"""WITH {_FULL},
 t AS (SELECT token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans WHERE split = 'train'),
 u AS (SELECT token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t),

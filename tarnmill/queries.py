@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, text, tokenizers
 from .operators import corpus, experts, grouping, moments, pack, results, routing
 from .plans.corpus_build import Recipe, packed, raw_documents, raw_records, report
-from .sources import readers
+from .sources import npy, readers, writers
 
 RECIPE = Recipe()
 #: The reference's 20,480 blocks of 2,048 tokens, 41.9 million in all.
@@ -110,6 +112,30 @@ def packed_ids(spark, d):
     return b.select("split", "block_id", id_).groupBy("split", "block_id").agg(F.count("*").alias("tokens"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum("id").alias("total"))
 
 
+def npy_block_scan(spark, d):
+    """The full training blocks of ids, written as .npy shards, verified, and read by a range of blocks."""
+    raw = raw_documents(_docs(spark, d), FULL, TWO[:1])
+    b = pack.blocks(pack.spans(raw, FULL.targets, "words"), FULL.block_size, TWO[0].ids).where((F.col("split") == "train") & (F.size("tokens") == FULL.block_size))
+    path = f"{corpus.shared_dir(spark)}/npy-{uuid.uuid4().hex}"
+    npy.write_blocks(b, path)
+    got = npy.read_verified(spark, path, FULL.block_size, TWO[0].size).where("block_id >= 2")
+    return got.select("block_id", F.array_min("tokens").alias("low"), F.array_max("tokens").alias("high"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def json_line_numbers(spark, d):
+    """Documents written as JSON lines by split and read back strictly, with the numbers of their lines; complete: a file's
+    numbers are 1 to its number of lines."""
+    path = f"{corpus.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    c = corpus.candidates(_docs(spark, d)).select(corpus.split_of(F.col("text_sha256"), RECIPE.seed, RECIPE.blocks).alias("split"), F.col("source_row").alias("id"), "text")
+    writers.split_json_lines(c, path)
+    lines = readers.line_numbers(readers.text_lines(spark, f"{path}/split=*"))
+    fault = readers.line_fault(F.col("value"), ["text"])
+    read = lines.select("file", "line", F.when(fault.isNull(), F.from_json("value", readers.DOCUMENT)).alias("r"))
+    whole = Window.partitionBy("file")
+    read = read.withColumn("complete", (F.max("line").over(whole) == F.count("*").over(whole)) & (F.min("line").over(whole) == 1))
+    return read.select(F.col("r.id").alias("id"), F.sha2("r.text", 256).alias("text_sha256"), "complete")
+
+
 def _train_blocks(spark, d):
     return packed(raw_documents(_docs(spark, d), FULL), FULL)[1].where("split = 'train'")
 
@@ -601,7 +627,7 @@ def causal_loss(spark, d):
 
 QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
-    full_quota_admission, capped_admission, full_pack_spans, full_pack_blocks,
+    full_quota_admission, capped_admission, npy_block_scan, json_line_numbers, full_pack_spans, full_pack_blocks,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
     balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
     parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,

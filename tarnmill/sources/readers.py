@@ -2,24 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import not_blank
+from ..operators.expect import expect
+
 DOCUMENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("url", T.StringType())])
 TRAIN_LOG = T.StructType([T.StructField("step", T.LongType()), T.StructField("input_tokens", T.LongType()), T.StructField("train_nll", T.DoubleType()), T.StructField("grad_norm", T.DoubleType()), T.StructField("train_seconds", T.DoubleType()), T.StructField("peak_allocated_gib", T.DoubleType())])
 
 
-def json_lines(spark: SparkSession, paths: list[str] | str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """JSON lines, gzipped by suffix; blank lines are skipped and malformed ones are errors."""
-    return spark.read.schema(schema).json(paths, mode="FAILFAST")
+#: Characters beyond which a line is too long for a variant; its members' types are then read from its text.
+LONG_LINE = 4_000_000
+
+
+def text_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Lines of text files, gzipped by suffix: file, start (of the part of the file that a task reads), at (a number that grows
+    by one from line to line of a part) and value."""
+    d = spark.read.text(paths)
+    return d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _parts(lines: DataFrame) -> DataFrame:
+    """One row per part of a file: its first line's `at`, its lines, and how many lines of the file come before it: a
+    prefix sum over a file's parts, which are as few as its blocks."""
+    parts = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    over = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("before", F.coalesce(F.sum("lines").over(over), F.lit(0)))
 
 
-def malformed_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Lines that hold no JSON object, with their file: for diagnosis."""
-    d = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    object_ = F.json_object_keys("value").isNotNull()
-    return d.where((F.trim("value") != "") & ~F.coalesce(object_, F.lit(False)))
+def line_numbers(lines: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Adds `line`, the number in its file from 1, to the rows of text_lines() (or to some of them, `of`). Files of any size
+    are read in parts; only the counts of the parts are summed in order."""
+    return (lines if of is None else of).join(_parts(lines).select("file", "start", "first", "before"), ["file", "start"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).drop("first", "before")
+
+
+def line_fault(value: Column, strings: list[str]) -> Column:
+    """What is wrong with a line of a strict JSON file, null if nothing is: no JSON, no object, or a member that is to be a
+    string and is none (or is missing). A blank line is right.
+
+    Spark's parser stops at the end of a first value. Within brackets and within braces alike, nothing can follow it.
+    """
+    listed, held = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"k":'), value, F.lit("}")))
+    kind = lambda v: F.schema_of_variant(v)
+    parsed = F.try_variant_get(listed, "$[0]", "variant")
+    wrong = F.when(listed.isNull() | held.isNull(), "no JSON").when(~F.startswith(kind(parsed), F.lit("OBJECT")), "no JSON object")
+    for name in strings:
+        member = F.try_variant_get(parsed, f"$.{name}", "variant")
+        wrong = wrong.when(member.isNull() | (kind(member) != "STRING"), f"no string {name}")
+    keys = F.json_object_keys(value)
+    long_ = F.when(keys.isNull() | ~F.endswith(F.rtrim(value), F.lit("}")), "no JSON object")
+    for name in strings:
+        long_ = long_.when(~F.array_contains(keys, name), f"no string {name}")
+    return F.when(not_blank(value), F.when(F.length(value) > LONG_LINE, long_).otherwise(wrong))
+
+
+def json_lines(spark: SparkSession, paths: list[str] | str, schema: T.StructType = DOCUMENT, strings: list[str] | None = None) -> DataFrame:
+    """JSON lines, gzipped by suffix; blank lines are skipped. A line that holds no JSON object (an array of objects, say), or
+    whose members in `strings` (text, if the schema has it) are no strings, is an error that names its file and part;
+    check_json_lines() names its number."""
+    strings = ["text"] * ("text" in schema.names) if strings is None else strings
+    d = text_lines(spark, paths)
+    fault = line_fault(F.col("value"), strings)
+    where = F.concat(fault, F.lit(" at "), "file", F.lit(", part from byte "), F.col("start").cast("string"))
+    right = F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(where).cast("boolean"))
+    return d.where(right & not_blank(F.col("value"))).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def faulty_lines(spark: SparkSession, paths: list[str] | str, strings: list[str]) -> DataFrame:
+    """file, line, fault and value of the lines that are errors to json_lines()."""
+    lines = text_lines(spark, paths)
+    bad = lines.withColumn("fault", line_fault(F.col("value"), strings)).where("fault IS NOT NULL")
+    return line_numbers(lines, bad).select("file", "line", "fault", "value")
+
+
+def check_json_lines(spark: SparkSession, paths: list[str] | str, schema: T.StructType = DOCUMENT, strings: list[str] | None = None) -> DataFrame:
+    """json_lines() after a pass over all lines whose error names the first faulty ones as path:line."""
+    strings = ["text"] * ("text" in schema.names) if strings is None else strings
+    if bad := faulty_lines(spark, paths, strings).orderBy("file", "line").limit(3).collect():
+        raise ValueError("; ".join(f"{r['fault']} at {r['file']}:{r['line']}" for r in bad))
+    return json_lines(spark, paths, schema, strings)
 
 
 def json_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -35,15 +98,18 @@ def reports(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFram
 
 
 def last_steps(spark: SparkSession, pattern: str, lines: int = 3) -> DataFrame:
-    """The newest step among the last lines of each log; a torn line does not count; 0 without any.
+    """The newest step among the last lines of each log that are not blank; a torn line does not count; 0 without any.
 
-    A log is read as one value, so that its lines keep their order.
+    Spark keeps the last lines of each task before it sends any, so logs of any size are read in parts.
     """
-    d = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    rows = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    tail = F.slice(F.reverse(rows), 1, lines)
-    steps = F.filter(F.transform(tail, lambda x: F.get_json_object(x, "$.step").cast("long")), lambda s: s.isNotNull())
-    return d.select("file", F.coalesce(F.get(steps, F.lit(0)), F.lit(0)).cast("long").alias("step"))
+    rows = text_lines(spark, pattern)
+    newest = Window.partitionBy("file").orderBy(F.col("start").desc(), F.col("at").desc())
+    near = rows.where(F.col("value").rlike(r"\S")).withColumn("back", F.row_number().over(newest)).where(F.col("back") <= lines)
+    tails = near.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("back", "value"))).alias("tail"))
+    steps = F.filter(F.transform("tail", lambda x: F.get_json_object(x["value"], "$.step").cast("long")), lambda s: s.isNotNull())
+    found = tails.select("file", F.get(steps, F.lit(0)).alias("step"))
+    files = rows.select("file").distinct()
+    return files.join(found, "file", "left").select("file", F.coalesce("step", F.lit(0)).cast("long").alias("step"))
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
@@ -62,13 +128,6 @@ def with_default(keys: DataFrame, values: DataFrame, on: list[str], **defaults)
     return keys.join(values, on, "left").withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Malformed lines of one file with their numbers from 1, for the message of an error. The file is read as one value."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    d = d.where(F.trim("value") != "").withColumn("line", F.col("line") + 1)
-    return d.where(~F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False)))
-
-
 def file_system(spark: SparkSession, path: str):
     """Hadoop's path and file system of a path; they reach every store that Spark reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -108,28 +167,6 @@ def open_source(spark: SparkSession, source: dict, paths: list[str] | None = Non
     return json_lines(spark, paths, schema)
 
 
-def token_blocks(spark: SparkSession, path: str, sha256: str, size: int, tokens: int, most: int = 0) -> DataFrame:
-    """block_id and tokens of a two-dimensional integer .npy file, after its digest, row length and id range were checked; the
-    first `most` blocks (0: all). The file must fit into a row; larger corpora are Parquet."""
-    import io
-
-    import numpy as np
-    import pyarrow as pa
-
-    def rows(batches):
-        for b in batches:
-            for content in b.column(0):
-                a = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
-                if a.ndim != 2 or a.shape[1] != size or a.dtype.kind not in "iu" or not a.size or a.min() < 0 or a.max() >= tokens:
-                    raise ValueError(f"{path} holds no blocks of {size} ids below {tokens}")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(list(a.astype(np.int32)), pa.list_(pa.int32()))], names=["block_id", "tokens"])
-
-    d = spark.read.format("binaryFile").load(path)
-    right = F.when(F.sha2("content", 256) == sha256, F.lit(True)).otherwise(F.raise_error(F.lit(f"{path} is not the file that was recorded")).cast("boolean"))
-    out = d.where(right).select("content").mapInArrow(rows, "block_id long, tokens array<int>")
-    return out.where(F.col("block_id") < most) if most else out
-
-
 def snapshot_tree(spark: SparkSession, path: str) -> DataFrame:
     """task, split, rows, fingerprint of a JSON tree of tasks of any depth; a leaf has splits. Names are joined by slashes."""
     import json
@@ -147,25 +184,45 @@ def snapshot_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "task string, split string, rows long, fingerprint string")
 
 
-def checkpoint_identity(spark: SparkSession, folder: str) -> dict:
-    """Names, sizes and times of a model's weight files, and the digests of its configuration and indices."""
-    d = spark.read.format("binaryFile").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = d.select(name.alias("name"), "length", "modificationTime")
-    listed = files.where(F.col("name").endswith(".safetensors")).orderBy("name").collect() or files.where(F.col("name").rlike(r"^pytorch_model.*\.bin$")).orderBy("name").collect()
-    if not listed:
-        raise FileNotFoundError(f"{folder} holds no weights")
-    small = d.where((name == "config.json") | name.endswith(".index.json")).select(name.alias("name"), F.sha2("content", 256).alias("sha256")).collect()
-    digests = {r["name"]: r["sha256"] for r in small}
-    return {"config_sha256": digests.pop("config.json", None), "index_sha256": digests, "weight_files": [{"name": r["name"], "bytes": r["length"], "modified": r["modificationTime"].timestamp()} for r in listed]}
-
+# The names of a model folder's files by their kind, as patterns; a tokenizer's configuration, its vocabularies
+# (one of them must be there) and what may go with them.
+FILE_KINDS = {
+    "config": r"config\.json",
+    "index": r".*\.index\.json",
+    "weights": r".*\.safetensors",
+    "old weights": r"pytorch_model.*\.bin",
+    "tokenizer": r"tokenizer_config\.json",
+    "vocabulary": r"tokenizer\.json|tokenizer\.model|vocab\.json|vocab\.txt|spiece\.model",
+    "tokenizer part": r"merges\.txt|special_tokens_map\.json|added_tokens\.json",
+}
 
-#: The files that a tokenizer may consist of; it needs the first and one of the next five.
-TOKENIZER_FILES = ["tokenizer_config.json", "tokenizer.json", "tokenizer.model", "vocab.json", "vocab.txt", "spiece.model", "merges.txt", "special_tokens_map.json", "added_tokens.json"]
 
-
-def tokenizer_files(spark: SparkSession, folder: str) -> dict[str, str]:
-    got = {r["file"]: r["sha256"] for r in file_digests(spark, folder).where(F.col("file").isin(*TOKENIZER_FILES)).collect()}
-    if TOKENIZER_FILES[0] not in got or not any(n in got for n in TOKENIZER_FILES[1:6]):
-        raise FileNotFoundError(f"{folder} holds no whole tokenizer")
-    return got
+def model_files(spark: SparkSession, folder: str, kinds: list[str], digests: list[str]) -> DataFrame:
+    """kind, name, bytes, modified and sha256 of a model folder's files of some kinds; only files of the kinds in `digests` are
+    read, the others have no sha256."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.coalesce(*(F.when(name.rlike(f"^(?:{FILE_KINDS[k]})$"), k) for k in kinds))
+    listed = lambda chosen: spark.read.format("binaryFile").load(folder).withColumn("kind", kind).where(F.col("kind").isin(*chosen))
+    told = ["kind", name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
+    rest = [k for k in kinds if k not in digests]
+    out = listed(digests).select(*told, F.sha2("content", 256).alias("sha256"))
+    return out.union(listed(rest).select(*told, F.lit(None).cast("string").alias("sha256"))) if rest else out
+
+
+def checkpoint_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of model_files() that tell a checkpoint: its weights by name, size and time, configuration and indices by digest.
+    Weights of the old kind count only where there are no others; a folder without weights is an error."""
+    files = model_files(spark, folder, ["config", "index", "weights", "old weights"], ["config", "index"])
+    newest = Window.partitionBy(F.startswith("kind", F.lit("old")) | (F.col("kind") == "weights"))
+    heaviest = F.max(F.col("kind")).over(newest)  # "weights" sorts behind "old weights"
+    kept = files.withColumn("best", heaviest).where(~F.col("kind").endswith("weights") | (F.col("kind") == F.col("best"))).drop("best")
+    expect(kept.agg(F.count_if(F.col("kind").endswith("weights")).alias("n")), weights=F.col("n") > 0)
+    return kept
+
+
+def tokenizer_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of model_files() of a tokenizer; without its configuration or any vocabulary it is not whole, an error."""
+    kinds = ["tokenizer", "vocabulary", "tokenizer part"]
+    files = model_files(spark, folder, kinds, kinds)
+    expect(files.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds[:2])), configuration=F.col("tokenizer") > 0, vocabulary=F.col("vocabulary") > 0)
+    return files

@@ -37,7 +37,8 @@ def csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> No
 
 
 def _replace(spark: SparkSession, path: str, content: bytes, overwrite: bool) -> None:
-    """Writes a small file beside its place and renames it, through Hadoop's file systems."""
+    """Writes a small file beside its place and renames it over it in one step, through Hadoop's file systems: at any moment
+    the place holds the old content or the new one."""
     to, fs = file_system(spark, path)
     beside, _ = file_system(spark, f"{path}.building")
     if fs.exists(to) and not overwrite:
@@ -46,10 +47,12 @@ def _replace(spark: SparkSession, path: str, content: bytes, overwrite: bool) ->
     out.write(bytearray(content))
     out.hsync()
     out.close()
-    if overwrite:
-        fs.delete(to, False)
-    if not fs.rename(beside, to):
-        raise OSError(f"{path} could not be put in its place")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    choice = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(choice, 1)
+    how[0] = choice.OVERWRITE if overwrite else choice.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(to), how)
 
 
 def jsonable(value):

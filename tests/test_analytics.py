@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import numeric
 from tarnmill.operators import grouping, moments, results, routing
-from tarnmill.sources import readers, writers
+from tarnmill.sources import npy, readers, writers
 from tarnmill.streaming import ingest
 
 
@@ -118,7 +118,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"text": "x"}\nnot json\n')
     with pytest.raises(Exception):
         readers.json_lines(spark, str(tmp_path / "b.jsonl")).collect()
-    assert [r["value"] for r in readers.malformed_lines(spark, str(tmp_path / "b.jsonl")).collect()] == ["not json"]
+    assert [(r["line"], r["value"]) for r in readers.faulty_lines(spark, str(tmp_path / "b.jsonl"), ["text"]).collect()] == [(2, "not json")]
     for run, text in (("r1", '{"step": 1}\n{"step": 2}\n{"st'), ("r2", "")):
         (tmp_path / run).mkdir()
         (tmp_path / run / "train.jsonl").write_text(text)
@@ -129,7 +129,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "x" / "r.json").read_text()) == {"a": [1, 2, 3], "b": [0, 1], "c": str(tmp_path)}
     with pytest.raises(ValueError):
         writers.json_report(spark, {"a": float("nan")}, f"{tmp_path}/n.json")
-    assert [r["line"] for r in readers.numbered_lines(spark, str(tmp_path / "b.jsonl")).collect()] == [2]
     assert readers.train_log(spark, f"{tmp_path}/absent.jsonl").collect() == []
     d = readers.file_digests(spark, str(tmp_path / "a.jsonl")).first()
     assert d["file"] == "a.jsonl" and len(d["sha256"]) == 64
@@ -147,10 +146,11 @@ def test_array_files_and_sources(spark, tmp_path):
     with pytest.raises(FileExistsError):
         writers.array_file(spark, blocks, f"{tmp_path}/t.npy")
     digest = hashlib.sha256((tmp_path / "t.npy").read_bytes()).hexdigest()
-    assert [r["tokens"] for r in readers.token_blocks(spark, f"{tmp_path}/t.npy", digest, 4, 12, most=2).orderBy("block_id").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7]]
-    for bad in (dict(size=3, tokens=12, sha256=digest), dict(size=4, tokens=11, sha256=digest), dict(size=4, tokens=12, sha256="0" * 64)):
+    first_two = npy.read_verified(spark, f"{tmp_path}/t.npy", 4, 12, digest).where("block_id < 2")
+    assert [r["tokens"] for r in first_two.orderBy("block_id").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    for bad in (dict(size=3, ids=12, sha256=digest), dict(size=4, ids=11, sha256=digest), dict(size=4, ids=12, sha256="0" * 64)):
         with pytest.raises(Exception):
-            readers.token_blocks(spark, f"{tmp_path}/t.npy", **bad).collect()
+            npy.read_verified(spark, f"{tmp_path}/t.npy", **bad).collect()
     (tmp_path / "a.jsonl").write_text('{"text": "x"}\n')
     source = readers.describe_source(spark, [f"{tmp_path}/a.jsonl"])
     assert source["files"][0]["name"] == "a.jsonl" and readers.open_source(spark, source, [f"{tmp_path}/a.jsonl"]).count() == 1
@@ -171,11 +171,15 @@ def test_array_files_and_sources(spark, tmp_path):
     for name in ("config.json", "w.safetensors", "w.index.json", "tokenizer_config.json"):
         (model / name).write_text("{}")
     identity = readers.checkpoint_identity(spark, str(model))
-    assert [f["name"] for f in identity["weight_files"]] == ["w.safetensors"] and set(identity["index_sha256"]) == {"w.index.json"}
-    with pytest.raises(FileNotFoundError):
+    (model / "pytorch_model-1.bin").write_text("old")
+    none = hashlib.sha256(b"{}").hexdigest()
+    assert sorted((r["kind"], r["name"], r["bytes"], r["sha256"]) for r in identity.collect()) == [("config", "config.json", 2, none), ("index", "w.index.json", 2, none), ("weights", "w.safetensors", 2, None)]
+    (model / "w.safetensors").unlink()
+    assert [r["name"] for r in readers.checkpoint_identity(spark, str(model)).where("kind like '%weights'").collect()] == ["pytorch_model-1.bin"]
+    with pytest.raises(ValueError, match="vocabulary"):
         readers.tokenizer_files(spark, str(model))
     (model / "tokenizer.json").write_text("{}")
-    assert set(readers.tokenizer_files(spark, str(model))) == {"tokenizer.json", "tokenizer_config.json"}
+    assert {r["name"] for r in readers.tokenizer_files(spark, str(model)).collect()} == {"tokenizer.json", "tokenizer_config.json"}
     d = spark.createDataFrame([("a", 1, "x"), ("a", 0, "y"), ("b", 0, "z")], "split string, k long, text string")
     one, two = (sorted(map(tuple, writers.digested_splits(x, f"{tmp_path}/{n}", "k").collect())) for n, x in (("p", d), ("q", d.orderBy("text").repartition(3))))
     assert one == two and [r[:2] for r in one] == [("a", 2), ("b", 1)]

@@ -231,29 +231,9 @@ def test_tokenizer_files(spark):
         docs.select(FileTokenizer(file.path, 1, 100).ids(F.col("text"))).collect()
 
 
-def test_protocol_and_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path):
     from tarnmill import __main__ as cli
-    from tarnmill.functions.text import canonical_digest
-    from tarnmill.plans import protocol
-
-    (tmp_path / "c.json").write_text('{"data": "in", "output": "/x", "steps": 2}')
-    assert protocol.load_config(str(tmp_path / "c.json")) == {"data": str(tmp_path / "in"), "output": "/x", "steps": 2}
-    good = {"steps": 2, "accumulation": 2, "eval_every": 1, "save_every": 1, "seeds": [1, 2]}
-    assert protocol.check_protocol(good, 4, 2048) == good
-    for bad in ({"steps": 3}, {"seeds": [1, 1]}, {"seeds": [-1]}, {"eval_every": 0}, {"save_every": 1.5}):
-        with pytest.raises(ValueError):
-            protocol.check_protocol(good | bad, 4, 2048)
-    assert protocol.collection_settings({})["fit_blocks"] == 384
-    for bad in ({"fraction": 1.0}, {"probes": 0}, {"probes": 1 << 30}, {"fraction": 1e-9}):
-        with pytest.raises(ValueError):
-            protocol.collection_settings(bad)
-    recipe = {"model": "m", "method": "x", "seed": 1, "config": {"steps": 4}}
-    done = {"complete": True, "recipe_sha256": canonical_digest(recipe), "model": "m", "method": "x", "seed": 1, "final_step": 4}
-    assert protocol.check_run(recipe, done) == done
-    for bad in ({"complete": False}, {"seed": 2}, {"final_step": 3}, {"recipe_sha256": ""}):
-        with pytest.raises(ValueError):
-            protocol.check_run(recipe, done | bad)
-    assert protocol.ready({"complete": True, "files_sha256": {"a": "1"}}, {"a": "1", "b": "2"}) and not protocol.ready({"complete": True, "files_sha256": {"a": "1"}}, {})
+
     spark.createDataFrame([(i, f"w{i} x y z", f"s{i}") for i in range(200)], "source_row long, text string, source_id string").write.parquet(f"{tmp_path}/docs")
     size = ["--block-size", "10", "--train", "8", "--valid", "1", "--test", "1"]
     cli.main(["build", "--source", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", *size])
