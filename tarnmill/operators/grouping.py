@@ -7,11 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expect import finite, guarded
 
 def largest_remainder(scores: DataFrame, budget: int, by: list[str], key: str, score: str) -> DataFrame:
-    """Adds `seats`: shares of the budget rounded down, and one more for the largest remainders, ties by key."""
+    """Adds `seats`: shares of the budget rounded down, and one more for the largest remainders, ties by key. A budget below 1,
+    and scores that are negative, not finite or all zero, are errors."""
+    if budget < 1:
+        raise ValueError("the budget must be 1 or more")
     w = Window.partitionBy(*by)
-    d = scores.withColumn("__q", F.col(score) * F.lit(float(budget)) / F.sum(score).over(w)).withColumn("__f", F.floor("__q"))
+    fair = finite(F.col(score).cast("double")) & (F.col(score) >= 0) & (F.sum(score).over(w) > 0)
+    d = guarded(scores.withColumn("__fair", fair), F.col("__fair"), "scores must be finite, not negative and not all zero").drop("__fair")
+    d = d.withColumn("__q", F.col(score) * F.lit(float(budget)) / F.sum(score).over(w)).withColumn("__f", F.floor("__q"))
     left = F.lit(budget) - F.sum("__f").over(w)
     rank = F.row_number().over(w.orderBy((F.col("__q") - F.col("__f")).desc(), F.col(key)))
     return d.withColumn("__r", rank).withColumn("seats", (F.col("__f") + F.when(F.col("__r") <= left, 1).otherwise(0)).cast("long")).drop("__q", "__f", "__r")
@@ -158,26 +164,48 @@ def group_plans(points: DataFrame, by: list[str], key: str, vector: str, traffic
     return points.select(*by, key, vector, traffic).groupBy(*by).applyInPandas(one, schema)
 
 
-def permutation_null(points: DataFrame, by: list[str], key: str, label: str, vector: str, repeats: int, seed: int) -> DataFrame:
-    """Within-to-overall distance ratio of each group, and its mean and 5 % and 95 % quantiles when labels are permuted."""
+def distance_table(points: DataFrame, by: list[str], key: str, vector: str, tile: int = 256) -> DataFrame:
+    """by, a, b, distance: squared distances of all pairs a < b of a group, each once.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), float)
-        x = x - x.mean(0)
-        dist, labels, rng = _distances(x @ x.T), pdf[label].to_numpy(), np.random.default_rng(seed)
-        up = np.triu_indices(len(x), 1)
+    Points are dealt to tiles of about `tile` by their key; a tile meets itself and those behind it, so a point is sent once for each tile of
+    its group and no task holds more than two tiles at a time.
+    """
+    n = points.groupBy(*by).agg(F.ceil(F.count("*") / tile).cast("int").alias("__tiles")) if by else points.agg(F.ceil(F.count("*") / tile).cast("int").alias("__tiles"))
+    p = points.select(*by, F.col(key).alias("__k"), F.col(vector).alias("__v"))
+    p = (p.join(n, by) if by else p.join(F.broadcast(n))).withColumn("__t", F.pmod(F.xxhash64("__k"), F.col("__tiles")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))
+    left = p.select(*by, F.col("__k").alias("ka"), F.col("__v").alias("va"), F.col("__t").alias("ta"), others.alias("tb")).where("ta <= tb")
+    right = p.select(*by, F.col("__k").alias("kb"), F.col("__v").alias("vb"), F.col("__t").alias("tb"), others.alias("ta")).where("ta <= tb")
+    met = left.join(right, [*by, "ta", "tb"]).where((F.col("ta") < F.col("tb")) | (F.col("ka") < F.col("kb")))
+    distance = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda t, x: t + x)
+    return met.select(*by, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), distance.alias("distance"))
 
-        def ratio(v):
-            same = (v[:, None] == v[None])[up]
-            return dist[up][same].mean() / dist[up].mean() if same.any() and dist[up].mean() > 1e-20 else np.nan
 
-        draws = np.array([ratio(rng.permutation(labels)) for _ in range(repeats)])
-        draws = draws[~np.isnan(draws)]  # permutations without a pair of one label, or of equal points, have no ratio
-        null = [draws.mean(), *np.quantile(draws, [0.05, 0.95])] if len(draws) else [None] * 3
-        own = ratio(labels)
-        return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), None if np.isnan(own) else own, *null]], columns=[*by, "ratio", "null_mean", "null_q05", "null_q95"])
+def distance_ratio(table: DataFrame, labels: DataFrame, by: list[str], key: str, label: str) -> DataFrame:
+    """by, within, overall, ratio: the mean distance of the pairs of one label over that of all pairs, from a distance_table() and
+    any labels (by, key, label). Null without a pair of one label, or if the overall mean is at most 1e-20."""
+    side = lambda k, name: labels.select(*by, F.col(key).alias(k), F.col(label).alias(name))
+    own = [c for c in by if c in table.columns]
+    d = table.join(side("a", "__la"), [*own, "a"]).join(side("b", "__lb"), [*by, "b"])
+    g = d.groupBy(*by).agg(F.avg(F.when(F.col("__la") == F.col("__lb"), F.col("distance"))).alias("within"), F.avg("distance").alias("overall"))
+    return g.withColumn("ratio", F.when(F.col("overall") > 1e-20, F.col("within") / F.col("overall")))
 
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", ratio double, null_mean double, null_q05 double, null_q95 double"
-    return points.select(*by, key, label, vector).groupBy(*by).applyInPandas(one, schema)
+
+def permuted_labels(labels: DataFrame, by: list[str], key: str, label: str, repeats: int, seed: int) -> DataFrame:
+    """by, rep, key, label: for each repetition the labels of a group, dealt anew: the i-th key gets the label of the key with
+    the i-th smallest digest of (seed, repetition, key)."""
+    d = labels.select(*by, F.col(key).alias("__k"), F.col(label).alias("__l")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("__k").cast("string")), 256)
+    group = Window.partitionBy(*by, "rep")
+    d = d.withColumn("__i", F.row_number().over(group.orderBy("__k"))).withColumn("__j", F.row_number().over(group.orderBy(draw, "__k")))
+    return d.select(*by, "rep", F.col("__i").alias("__p"), F.col("__k").alias(key)).join(d.select(*by, "rep", F.col("__j").alias("__p"), F.col("__l").alias(label)), [*by, "rep", "__p"]).drop("__p")
+
+
+def permutation_null(points: DataFrame, by: list[str], key: str, label: str, vector: str, repeats: int, seed: int) -> DataFrame:
+    """Within-to-overall distance ratio of each group, and its mean and 5 % and 95 % quantiles when labels are permuted; a
+    permutation without a ratio does not count."""
+    table = distance_table(points, by, key, vector)
+    own = distance_ratio(table, points, by, key, label).select(*by, "ratio")
+    drawn = distance_ratio(table, permuted_labels(points, by, key, label, repeats, seed), [*by, "rep"], key, label)
+    null = drawn.groupBy(*by).agg(F.avg("ratio").alias("null_mean"), F.percentile("ratio", 0.05).alias("null_q05"), F.percentile("ratio", 0.95).alias("null_q95"))
+    return own.join(null, by, "left")

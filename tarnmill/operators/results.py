@@ -75,25 +75,30 @@ def block_groups(rows: DataFrame, by: list[str], block: str, value: str, size: i
     return rows.groupBy(*by, F.floor(F.col(block) / size).alias("block_group")).agg(F.count("*").alias("blocks"), F.avg(value).alias("mean"))
 
 
-def bootstrap(groups: DataFrame, seed_col: str, group_col: str, value: str, repeats: int = 2000, seed: int = 0) -> DataFrame:
-    """Hierarchical percentile interval: resamples seeds and block groups and averages the cells of both draws.
+def bootstrap(groups: DataFrame, seed_col: str, group_col: str, value: str, repeats: int = 2000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """by, mean, low, high: hierarchical percentile intervals; each repetition resamples seeds and block groups and averages the
+    cells of both draws.
 
-    A draw is a digest of (seed, repetition, position), so that a result can be repeated. The grid of seeds and block
-    groups is a table of results; a repetition joins it with the multiplicities of its draws.
+    A draw is a digest of (seed, repetition, position) modulo the number of seeds or groups, the same for each `by`, so that a
+    result can be repeated anywhere. A repetition joins the grid with the multiplicities of its draws.
     """
-    s, g = groups.select(seed_col).distinct(), groups.select(group_col).distinct()
-
-    def multiplicities(ids: DataFrame, col: str, salt: str) -> DataFrame:
-        w = Window.orderBy(col)
-        d = ids.withColumn("__k", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
-        d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        drawn = d.select("rep", F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "rep", "__k"), F.col("__n")).alias("__k")).groupBy("rep", "__k").agg(F.count("*").alias(f"__m_{salt}"))
-        return drawn.join(ids.withColumn("__k", (F.row_number().over(w) - 1).cast("long")), "__k").drop("__k")
-
-    cells = multiplicities(s, seed_col, "s").join(multiplicities(g, group_col, "g"), "rep").join(groups.select(seed_col, group_col, value), [seed_col, group_col])
+    by = by or []
+
+    def multiplicities(col: str, salt: str) -> DataFrame:
+        ids = groups.select(*by, col).distinct()
+        all_ = Window.partitionBy(*by)
+        ids = ids.withColumn("__k", F.row_number().over(all_.orderBy(col)) - 1).withColumn("__n", F.count("*").over(all_))
+        d = ids.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("rep").cast("string"), F.col("__k").cast("string")), 256)
+        drawn = d.select(*by, "rep", (F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long") % F.col("__n")).cast("int").alias("__k"))
+        return drawn.groupBy(*by, "rep", "__k").agg(F.count("*").alias(f"__m_{salt}")).join(ids.drop("__n"), [*by, "__k"]).drop("__k")
+
+    cells = multiplicities(seed_col, "s").join(multiplicities(group_col, "g"), [*by, "rep"]).join(groups.select(*by, seed_col, group_col, value), [*by, seed_col, group_col])
     weight = F.col("__m_s") * F.col("__m_g")
-    means = cells.groupBy("rep").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")).join(groups.agg(F.avg(value).alias("mean")))
+    means = cells.groupBy(*by, "rep").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("mean"))
+    bands = means.groupBy(*by).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    own = groups.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return own.join(bands, by) if by else own.join(bands)  # one row each
 
 
 def quantile_band(rows: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -182,14 +187,14 @@ def recovery(curve: DataFrame, references: DataFrame, budgets: DataFrame, by: li
 
 
 def contrasts(blocks: DataFrame, method: str, first: str, keys: list[str], value: str) -> DataFrame:
-    """The differences of one method to every other one on the same rows, and the ratio that their mean stands for."""
-    ours = blocks.where(F.col(method) == first)
-    others = [r[0] for r in blocks.select(method).distinct().orderBy(method).collect() if r[0] != first]  # a few methods
-    out = None
-    for other in others:
-        d = paired_delta(ours, blocks.where(F.col(method) == other), keys, value).withColumn("contrast", F.lit(f"{first} - {other}"))
-        out = d if out is None else out.union(d)
-    return out
+    """keys, delta, contrast: the differences of one method to every other one on the same rows, by one join. A row of one side
+    only is an error."""
+    others = blocks.where(F.col(method) != first)
+    ours = blocks.where(F.col(method) == first).select(*keys, F.col(value).alias("__a")).join(others.select(method).distinct())  # a few methods
+    d = ours.join(others.select(*keys, method, F.col(value).alias("__b")), [*keys, method], "full_outer")
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    delta = F.when(both, F.col("__a") - F.col("__b")).otherwise(F.raise_error(F.lit("the sides have different rows")).cast("double"))
+    return d.select(*keys, delta.alias("delta"), F.concat(F.lit(f"{first} - "), F.col(method)).alias("contrast"))
 
 
 def contrast_summary(deltas: DataFrame, seed: str) -> DataFrame:

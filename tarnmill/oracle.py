@@ -108,6 +108,24 @@ SELECT vec_id, j::INTEGER AS dim, round(sum(x * w), 6) AS value FROM x JOIN w US
 t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans),
 u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t)
 SELECT split, (pos // 2048)::BIGINT AS block_id, count(*)::BIGINT AS tokens, sha256(string_agg(token, ' ' ORDER BY pos)) AS content_sha256 FROM u GROUP BY ALL""",
+    "distance_table": f"WITH {_POINTS} SELECT a.layer, a.expert AS a, b.expert AS b, round(list_distance(a.v, b.v) ** 2, 6) AS distance FROM points a JOIN points b ON a.layer = b.layer AND a.expert < b.expert",
+    "distance_ratio": f"""WITH {_POINTS}, p AS (SELECT a.layer, a.traffic % 2 = b.traffic % 2 AS same, list_distance(a.v, b.v) ** 2 AS x FROM points a JOIN points b ON a.layer = b.layer AND a.expert < b.expert)
+SELECT layer, round(avg(x) FILTER (WHERE same), 6) AS within, round(avg(x), 6) AS overall, round(avg(x) FILTER (WHERE same) / avg(x), 6) AS ratio FROM p GROUP BY layer""",
+    "permutation_null": f"""WITH {_POINTS}, pairs AS (SELECT a.layer, a.expert AS a, b.expert AS b, list_distance(a.v, b.v) ** 2 AS x FROM points a JOIN points b ON a.layer = b.layer AND a.expert < b.expert),
+reps AS (SELECT layer, expert, expert % 3 AS label, unnest(range(100)) AS rep FROM points),
+places AS (SELECT *, row_number() OVER (PARTITION BY layer, rep ORDER BY expert) AS i, row_number() OVER (PARTITION BY layer, rep ORDER BY sha256('2:' || rep::VARCHAR || ':' || expert::VARCHAR), expert) AS j FROM reps),
+dealt AS (SELECT k.layer, k.rep, k.expert, l.label FROM places k JOIN places l ON l.layer = k.layer AND l.rep = k.rep AND l.j = k.i),
+drawn AS (SELECT p.layer, s.rep, avg(x) FILTER (WHERE s.label = t.label) / avg(x) AS r FROM pairs p JOIN dealt s ON s.layer = p.layer AND s.expert = p.a JOIN dealt t ON t.layer = p.layer AND t.rep = s.rep AND t.expert = p.b GROUP BY ALL),
+own AS (SELECT layer, avg(x) FILTER (WHERE a % 3 = b % 3) / avg(x) AS ratio FROM pairs GROUP BY layer)
+SELECT layer, round(any_value(ratio), 6) AS ratio, round(avg(r), 6) AS null_mean, round(quantile_cont(r, 0.05), 6) AS null_q05, round(quantile_cont(r, 0.95), 6) AS null_q95 FROM own JOIN drawn USING (layer) GROUP BY layer""",
+    "bootstrap_ci": f"""WITH {_GRID}, delta AS (SELECT 'click - ' || b.method AS contrast, seed, block_id, a.nll - b.nll AS delta FROM grid a JOIN grid b USING (seed, block_id) WHERE a.method = 'click' AND b.method <> 'click'),
+g AS (SELECT contrast, seed, block_id // 32 AS grp, avg(delta) AS x FROM delta GROUP BY ALL),
+s AS (SELECT contrast, seed AS id, 's' AS kind FROM g GROUP BY ALL UNION ALL SELECT contrast, grp, 'g' FROM g GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY contrast, kind ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY contrast, kind) AS n FROM s),
+r AS (SELECT contrast, kind, rep, ('0x' || left(sha256('9:' || kind || ':' || rep::VARCHAR || ':' || k::VARCHAR), 15))::BIGINT % n AS k FROM (SELECT *, unnest(range(2000)) AS rep FROM n)),
+m AS (SELECT r.contrast, r.kind, rep, n.id, count(*) AS times FROM r JOIN n ON n.contrast = r.contrast AND n.kind = r.kind AND n.k = r.k GROUP BY ALL),
+means AS (SELECT g.contrast, a.rep, sum(a.times * b.times * x) / sum(a.times * b.times) AS y FROM m a JOIN m b ON a.contrast = b.contrast AND a.rep = b.rep JOIN g ON g.contrast = a.contrast AND g.seed = a.id AND g.grp = b.id WHERE a.kind = 's' AND b.kind = 'g' GROUP BY ALL)
+SELECT contrast, round(any_value(mean), 6) AS mean, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high FROM means JOIN (SELECT contrast, avg(x) AS mean FROM g GROUP BY contrast) USING (contrast) GROUP BY contrast""",
     "calibration_sample": "SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64",
     "fit_check_partition": "WITH s AS (SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY draw, doc_id) <= 48 THEN 'fit' ELSE 'check' END AS phase FROM s",
     "list_digests": "SELECT conv_id, sha256('[' || string_agg(turn::VARCHAR, ', ' ORDER BY turn) || ']') AS digest FROM conversations GROUP BY conv_id",

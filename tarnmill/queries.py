@@ -307,7 +307,19 @@ def group_plan(spark, d):
 
 def permutation_null(spark, d):
     p = _expert_points(spark, d).withColumn("label", F.col("expert") % 3)
-    return grouping.permutation_null(p, ["layer"], "expert", "label", "v", 100, 2)
+    n = grouping.permutation_null(p, ["layer"], "expert", "label", "v", 100, 2)
+    return n.select("layer", *(_r(c).alias(c) for c in ("ratio", "null_mean", "null_q05", "null_q95")))
+
+
+def distance_table(spark, d):
+    return grouping.distance_table(_expert_points(spark, d), ["layer"], "expert", "v", 16).select("layer", "a", "b", _r("distance").alias("distance"))
+
+
+def distance_ratio(spark, d):
+    """Of each layer, with experts labelled by the parity of their traffic."""
+    p = _expert_points(spark, d)
+    r = grouping.distance_ratio(grouping.distance_table(p, ["layer"], "expert", "v"), p.withColumn("label", F.col("traffic") % 2), ["layer"], "expert", "label")
+    return r.select("layer", *(_r(c).alias(c) for c in ("within", "overall", "ratio")))
 
 
 def parent_coverage_ratio(spark, d):
@@ -395,12 +407,10 @@ def block_group_mean(spark, d):
 
 def bootstrap_ci(spark, d):
     """Intervals of the paired differences of each method to `click`: 2,000 repetitions over seeds and groups of 32 blocks."""
-    c, out = results.contrasts(_grid(spark, d), "method", "click", ["seed", "block_id"], "nll"), None
-    for r in c.select("contrast").distinct().orderBy("contrast").collect():
-        g = results.block_groups(c.where(F.col("contrast") == r[0]), ["seed"], "block_id", "delta", 32)
-        one = results.bootstrap(g, "seed", "block_group", "mean", 2000, 9).withColumn("contrast", F.lit(r[0]))
-        out = one if out is None else out.union(one)
-    return out
+    c = results.contrasts(_grid(spark, d), "method", "click", ["seed", "block_id"], "nll")
+    g = results.block_groups(c, ["contrast", "seed"], "block_id", "delta", 32)
+    b = results.bootstrap(g, "seed", "block_group", "mean", 2000, 9, ["contrast"])
+    return b.select("contrast", *(_r(c_).alias(c_) for c_ in ("mean", "low", "high")))
 
 
 def largest_value(spark, d):
@@ -629,7 +639,7 @@ QUERIES = [
     blank_filter, source_identifier, exact_dedup, hash_split, split_counts, token_counts, two_key_dedup, quota_admission, pack_spans, pack_blocks, corpus_counters, calibration_sample,
     full_quota_admission, capped_admission, npy_block_scan, json_line_numbers, full_pack_spans, full_pack_blocks,
     fit_check_partition, list_digests, vector_moments, centroid_distance, pair_distance_ratio, energy_scaling, softmax_prob, topk_per_row, routing_load_stats, usage_shares, assignment_share,
-    balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null,
+    balance_index, confidence_refinement, random_projection, largest_remainder, greedy_cap3, traffic_cycle, random_cycle, adjusted_rand, canonical_labels, group_plan, permutation_null, distance_table, distance_ratio,
     parent_coverage_ratio, method_summary, completeness, task_average, recovery_curve, excess_auc, first_crossing, step_band, paired_delta, block_group_mean, bootstrap_ci, quantile_band,
     latest_status, run_stage, manifest_diff, lr_schedule, block_cross_entropy, probe_windows,
     probe_coordinates, conditional_prob, routing_totals, expert_dispatch, mean_gradient_energy, seed_stability, traffic_reallocation, plan_summary, plan_variants, micro_batches,

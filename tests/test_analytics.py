@@ -232,3 +232,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["source_row"] for r in full.collect()) == got[:3]
     log = spark.createDataFrame([("r", 1, 10, 0), ("r", 2, 30, 1), ("r", 2, 20, 2)], "run string, step long, input_tokens long, line long")
     assert tuple(ingest.latest_progress(log, line="line").first()) == ("r", 2, 20)
+
+
+def test_distance_table_over_tiles(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i % 2, i, v.tolist(), i % 3) for i, v in enumerate(x)], "g int, i int, v array<double>, l int")
+    got = {(r["g"], r["a"], r["b"]): r["distance"] for r in grouping.distance_table(df, ["g"], "i", "v", tile=3).collect()}
+    want = {(a % 2, a, b): ((x[a] - x[b]) ** 2).sum() for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    table = grouping.distance_table(df, [], "i", "v", tile=7)
+    assert table.count() == 780
+    one = grouping.distance_ratio(table, df, [], "i", "l").first()
+    same = [((x[a] - x[b]) ** 2).sum() for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3]
+    assert math.isclose(one["within"], float(np.mean(same)), rel_tol=1e-9)
+    dealt = grouping.permuted_labels(df, ["g"], "i", "l", 5, 3)
+    for r in dealt.groupBy("g", "rep").agg(F.array_sort(F.collect_list("l")).alias("l"), F.count_distinct("i").alias("n")).collect():
+        assert r["n"] == 20 and r["l"] == sorted(i % 3 for i in range(40) if i % 2 == r["g"])
+
+
+def test_contrasts_need_the_same_rows(spark):
+    rows = [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 0.5), ("b", 1, 1.0), ("c", 0, 3.0), ("c", 1, 1.0)]
+    df = spark.createDataFrame(rows, "m string, k int, v double")
+    got = sorted(tuple(r) for r in results.contrasts(df, "m", "a", ["k"], "v").select("contrast", "k", "delta").collect())
+    assert got == [("a - b", 0, 0.5), ("a - b", 1, 1.0), ("a - c", 0, -2.0), ("a - c", 1, 1.0)]
+    for bad in (df.where("not (m = 'a' and k = 1)"), df.where("not (m = 'c' and k = 1)")):
+        with pytest.raises(Exception, match="different rows"):
+            results.contrasts(bad, "m", "a", ["k"], "v").collect()
+    for scores, budget in (([1.0, -1.0], 3), ([0.0, 0.0], 3), ([1.0, float("inf")], 3), ([1.0, 1.0], 0)):
+        with pytest.raises(Exception, match="scores must|budget"):
+            grouping.largest_remainder(spark.createDataFrame([("g", i, s) for i, s in enumerate(scores)], "g string, e int, s double"), budget, ["g"], "e", "s").collect()
