@@ -104,18 +104,25 @@ def _ordered(docs: DataFrame) -> DataFrame:
     first row of each chunk stands behind the chunk before as well, as its guard, and the first of all behind the last; so
     each row finds its next one in its chunk. What the driver learns is the first key of each chunk."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("back"), F.xxhash64("text").alias("h")))
+    # The order as that of strings: nulls last, then falling doc_id, then the hash.
+    falling = F.bitwise_not(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    key = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.lpad(F.hex(F.coalesce(falling, F.lit(0))), 16, "0"), F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+    rows = rows.withColumn("k", key)
     pieces = 3 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # several to a task, so that tasks are alike
     firsts = rows.select("k").repartitionByRange(pieces, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
     bounds = [r["k"] for r in firsts.orderBy("k").collect()]
     if not bounds:
         return rows.withColumns({"chunk": F.lit(0), "guard": F.lit(False)})
-    as_key = [F.struct(F.lit(b["none"]).alias("none"), F.lit(b["back"]).cast("long").alias("back"), F.lit(b["h"]).cast("long").alias("h")) for b in bounds]
-    rows = rows.withColumn("chunk", F.size(F.filter(F.array(*as_key), lambda b: b <= F.col("k"))))  # from 1
-    first = F.exists(F.array(*as_key), lambda b: b == F.col("k"))
+    # A row is compared with the first key of each run of about sqrt(pieces) ranges, then with those of its run.
+    width = math.isqrt(len(bounds)) + 1
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    heads, inner = F.split(F.lit(",".join(r[0] for r in runs)), ","), F.split(F.lit("|".join(",".join(r) for r in runs)), "\\|")
+    rows = rows.withColumn("run", F.size(F.filter(heads, lambda b: b <= F.col("k"))))  # from 1
+    rows = rows.withColumn("own", F.split(F.element_at(inner, F.col("run")), ","))
+    rows = rows.withColumns({"chunk": (F.col("run") - 1) * width + F.size(F.filter("own", lambda b: b <= F.col("k"))), "first": F.array_contains("own", F.col("k"))})
     before = F.when(F.col("chunk") == 1, len(bounds)).otherwise(F.col("chunk") - 1)
     own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("guard"))
-    places = F.when(first, F.array(own, F.struct(before.alias("chunk"), F.lit(True).alias("guard")))).otherwise(F.array(own))
+    places = F.when(F.col("first"), F.array(own, F.struct(before.alias("chunk"), F.lit(True).alias("guard")))).otherwise(F.array(own))
     return rows.select("doc_id", "text", "k", F.explode(places).alias("place")).select("doc_id", "text", "k", "place.chunk", "place.guard")
 
 
