@@ -13,8 +13,9 @@ def array_sum(a: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    return F.transform(e, lambda x: x / array_sum(e))
+    each = lambda x: F.array_repeat(x, F.size(logits))  # evaluated once, not for each component
+    e = F.zip_with(logits, each(F.array_max(logits).cast("double")), lambda x, top: F.exp(x.cast("double") - top))
+    return F.zip_with(e, each(array_sum(e)), lambda x, total: x / total)
 
 
 def top_k(values: Column, k: int) -> Column:

@@ -36,11 +36,16 @@ def conditional_probability(assigned: DataFrame, by: list[str], probability: str
     return assigned.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(probability).alias("mass"), F.avg(probability).alias("a"))
 
 
-def routing_totals(assigned: DataFrame, tokens: DataFrame, by: list[str], top: int) -> DataFrame:
-    """Calls against tokens times top; groups without a call count too."""
+def routing_totals(assigned: DataFrame, tokens: DataFrame, by: list[str], top: int, shared: DataFrame | None = None) -> DataFrame:
+    """Calls against tokens times top; groups without a call count too. shared: the calls of shared experts, a row each (by), of
+    the groups that have one, which must be one for each token; they are counted apart."""
     got = assigned.groupBy(*by).agg(F.count("*").alias("calls"))
     want = tokens.groupBy(*by).agg((F.count("*") * top).alias("expected"))
-    return want.join(got, by, "left").select(*by, F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), "expected").withColumn("exact", F.col("calls") == F.col("expected"))
+    out = want.join(got, by, "left").select(*by, F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), "expected").withColumn("exact", F.col("calls") == F.col("expected"))
+    if shared is None:
+        return out
+    out = out.join(shared.groupBy(*by).agg(F.count("*").alias("shared_calls")), by, "left")
+    return out.withColumn("exact", F.col("exact") & F.coalesce(F.col("shared_calls") == F.col("expected") / top, F.lit(True)))
 
 
 def dispatch(chosen: DataFrame, outputs: DataFrame, token: str, expert: str, weight: str, output: str, renormalize: bool = False) -> DataFrame:

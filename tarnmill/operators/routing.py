@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import top_k
@@ -51,47 +49,36 @@ def balance(assigned: DataFrame, layer: str, expert: str, probability: DataFrame
     return shares.join(probability, [layer, expert]).groupBy(layer).agg((n_experts * F.sum(F.col("share") * F.col("mean_probability"))).alias("balance"))
 
 
-def refine(rows: DataFrame, clusters: list[int], tau: float, exploration: float, seed: int, key: str = "token", probabilities: str = "p", selected: str = "selected") -> DataFrame:
-    """Confidence-aware refinement of a token's experts, slot by slot.
+def draw(seed: int, key: Column, slot: int, which: int) -> Column:
+    """A number in [0, 1) with 52 bits that depends on its arguments only, by a digest."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(f"{slot}:{which}")), 256)
+    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
-    A slot is unsure if its expert's probability within its cluster leads the best other one there by less than tau.
-    It may then be replaced by an expert of the same cluster that no other slot holds, drawn in proportion to the
-    probabilities, with the probability `exploration`. Experts stay distinct and keep their clusters. Draws depend on
-    the seed, the token's key and the slot only. All tokens of a batch are refined at once.
+
+def refine(rows: DataFrame, clusters: list[int], tau: float, exploration: float, seed: int, slots: int, key: str = "token", probabilities: str = "p", selected: str = "selected") -> DataFrame:
+    """key, refined: confidence-aware refinement of the experts of a token, slot by slot.
+
+    A slot is unsure if its expert's share of its cluster's probability leads the largest other share there by less than tau. An
+    unsure slot is drawn anew with the probability `exploration`, in proportion to the probabilities, among the experts of its
+    cluster that no other slot holds; so experts stay distinct and slots keep their clusters. A cluster whose free experts have no
+    probability keeps the expert. Draws are those of draw(), 0 for the expert and 1 for whether to explore.
+
+    A token is a row for each expert while it is refined; all windows are over a token, so rows are dealt out once.
     """
-    label = np.array(clusters)
-    same = label[:, None] == label[None]
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                yield pd.DataFrame({key: pdf[key], "refined": []})
-                continue
-            p, s = np.stack(pdf[probabilities].to_numpy()).astype(float), np.stack(pdf[selected].to_numpy()).astype(np.int64)
-            at, k = np.arange(len(s)), pdf[key].to_numpy().astype(np.int64)
-            for slot in range(s.shape[1] if exploration > 0 else 0):
-                e = s[:, slot]
-                own = np.where(same[e], p, 0.0)
-                own /= np.maximum(own.sum(1, keepdims=True), 1e-300)
-                rest = np.where(same[e] & (np.arange(len(label)) != e[:, None]), own, -np.inf).max(1)
-                unsure = own[at, e] - rest < tau
-                unsure |= np.isinf(rest)  # an expert that is alone in its cluster has nothing to lead; it can only stay
-                taken = np.zeros(p.shape, bool)
-                taken[at[:, None], s] = True
-                taken[at, e] = False
-                w = np.cumsum(np.where(same[e] & ~taken, p, 0.0), 1)
-                pick, chance = uniforms(seed, k, slot, 0), uniforms(seed, k, slot, 1)
-                drawn = (w <= (pick * w[:, -1])[:, None]).sum(1)
-                change = unsure & (chance < exploration) & (w[:, -1] > 0) & (drawn < p.shape[1])
-                s[change, slot] = drawn[change]
-            yield pd.DataFrame({key: pdf[key], "refined": list(s.astype(np.int32))})
-
-    return rows.select(key, probabilities, selected).mapInPandas(run, f"{key} long, refined array<int>")
-
-
-def uniforms(seed: int, keys: np.ndarray, slot: int, which: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend on their arguments only."""
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + slot * 2 + which) & 0xFFFFFFFF)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x >> np.uint64(11)) / float(1 << 53)
+    labels = F.array(*(F.lit(c) for c in clusters))
+    d = rows.select(key, F.col(selected).cast("array<int>").alias("__s"), F.posexplode(F.col(probabilities).cast("array<double>")).alias("__i", "__p"))
+    d = d.withColumn("__c", F.get(labels, F.col("__i")))
+    token = Window.partitionBy(key)
+    upto = token.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    for slot in range(slots if exploration > 0 else 0):
+        d = d.withColumn("__e", F.get("__s", F.lit(slot)))
+        d = d.withColumn("__q", F.when(F.col("__c") == F.get(labels, F.col("__e")), F.col("__p")).otherwise(0.0))
+        own = F.col("__i") == F.col("__e")
+        d = d.withColumn("__w", F.when(own | ~F.array_contains("__s", F.col("__i")), F.col("__q")).otherwise(0.0))
+        lead = F.max(F.when(own, F.col("__q"))).over(token) - F.coalesce(F.max(F.when(~own, F.col("__q"))).over(token), F.lit(0.0))
+        d = d.withColumn("__unsure", lead / F.greatest(F.sum("__q").over(token), F.lit(1e-300)) < tau)
+        d = d.withColumn("__goal", draw(seed, F.col(key), slot, 0) * F.sum("__w").over(token)).withColumn("__upto", F.sum("__w").over(upto))
+        d = d.withColumn("__drawn", F.min(F.when(F.col("__upto") > F.col("__goal"), F.col("__i"))).over(token))
+        change = F.col("__unsure") & (draw(seed, F.col(key), slot, 1) < exploration) & F.col("__drawn").isNotNull()
+        d = d.withColumn("__s", F.when(change, F.transform("__s", lambda x, i: F.when(i == slot, F.col("__drawn")).otherwise(x))).otherwise(F.col("__s")))
+    return d.where("__i = 0").select(key, F.col("__s").alias("refined"))

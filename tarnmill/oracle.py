@@ -51,6 +51,17 @@ status AS (SELECT run, coalesce(step0, 0)::BIGINT AS step, 100::BIGINT AS total_
     WHEN n % 4 = 1 THEN 'warm-start' WHEN n IS NOT NULL THEN 'initialization/evaluation' ELSE 'pending' END AS stage FROM j)"""
 _PLACES = "SELECT layer, place::INTEGER AS place, expert AS parent FROM (SELECT *, unnest(range(0, 31)) * n + r AS place0 FROM {0}), LATERAL (SELECT place0 + 1 AS place) WHERE place0 < 30"
 
+
+
+def _refined(slot: str, own: str, other: str, state: str) -> str:
+    """The experts that a slot is drawn anew to: f<slot> with vec_id and new."""
+    return f"""
+g{slot} AS (SELECT r.vec_id, expert, p, {own} AS e, {other} AS o FROM r JOIN {state} USING (vec_id) WHERE expert // 4 = {own} // 4),
+m{slot} AS (SELECT vec_id, any_value(e) AS e, sum(p) AS mass, max(p) FILTER (WHERE expert = e) AS own, coalesce(max(p) FILTER (WHERE expert <> e), 0) AS rest, sum(CASE WHEN expert = e OR expert <> o THEN p ELSE 0 END) AS free FROM g{slot} GROUP BY vec_id),
+c{slot} AS (SELECT g{slot}.vec_id, expert, sum(CASE WHEN expert = g{slot}.e OR expert <> o THEN p ELSE 0 END) OVER (PARTITION BY g{slot}.vec_id ORDER BY expert) AS upto FROM g{slot}),
+f{slot} AS (SELECT c{slot}.vec_id, min(expert) AS new FROM c{slot} JOIN m{slot} USING (vec_id) JOIN u ON u.vec_id = c{slot}.vec_id AND u.slot = {slot} WHERE (own - rest) / mass < 0.2 AND chance < 0.5 AND upto > pick * free GROUP BY c{slot}.vec_id)"""
+
+
 ORACLE = {
     "blank_filter": r"SELECT doc_id AS source_row, length(text)::BIGINT AS chars FROM documents WHERE regexp_matches(text, '\S')",
     "source_identifier": "SELECT doc_id, CASE WHEN doc_id IS NULL OR doc_id = 0 THEN '' ELSE doc_id::VARCHAR END AS source_id FROM documents",
@@ -64,6 +75,12 @@ ORACLE = {
 t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans),
 u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t)
 SELECT split, (pos // {BLOCK})::BIGINT AS block_id, count(*)::BIGINT AS tokens, sha256(string_agg(token, ' ' ORDER BY pos)) AS content_sha256 FROM u GROUP BY ALL""",
+    "published_corpus": f"""WITH {_CAND},
+t AS (SELECT split, token_start, list_concat(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), ['<eos>'])[1:(token_end - token_start)] AS ts FROM spans),
+u AS (SELECT split, token_start + unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM t),
+b AS (SELECT split, (pos // {BLOCK})::BIGINT AS block_id, sha256(string_agg(token, ' ' ORDER BY pos)) AS content_sha256 FROM u GROUP BY ALL),
+c AS (SELECT * FROM b WHERE split = 'train' ORDER BY sha256('17:' || block_id::VARCHAR), block_id LIMIT 16)
+SELECT split AS part, block_id, content_sha256 FROM b UNION ALL SELECT 'calibration', block_id, content_sha256 FROM c""",
     "corpus_counters": f"""WITH {_CAND}, f AS (SELECT split, min(source_row) FILTER (WHERE before_tokens + tokens >= goal) AS fill_row, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM admitted GROUP BY split),
 g AS (SELECT s.split, f.fill_row, coalesce(documents, 0)::BIGINT AS documents, coalesce(tokens, 0)::BIGINT AS tokens FROM (VALUES ('train'), ('valid'), ('test')) s(split) LEFT JOIN f USING (split)),
 st AS (SELECT CASE WHEN count(fill_row) = 3 THEN max(fill_row) ELSE 9223372036854775807 END AS stop FROM g),
@@ -126,6 +143,15 @@ r AS (SELECT contrast, kind, rep, ('0x' || left(sha256('9:' || kind || ':' || re
 m AS (SELECT r.contrast, r.kind, rep, n.id, count(*) AS times FROM r JOIN n ON n.contrast = r.contrast AND n.kind = r.kind AND n.k = r.k GROUP BY ALL),
 means AS (SELECT g.contrast, a.rep, sum(a.times * b.times * x) / sum(a.times * b.times) AS y FROM m a JOIN m b ON a.contrast = b.contrast AND a.rep = b.rep JOIN g ON g.contrast = a.contrast AND g.seed = a.id AND g.grp = b.id WHERE a.kind = 's' AND b.kind = 'g' GROUP BY ALL)
 SELECT contrast, round(any_value(mean), 6) AS mean, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high FROM means JOIN (SELECT contrast, avg(x) AS mean FROM g GROUP BY contrast) USING (contrast) GROUP BY contrast""",
+    "shared_expert_totals": f"WITH {_PROB}, n AS (SELECT label, count(DISTINCT vec_id)::BIGINT AS t, count(*)::BIGINT AS calls FROM top2 GROUP BY label) SELECT label, calls, 2 * t AS expected, calls = 2 * t AS exact, CASE WHEN length(label::VARCHAR) % 2 = 0 THEN t END AS shared_calls FROM n",
+    "confidence_refinement": f"""WITH {_PROB}, r AS (SELECT vec_id, expert, probability AS p, row_number() OVER (PARTITION BY vec_id ORDER BY probability DESC, expert) - 1 AS rank FROM cells),
+s0 AS (SELECT vec_id, max(expert) FILTER (WHERE rank = 0) AS e0, max(expert) FILTER (WHERE rank = 1) AS e1 FROM r GROUP BY vec_id),
+u AS (SELECT vec_id, slot, ('0x' || left(sha256('11:' || vec_id::VARCHAR || ':' || slot::VARCHAR || ':0'), 13))::BIGINT / 4503599627370496.0::DOUBLE AS pick, ('0x' || left(sha256('11:' || vec_id::VARCHAR || ':' || slot::VARCHAR || ':1'), 13))::BIGINT / 4503599627370496.0::DOUBLE AS chance FROM s0, (VALUES (0), (1)) v(slot)),
+{_refined('0', 'e0', 'e1', 's0')},
+n0 AS (SELECT s0.vec_id, coalesce(new, e0) AS e0, e1 FROM s0 LEFT JOIN f0 USING (vec_id)),
+{_refined('1', 'e1', 'e0', 'n0')},
+n1 AS (SELECT n0.vec_id, e0, coalesce(new, e1) AS e1 FROM n0 LEFT JOIN f1 USING (vec_id))
+SELECT vec_id AS token, 0 AS slot, e0 AS expert FROM n1 UNION ALL SELECT vec_id, 1, e1 FROM n1""",
     "calibration_sample": "SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64",
     "fit_check_partition": "WITH s AS (SELECT doc_id, sha256('3:' || doc_id::VARCHAR) AS draw FROM documents ORDER BY draw, doc_id LIMIT 64) SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY draw, doc_id) <= 48 THEN 'fit' ELSE 'check' END AS phase FROM s",
     "list_digests": "SELECT conv_id, sha256('[' || string_agg(turn::VARCHAR, ', ' ORDER BY turn) || ']') AS digest FROM conversations GROUP BY conv_id",
@@ -181,6 +207,10 @@ SELECT method, round(any_value(reference), 6) AS reference, min(CASE WHEN y <= r
     "expert_descriptor": f"""WITH {_PROB}, c AS (SELECT label, expert, count(*)::BIGINT AS n, avg(probability) AS a FROM top2 GROUP BY ALL),
 x AS (SELECT label, expert, unnest(range(64)) AS dim, unnest(embedding::DOUBLE[]) AS x FROM top2 JOIN embeddings USING (vec_id, label)),
 m AS (SELECT label, expert, dim, avg(x) AS mu, stddev_pop(x) AS sigma FROM x GROUP BY ALL)
+SELECT label, expert, any_value(n) AS count, true AS observed, round(any_value(a), 6) AS a, round(sum(mu), 5) AS mu, round(sum(sigma), 5) AS sigma FROM m JOIN c USING (label, expert) GROUP BY label, expert""",
+    "verified_scan": f"""WITH {_PROB}, c AS (SELECT label, expert, count(*)::BIGINT AS n, avg(probability) AS a FROM top2 GROUP BY ALL),
+x AS (SELECT label, expert, unnest(range(64)) AS dim, unnest(embedding::DOUBLE[]) AS x FROM top2 JOIN embeddings USING (vec_id, label)),
+m AS (SELECT label, expert, dim, avg(x) AS mu, stddev_pop(x) AS sigma FROM x GROUP BY ALL)
 SELECT label, expert, any_value(n) AS count, true AS observed, round(any_value(a), 6) AS a, round(sum(mu), 5) AS mu, round(sum(sigma), 5) AS sigma FROM m JOIN c USING (label, expert) GROUP BY label, expert""",
     "scored_plans": f"WITH {_SCORED} SELECT * FROM scored",
     "inherited_labels": f"WITH {_SCORED} SELECT layer, expert, expert % 3 AS label FROM calls UNION ALL SELECT layer, 11 + place AS expert, parent % 3 AS label FROM scored",

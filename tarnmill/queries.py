@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import numeric, text, tokenizers
 from .operators import corpus, experts, grouping, moments, pack, results, routing
-from .plans.corpus_build import Recipe, packed, raw_documents, raw_records, report
-from .sources import npy, readers, writers
+from .plans.corpus_build import Recipe, packed, prepare, raw_documents, raw_records, report
+from .sources import npy, readers, verified, writers
 
 RECIPE = Recipe()
 #: The reference's 20,480 blocks of 2,048 tokens, 41.9 million in all.
@@ -257,7 +257,8 @@ def balance_index(spark, d):
 
 def confidence_refinement(spark, d):
     p = _probabilities(spark, d).withColumn("selected", numeric.top_k(F.col("p"), 2)).withColumnRenamed("vec_id", "token")
-    return routing.refine(p, [i // 4 for i in range(DIM)], 0.2, 0.5, 11)
+    r = routing.refine(p, [i // 4 for i in range(DIM)], 0.2, 0.5, 11, 2)
+    return r.select("token", F.posexplode("refined").alias("slot", "expert"))
 
 
 def random_projection(spark, d):
@@ -505,6 +506,13 @@ def routing_totals(spark, d):
     return experts.routing_totals(routing.assignments(p, "p", 2), p, ["label"], 2)
 
 
+def shared_expert_totals(spark, d):
+    """The calls of routed experts, and those of a shared expert, which only labels of an even length have."""
+    p = _probabilities(spark, d)
+    even = p.where(F.length(F.col("label").cast("string")) % 2 == 0)
+    return experts.routing_totals(routing.assignments(p, "p", 2), p, ["label"], 2, even.select("label"))
+
+
 def expert_dispatch(spark, d):
     """Expert e of a vector puts out its four components from e on, the first after the last."""
     chosen = routing.assignments(_probabilities(spark, d), "p", 2).select("vec_id", "expert", "probability")
@@ -592,6 +600,27 @@ def expert_descriptor(spark, d):
     return x.select("label", "expert", "count", "observed", _r("a").alias("a"), total("mu"), total("sigma"))
 
 
+def verified_scan(spark, d):
+    """Descriptors of experts, written with a manifest by label, and read back behind it with their rules."""
+    p = _probabilities(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    calls = routing.assignments(p, "p", 2)
+    x = experts.descriptor(calls, calls, calls.select("label", "expert").distinct(), ["label"], "expert", "probability", "embedding")
+    folder = f"{corpus.shared_dir(spark)}/descriptors-{uuid.uuid4().hex}"
+    x.withColumn("part", F.col("label")).repartition("part").write.partitionBy("part").parquet(folder)
+    verified.record(spark, folder)
+    got = verified.scan(spark, folder, verified.whole_vectors({"mu": 64, "sigma": 64}, ["sigma"], ["a"]))
+    total = lambda c: _r(numeric.array_sum(F.col(c)), 5).alias(c)
+    return got.select("label", "expert", "count", "observed", _r("a").alias("a"), total("mu"), total("sigma"))
+
+
+def published_corpus(spark, d):
+    """The small recipe, published part by part with its measurements, and read back."""
+    out = f"{corpus.shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    prepare(_docs(spark, d), RECIPE, out)
+    parts = [spark.read.parquet(f"{out}/{k}").select(F.lit(k).alias("part"), "block_id", F.sha2(F.array_join("tokens", " "), 256).alias("content_sha256")) for k in ("train", "valid", "test", "calibration")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def scored_plans(spark, d):
     c = _calls(spark, d)
     return experts.scored_plans(c.select("layer").distinct(), c, "layer", 12, "expert", "calls")
@@ -645,7 +674,7 @@ QUERIES = [
     probe_coordinates, conditional_prob, routing_totals, expert_dispatch, mean_gradient_energy, seed_stability, traffic_reallocation, plan_summary, plan_variants, micro_batches,
     evaluation_progress, merged_manifest, flattened_samples, preparation_costs, parameter_counts,
     two_tokenizer_quota, raw_document_fields, packed_ids, calibration_blocks, subset_blocks, local_shuffle, source_description, contrast_summary, largest_value, run_status, completed_runs,
-    recovery_report, expert_descriptor, scored_plans, inherited_labels, distinct_parents, seed_ari, plan_report, resource_estimate, causal_loss,
+    recovery_report, expert_descriptor, verified_scan, published_corpus, shared_expert_totals, scored_plans, inherited_labels, distinct_parents, seed_ari, plan_report, resource_estimate, causal_loss,
 ]
 
 

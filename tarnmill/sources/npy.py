@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
+from .verified import stream_digests, system_of
+
 MANIFEST = "_shards.json"
 #: Rows that a task reads, and rows that a shard has at most; the writer holds one shard.
 TASK_ROWS, SHARD_ROWS, CHUNK_ROWS = 16_384, 4_096, 512
@@ -32,10 +34,6 @@ class BlockFileError(ValueError):
     """A file is not the blocks that it should be."""
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _header(stream) -> tuple[np.dtype, tuple[int, ...], int]:
     """dtype, shape and the position of the first value of a .npy file."""
     if stream.read(6) != b"\x93NUMPY":
@@ -61,7 +59,7 @@ class Rows(ds.InputPartition):
 
 def shards(path: str) -> list[dict]:
     """The manifest of a folder, or the one file that path is: name, rows, first."""
-    system, at = _system(path)
+    system, at = system_of(path)
     if system.get_file_info(at).type == fs.FileType.File:
         with system.open_input_file(at) as f:
             return [{"name": "", "rows": _header(f)[1][0], "first": 0}]
@@ -96,7 +94,7 @@ class _Reader(ds.DataSourceReader):
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
         if part is None:  # no rows at all
             return
-        system, at = _system(part.file)
+        system, at = system_of(part.file)
         with system.open_input_file(at) as f:
             dtype, (rows, size), start = _header(f)
             if self.size and size != self.size or f.size() != start + rows * size * dtype.itemsize or part.high > rows:
@@ -124,7 +122,7 @@ class _Writer(ds.DataSourceArrowWriter):
         self.path, self.most = options["path"], int(options.get("rows", SHARD_ROWS))
 
     def write(self, iterator) -> _Written:
-        system, at = _system(self.path)
+        system, at = system_of(self.path)
         done, ids, held = [], [], []
 
         def flush() -> None:
@@ -160,13 +158,13 @@ class _Writer(ds.DataSourceArrowWriter):
         if [s["first"] for s in found] != after[:-1].tolist() or len({s["size"] for s in found}) > 1:
             self.abort(messages)
             raise BlockFileError("the blocks are not 0 ... n - 1, all of one length")
-        system, at = _system(self.path)
+        system, at = system_of(self.path)
         system.create_dir(at, recursive=True)
         with system.open_output_stream(f"{at}/{MANIFEST}") as f:
             f.write(json.dumps({"shards": found}).encode())
 
     def abort(self, messages) -> None:
-        system, at = _system(self.path)
+        system, at = system_of(self.path)
         for s in (s for m in messages if m for s in m.shards):
             system.delete_file(f"{at}/{s['name']}")
 
@@ -196,14 +194,13 @@ def _registered(spark: SparkSession) -> SparkSession:
 
 def write_blocks(blocks: DataFrame, path: str, rows: int = SHARD_ROWS) -> None:
     """Writes block_id (0 ... n - 1, each once) and tokens (all of one length) as shards; refuses a folder that is not empty."""
-    system, at = _system(path)
+    system, at = system_of(path)
     if system.get_file_info(at).type != fs.FileType.NotFound and system.get_file_info(fs.FileSelector(at)):
         raise FileExistsError(path)
     system.create_dir(at, recursive=True)
-    spark = _registered(blocks.sparkSession)
+    _registered(blocks.sparkSession)
     ordered = blocks.select(F.col("block_id").cast("long").alias("block_id"), F.col("tokens").cast("array<int>").alias("tokens")).repartitionByRange("block_id").sortWithinPartitions("block_id")
     ordered.write.format("npy_blocks").option("rows", rows).mode("append").save(path)
-    assert spark is not None
 
 
 def read_blocks(spark: SparkSession, path: str, size: int = 0, ids: int = 0, rows: int = TASK_ROWS) -> DataFrame:
@@ -212,33 +209,11 @@ def read_blocks(spark: SparkSession, path: str, size: int = 0, ids: int = 0, row
     return _registered(spark).read.format("npy_blocks").option("size", size).option("ids", ids).option("rows", rows).load(path)
 
 
-def _digests(path: str):
-    def run(batches):
-        for b in batches:
-            out = []
-            for name in b.column("name").to_pylist():
-                system, at = _system(f"{path}/{name}" if name else path)
-                h = hashlib.sha256()
-                with system.open_input_stream(at) as f:
-                    while piece := f.read(1 << 20):
-                        h.update(piece)
-                out.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(out)], ["name", "found"])
-
-    return run
-
-
-def shard_digests(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """name and digest (found) of the files of a folder, a file in a task, read as a stream."""
-    d = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 10_000)), "name")
-    return d.mapInArrow(_digests(path), "name string, found string")
-
-
 def read_verified(spark: SparkSession, path: str, size: int = 0, ids: int = 0, sha256: str | None = None) -> DataFrame:
     """read_blocks() after all files were found to have the digests of the manifest (of one file: sha256), before any row
     leaves."""
     told = {s["name"]: s.get("sha256", sha256) for s in shards(path)}
-    got = {r["name"]: r["found"] for r in shard_digests(spark, path, list(told)).collect()}  # a digest per shard
+    got = {r["name"]: r["found"] for r in stream_digests(spark, path, list(told)).collect()}  # a digest per shard
     if wrong := sorted(n for n in told if got[n] != told[n]):
         raise BlockFileError(f"{path}: not the files that were recorded: {wrong[:3]}")
     return read_blocks(spark, path, size, ids)

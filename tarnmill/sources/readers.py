@@ -97,6 +97,12 @@ def reports(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFram
     return d.withColumns({"run": F.element_at(parts, -2), "file": F.element_at(parts, -1)})
 
 
+def latest_reports(reports_: DataFrame, by: list[str]) -> DataFrame:
+    """One report for each `by` (run and step, say): of several, that of the last file by name."""
+    others = [c for c in reports_.columns if c not in by]
+    return reports_.groupBy(*by).agg(F.max_by(F.struct(*others), F.col("file")).alias("r")).select(*by, *(F.col(f"r.{c}").alias(c) for c in others))
+
+
 def last_steps(spark: SparkSession, pattern: str, lines: int = 3) -> DataFrame:
     """The newest step among the last lines of each log that are not blank; a torn line does not count; 0 without any.
 

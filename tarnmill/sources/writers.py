@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import file_system
+from ..operators.expect import ExpectationError
+from .readers import exists, file_system
 
 
 def split_json_lines(df: DataFrame, path: str, by: str = "split") -> None:
@@ -31,6 +33,43 @@ def publish(df: DataFrame, staging: str, target: str, check) -> None:
         raise FileExistsError(target)
 
 
+def publish_parts(parts: dict[str, Callable[[], tuple[DataFrame, dict[str, Column], Callable[[dict], dict[str, bool]]]]], staging: str, target: str, identity: str, spark: SparkSession) -> dict[str, dict]:
+    """Writes named parts into a staging folder, each with measurements of the same pass, and puts the folder in its place when all
+    are there. Returns the parts' measurements.
+
+    parts: for each name a function that gives its rows, what to measure (aggregates), and the rules that the measured values must
+    keep. A part that is finished has a report beside it; a run that was interrupted goes on with the parts that have none, if
+    identity (of the recipe) is that of the run before. A part that breaks a rule has no report, so it is written again.
+    """
+    if exists(spark, target):
+        raise FileExistsError(target)
+    mark = f"{staging}/identity.json"
+    if exists(spark, mark):
+        if json.loads(spark.read.text(mark, wholetext=True).first()[0]) != identity:
+            raise ValueError(f"{staging} holds an interrupted run of another recipe")
+    elif exists(spark, staging):
+        raise FileExistsError(staging)
+    else:
+        json_report(spark, identity, mark)
+    reports = {}
+    for name, part in parts.items():
+        done = f"{staging}/{name}.json"
+        if not exists(spark, done):
+            rows, measures, rules = part()
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.mode("overwrite").parquet(f"{staging}/{name}")
+            got = {k: int(v) if v is not None else None for k, v in seen.get.items()}
+            if broken := [k for k, holds in rules(got).items() if not holds]:
+                raise ExpectationError(f"{name}: {', '.join(broken)} broken by {got}")
+            json_report(spark, got, done)
+        reports[name] = json.loads(spark.read.text(done, wholetext=True).first()[0])
+    source, system = file_system(spark, staging)
+    to, _ = file_system(spark, target)
+    if not system.rename(source, to):
+        raise OSError(f"{target} could not be put in its place")
+    return reports
+
+
 def csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """One file with a header and the columns in the given order; for reports, not for data."""
     df.select(*(columns or df.columns)).coalesce(1).write.mode("errorifexists").csv(path, header=True)

@@ -38,10 +38,10 @@ def test_routing(spark):
     a = spark.createDataFrame([(0, e) for e in range(4)], "layer int, expert int")
     assert routing.balance(a, "layer", "expert", p, 4).first()["balance"] == 1.0
     t = spark.createDataFrame([(0, [0.4, 0.3, 0.2, 0.1], [0, 1]), (1, [0.4, 0.3, 0.2, 0.1], [0, 2])], "token long, p array<double>, selected array<int>")
-    got = {r["token"]: r["refined"] for r in routing.refine(t, [0, 0, 1, 1], 0.2, 1.0, 5).collect()}
+    got = {r["token"]: r["refined"] for r in routing.refine(t, [0, 0, 1, 1], 0.2, 1.0, 5, 2).collect()}
     assert got[0] == [0, 1]
     assert set(got[1][:1]) <= {0, 1} and set(got[1][1:]) <= {2, 3}
-    assert [r["refined"] for r in routing.refine(t, [0, 0, 1, 1], 0.2, 0.0, 5).collect()] == [[0, 1], [0, 2]]
+    assert [r["refined"] for r in routing.refine(t, [0, 0, 1, 1], 0.2, 0.0, 5, 2).collect()] == [[0, 1], [0, 2]]
     top = spark.range(1).select(numeric.top_k(F.array(*map(F.lit, [1.0, 3.0, 3.0, 2.0])), 3)).first()[0]
     assert top == [1, 2, 3]
 
@@ -230,6 +230,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(r["source_row"] for r in two_key_dedup(candidates(all_)).collect())
     full = ingest.within_quota(spark, f"{tmp_path}/admitted", ["n"], {"all": 3}, F.lit("all"), [F.lit(1)])
     assert sorted(r["source_row"] for r in full.collect()) == got[:3]
+    twice = spark.createDataFrame([("r", 1, "a.json", 1.0), ("r", 1, "b.json", 2.0), ("s", 1, "a.json", 3.0)], "run string, step int, file string, y double")
+    from tarnmill.sources import readers as sources
+
+    assert sorted((r["run"], r["y"]) for r in sources.latest_reports(twice, ["run", "step"]).collect()) == [("r", 2.0), ("s", 3.0)]
     log = spark.createDataFrame([("r", 1, 10, 0), ("r", 2, 30, 1), ("r", 2, 20, 2)], "run string, step long, input_tokens long, line long")
     assert tuple(ingest.latest_progress(log, line="line").first()) == ("r", 2, 20)
 

@@ -235,9 +235,44 @@ def test_command_line(spark, tmp_path):
     from tarnmill import __main__ as cli
 
     spark.createDataFrame([(i, f"w{i} x y z", f"s{i}") for i in range(200)], "source_row long, text string, source_id string").write.parquet(f"{tmp_path}/docs")
-    size = ["--block-size", "10", "--train", "8", "--valid", "1", "--test", "1"]
+    size = ["--block-size", "10", "--train", "8", "--valid", "1", "--test", "1", "--calibration", "3"]
     cli.main(["build", "--source", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", *size])
     cli.main(["check", "--output", f"{tmp_path}/out", *size])
-    assert spark.read.parquet(f"{tmp_path}/out/blocks").count() == 10 and (tmp_path / "out" / "report.json").exists()
+    assert spark.read.parquet(f"{tmp_path}/out/train").count() == 8 and (tmp_path / "out" / "report.json").exists()
+    with pytest.raises(ExpectationError, match="before the quotas"):
+        cli.main(["build", "--source", f"{tmp_path}/docs", "--output", f"{tmp_path}/short", "--max-documents", "5", *size])
     with pytest.raises(SystemExit):
         cli.main(["build", "--source", "x", "--output", "y", "--train", "0"])
+
+
+def test_interrupted_publishing_goes_on(spark, tmp_path, monkeypatch):
+    from tarnmill.operators import pack as packing
+    from tarnmill.plans import corpus_build
+
+    recipe = Recipe(block_size=10, blocks={"train": 8, "valid": 1, "test": 1}, calibration=3)
+    docs = spark.createDataFrame([(i, f"w{i} x y z", f"s{i}") for i in range(200)], "source_row long, text string, source_id string")
+    out = f"{tmp_path}/out"
+
+    def killed(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(packing, "calibration", killed)
+        with pytest.raises(KeyboardInterrupt):
+            corpus_build.prepare(docs, recipe, out)
+    building = tmp_path / "out.building"
+    times = {f: f.stat().st_mtime_ns for f in building.rglob("*.parquet")}
+    assert len(times) >= 4 and not (building / "calibration.json").exists()
+    with pytest.raises(ValueError, match="another recipe"):
+        corpus_build.prepare(docs, Recipe(seed=18, block_size=10, blocks=recipe.blocks, calibration=3), out)
+    with monkeypatch.context() as m:
+        m.setattr(corpus_build, "packed", killed)  # finished parts are not made again
+        got = corpus_build.prepare(docs, recipe, out)
+    assert got["train"]["rows"] == 8 and got["documents"]["tokens"] == 100 and got["calibration"]["rows"] == 3
+    assert {f: (tmp_path / "out" / f.relative_to(building)).stat().st_mtime_ns for f in times} == times
+    drawn = {r["block_id"]: r["tokens"] for r in spark.read.parquet(f"{out}/calibration").collect()}
+    assert drawn.items() <= {r["block_id"]: r["tokens"] for r in spark.read.parquet(f"{out}/train").collect()}.items()
+    with pytest.raises(FileExistsError):
+        corpus_build.prepare(docs, recipe, out)
+    with pytest.raises(ExpectationError, match="train: blocks"):
+        corpus_build.prepare(docs.limit(5), recipe, f"{tmp_path}/few")

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.sources import npy, readers
+from tarnmill.operators.expect import ExpectationError
+from tarnmill.sources import npy, readers, verified
 
 
 def test_line_numbers_over_parts_of_files(spark, tmp_path):
@@ -92,3 +93,27 @@ def test_npy_writer_refuses_gaps(spark, tmp_path):
     np.save(tmp_path / "one.npy", np.arange(12).reshape(3, 4))
     digest = hashlib.sha256((tmp_path / "one.npy").read_bytes()).hexdigest()
     assert npy.read_verified(spark, f"{tmp_path}/one.npy", 4, 12, digest).agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, x: a + x))).first()[0] == 66
+
+
+def test_scans_behind_a_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(i % 2, i, [float(i), 1.0], 0.5) for i in range(8)], "layer int, e int, v array<double>, a double")
+    out = f"{tmp_path}/p"
+    df.write.partitionBy("layer").parquet(out)
+    told = verified.record(spark, out)
+    good = verified.whole_vectors({"v": 2}, ["v"], ["a"])
+    assert sorted(tuple(r) for r in verified.scan(spark, out, good).select("layer", "e").collect()) == sorted((i % 2, i) for i in range(8))
+    one = [n for n in told if n.startswith("layer=1")]
+    assert {r["layer"] for r in verified.scan(spark, out, good, one).collect()} == {1}
+    for bad in (verified.whole_vectors({"v": 3}), verified.whole_vectors({"v": 2}, shares=["e"])):
+        with pytest.raises(Exception, match="finite components|no share"):
+            verified.scan(spark, out, bad).collect()
+    df.limit(1).coalesce(1).drop("layer").write.mode("append").parquet(f"{out}/layer=0")  # not in the manifest: not read
+    assert verified.scan(spark, out, good).count() == 8
+    file = tmp_path / "p" / one[0]
+    content = file.read_bytes()
+    file.write_bytes(content[:-9] + b"x" + content[-8:])
+    with pytest.raises(ExpectationError, match="not the files"):
+        verified.scan(spark, out)
+    file.unlink()
+    with pytest.raises(ExpectationError, match="missing"):
+        verified.scan(spark, out, names=one)
