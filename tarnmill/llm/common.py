@@ -7,6 +7,7 @@ import re
 import tempfile
 import time
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -36,38 +37,48 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Paths of the tables that materialize() has written in this process and release() has not deleted.
-_WRITTEN: list[str] = []
+#: The paths that materialize() has written for the run at hand and that nothing has deleted; None outside of runs.
+_RUN: ContextVar[list[str] | None] = ContextVar("tarnmill-run", default=None)
+
+
+class Run:
+    """Collects the tables that are written while it is entered, of its own thread only, so that they can be deleted together:
+    other runs and queries of the session keep theirs."""
+
+    def __enter__(self) -> Run:
+        self.paths: list[str] = []
+        self._token = _RUN.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _RUN.reset(self._token)
+
+    def release(self, spark: SparkSession, *keep: DataFrame) -> None:
+        """Deletes the run's tables, but for those to keep: for callers whose result is written."""
+        stay = {getattr(df, "_tarnmill_path", None) for df in keep}
+        for path in [p for p in self.paths if p not in stay]:
+            _delete(spark, path)
+            if path in self.paths:
+                self.paths.remove(path)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back; this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (run := _RUN.get()) is not None:
+        run.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnmill_path = path
     return out
 
 
-def written() -> int:
-    """How many tables are written just now; a mark for release_since()."""
-    return len(_WRITTEN)
-
-
-def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Deletes all tables that were written after the mark, but for those to keep: for callers whose result is written."""
-    stay = {getattr(df, "_tarnmill_path", None) for df in keep}
-    for path in [p for p in _WRITTEN[mark:] if p not in stay]:
-        _delete(spark, path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
+    if (run := _RUN.get()) is not None and path in run:
+        run.remove(path)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -157,7 +168,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     edges: (a long, b long), in any direction, with repeats and loops. Returns (node, root): every node that
@@ -167,7 +178,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = materialize(e, "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         nxt = materialize(_star(_star(e, True), False), "edges")
         release(e)
         e = nxt
@@ -175,8 +186,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     out = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "components")
     release(e)
