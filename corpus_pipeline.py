@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnmill.llm import mixing, neardup, packing, quality, rules
-from tarnmill.llm.common import materialize, release_since, table, written
+from tarnmill.llm.common import Run, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,8 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage has written for itself is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    begun = written()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        release_since(spark, begun, docs)
+    with Run() as tables:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            tables.release(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
