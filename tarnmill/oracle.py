@@ -230,7 +230,7 @@ SELECT block::BIGINT AS block, count(*)::BIGINT AS targets, round(sum(ln(list_su
 SELECT user_id, CASE WHEN p > 3 THEN 'complete' WHEN e > 3 THEN 'tasks' WHEN n >= 12 THEN 'final evaluation' WHEN n > 0 THEN 'training' WHEN s > 2 THEN 'warm-start' WHEN n > 0 THEN 'initialization' ELSE 'pending' END AS stage FROM e""",
     "manifest_diff": """WITH a AS (SELECT o_orderkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'changed' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 7 <> 0)
 SELECT * FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.v IS NULL THEN 'missing' WHEN a.v IS NULL THEN 'unexpected' WHEN a.v <> b.v THEN 'changed' END AS difference FROM a FULL JOIN b ON a.k = b.k) WHERE difference IS NOT NULL""",
-    "lr_schedule": "SELECT s AS step, round(CASE WHEN s <= 128 THEN s / 128.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (s - 128) / 3968.0::DOUBLE)) END, 9) AS multiplier, round(greatest(0, 1 - s / 4096.0::DOUBLE), 9) AS exploration FROM (SELECT unnest(range(1, 4097)) AS s)",
+    "lr_schedule": "SELECT s AS step, round(CASE WHEN s <= 128 THEN s / 128.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least((s - 128) / 3968.0::DOUBLE, 1))) END, 9) AS multiplier, round(greatest(0, 1 - s / 4096.0::DOUBLE), 9) AS exploration FROM (SELECT DISTINCT event_id AS s FROM events)",
     "block_cross_entropy": """WITH z AS (SELECT label, embedding::DOUBLE[] AS z FROM embeddings), n AS (SELECT label, ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) - z[label + 1] AS nll FROM z)
 SELECT label, round(avg(nll), 6) AS nll, round(exp(avg(nll)), 6) AS ppl FROM n GROUP BY label""",
     "probe_windows": "WITH w AS (SELECT DISTINCT user_id * 7 AS start FROM events) SELECT event_id AS position, start, (event_id - start)::BIGINT AS local FROM events JOIN w ON event_id >= start AND event_id < start + 16",

@@ -470,7 +470,8 @@ def manifest_diff(spark, d):
 
 
 def lr_schedule(spark, d):
-    s = spark.range(1, 4097).select(F.col("id").alias("step"))
+    """Each event as a step of a run of 4,096 steps, 128 of them warm-up."""
+    s = _t(spark, d, "events").select(F.col("event_id").alias("step")).distinct()
     return s.select("step", _r(numeric.lr_multiplier(F.col("step"), 4096, 128), 9).alias("multiplier"), _r(numeric.exploration(F.col("step"), 4096), 9).alias("exploration"))
 
 
