@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries_io
+
 SPLITS = {"train": 80, "valid": 10, "test": 10}
 BLOCK, SEED, DIM = 256, 17, 64
 
@@ -280,6 +282,8 @@ SELECT p_partkey, method,
   round(CASE method WHEN 'gradient' THEN 1 WHEN 'original' THEN 2 ELSE (2.08::DOUBLE * 4 * train + CASE WHEN keep THEN 2 * CASE WHEN method = 'continue' THEN total ELSE extra END ELSE 0 END + CASE WHEN method = 'warm' THEN 2 * extra ELSE 0 END) / g + 5 END, 5) AS disk_gib FROM t"""
 ORACLE["seed_ari"] = f"SELECT 0 AS layer, round(avg(adjusted_rand), 9) AS seed_ari_mean, round(min(adjusted_rand), 9) AS seed_ari_min FROM ({ORACLE['seed_stability']})"
 
+ORACLE |= queries_io.oracle(_CAND, _FULL)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

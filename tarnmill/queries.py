@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import queries_io
 from .functions import numeric, text, tokenizers
 from .operators import corpus, experts, grouping, moments, pack, results, routing
 from .plans.corpus_build import Recipe, packed, prepare, raw_documents, raw_records, report
@@ -680,4 +681,4 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *queries_io.QUERIES]}
