@@ -115,8 +115,9 @@ def test_neighbours(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)]
     data += [(600 + k, x[3].tolist()) for k in range(40)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None, *[1.0] * 15]), (704, [1.0]), (None, [1.0] * 16), (5, x[5].tolist())]
     df = spark.createDataFrame([(*r, "v", 1) for r in data], "vec_id long, embedding array<float>, vec string, bd int")
-    ids = np.array(sorted({r[0] for r in data if r[0] is not None and r[0] < 700}))
-    m = np.stack([np.array(dict(data)[i], np.float32) for i in ids]).astype(np.float64)
+    # Row 704 is shorter than the others and counts as if zeros followed it: only null, zero and non-finite vectors are left out.
+    ids = np.array(sorted({r[0] for r in data if r[0] is not None and (r[0] < 700 or r[0] == 704)}))
+    m = np.stack([np.resize(np.append(np.array(dict(data)[i], np.float32), np.zeros(16, np.float32)), 16) for i in ids]).astype(np.float64)
     for metric in ("ip", "l2", "cosine"):
         got, hit, n = {}, 0, 0
         for r in ann.nearest(df, metric=metric, books=8, words=64).orderBy("query_id", "rank").collect():
