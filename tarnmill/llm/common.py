@@ -83,13 +83,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, before the next step writes its
-    own; Spark itself would do so at the driver's next collection of garbage. One process with small data can wait for that."""
+    own; Spark itself would do so at the driver's next collection of garbage. What planning and compiling have left in the driver
+    goes back to the system with them. One process with small data can wait for that."""
     if spark.sparkContext.master.startswith("local["):
         return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    trim()
 
 
 def release(*tables: DataFrame) -> None:

@@ -253,6 +253,7 @@ def _components_of(sketch: DataFrame, texts: DataFrame, key: str, shingle: int,
     links, tested, comp, temporary = None, None, None, [classes, active, chosen, sets]
     for number in range(rounds):
         led = materialize(_crowded(active, comp, tested, t, number) if number else _led(active, t), "led")
+        sweep(spark)
         new = materialize(_compared(led, sets, percent), "links")
         temporary += [led, new]
         tested = led if tested is None else tested.union(led)

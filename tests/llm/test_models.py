@@ -368,3 +368,14 @@ def test_mixing(spark):
     assert np.allclose(now, r, atol=1e-4)
     assert {x["rate"] for x in mixing.mix(frame(spark, data[:5]), lab.where("doc_id < 0")).collect()} == {1.0}
     assert mixing.mix(frame(spark, []), lab).collect() == []
+
+
+def test_concentration_plans_hold_their_sums_once(spark):
+    """The moments of a step are written before they are read for groups, languages and all: what is planned behind them has no
+    window and no row of the statistics left."""
+    schema = "key struct<lang:string,source:string>, " + ", ".join(f"x{i} double" for i in range(rules.P))
+    numbers = spark.createDataFrame([(("len", "sa"), *(float(k * i % 7) for i in range(rules.P))) for k in range(20)], schema)
+    fit = rules.materialize(rules._moments(numbers))
+    for df in (rules._moments(numbers), rules._concentrate(numbers, fit, rules.H, 1.0)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "LogicalRDD" not in plan and plan.count("Aggregate") <= 2
