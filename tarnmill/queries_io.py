@@ -133,11 +133,10 @@ def recovered_totals(spark, d):
 
 
 def stream_ingest(spark, d):
-    """Documents that arrive in four files, admitted batch by batch, with ids that repeat within a text only."""
+    """Documents that arrive in four lots of files, admitted batch by batch, with ids that repeat within a text only."""
     folder = _new(spark, "arriving")
     rows = _t(spark, d, "documents").where(text.not_blank(F.col("text"))).select(F.col("doc_id").alias("source_row"), "text", F.concat(F.lit("h"), F.left(F.sha2("text", 256), F.lit(20))).alias("source_id"))
-    rows.repartitionByRange(4, "source_row").write.parquet(folder)
-    files = ingest.document_stream(spark, folder, "source_row long, text string, source_id string")
+    files = ingest.document_stream(spark, folder, "source_row long, text string, source_id string", ingest.write_lots(rows, folder))
     ingest.ingest(files, f"{folder}-admitted", f"{folder}-checkpoint").awaitTermination()
     return ingest.admitted_rows(spark, f"{folder}-admitted").select("text_sha256")
 

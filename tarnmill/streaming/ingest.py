@@ -11,6 +11,9 @@ from .keys import KeyStore
 
 ADMITTED = T.StructType([T.StructField("source_row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("text_sha256", T.StringType()), T.StructField("batch", T.LongType())])
 
+#: Bytes of text in a file of write_lots().
+FILE_BYTES = 64 << 20
+
 
 def row_keys(rows: DataFrame) -> DataFrame:
     """The keys of rows: their texts' digests and their ids that are not empty."""
@@ -57,6 +60,14 @@ def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def write_lots(rows: DataFrame, folder: str, lots: int = 4, most: int = FILE_BYTES) -> int:
+    """Writes rows as files of ranges of source_row that hold about `most` bytes of text each, and at least one for each lot. So
+    more rows are more files, not larger ones, and no task writes or reads a whole lot. Returns the number of files of a lot."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows.repartitionByRange(lots * max(1, -(-size // (lots * most))), "source_row").write.parquet(folder)
+    return max(1, -(-len(rows.sparkSession.read.schema(rows.schema).parquet(folder).inputFiles()) // lots))
+
+
 def watch_progress(log: DataFrame, out: str, checkpoint: str, run: str = "run", line: str = "line"):
     """Keeps the last line of the newest step of each run of a stream of log lines (run, step, input_tokens, line; step is null
     in a torn line, which does not count). The state is one row a run; each batch writes the runs that it has changed as

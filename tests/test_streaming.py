@@ -52,6 +52,20 @@ def test_repeated_batches_admit_nothing_twice(spark, tmp_path):
     assert run() == first
 
 
+def test_lots_are_files_of_bounded_size(spark, tmp_path):
+    """More rows make more files of the same size; the lots stay four, and the admitted rows those of one file each."""
+    schema = "source_row long, text string, source_id string"
+    for n in (0, 3, 200, 800):
+        rows = spark.range(n).select(F.col("id").alias("source_row"), F.format_string("%0100d", F.col("id") % 150).alias("text"), F.lit(None).cast("string").alias("source_id"))
+        each = ingest.write_lots(rows, f"{tmp_path}/in{n}", most=5000)
+        files = [r["n"] for r in spark.read.parquet(f"{tmp_path}/in{n}").groupBy(F.input_file_name()).agg(F.sum(F.length("text")).alias("n")).collect()]
+        assert sum(files) == 100 * n and max(files, default=0) <= 10_000 and len(files) <= 4 * each
+    assert each >= 4
+    ingest.ingest(ingest.document_stream(spark, f"{tmp_path}/in800", schema, each), f"{tmp_path}/admitted", f"{tmp_path}/checkpoint").awaitTermination(200)
+    admitted = spark.read.schema(ingest.ADMITTED).parquet(f"{tmp_path}/admitted")
+    assert admitted.select("text_sha256").distinct().count() == admitted.count() == 150 and admitted.select("batch").distinct().count() <= 4
+
+
 def test_progress_on_a_stream(spark, tmp_path):
     """Lines arrive in files; a step is replayed, a line is torn, and the query starts again."""
     schema = "run string, step long, input_tokens long, line long"
