@@ -1,12 +1,12 @@
 """Seating in a hierarchy of Pitman-Yor restaurants, sampled by Gibbs.
 
 Three levels: 0 the root, 1 its children, 2 their children, the leaves. What is kept of a seating is, for every
-(restaurant, dish), the customers c and the tables t; the tables of a restaurant are the customers of its parent. Given c
-and t, any single customer sits alone with the probability S_d(c - 1, t - 1) / S_d(c, t), S_d the generalised Stirling
-numbers. A move therefore takes one customer out (where that empties the table, one customer of the parent goes too, and
-so on up to the root) and seats it again by the Chinese-restaurant rule, given all that is left. This is the Gibbs
-conditional, the same for parties of every size. Moves of many dishes are made at once as arrays: within one such part the
-moves do not see each other, and the totals of restaurants that other tasks share are those of the sweep before.
+(restaurant, dish), the customers c and the tables t; the tables of a restaurant are the customers of its parent. A move seats
+all customers of a dish anew: it draws the dish's number of tables from its distribution given all the rest, which is made of
+generalised Stirling numbers S_d(c, t), the Chinese-restaurant rule and the parent's seating with that many guests. This is the
+Gibbs conditional of the whole party, the same for parties of every size. Moves of many dishes are made at once as arrays:
+within one such part the moves do not see each other, and the totals of restaurants that other tasks share are those of the
+sweep before.
 
 Discounts and strengths are drawn from their conditionals on a grid, which needs sums over restaurants and dishes only.
 """
@@ -22,6 +22,8 @@ DISCOUNTS, STRENGTHS = np.linspace(0.1, 0.95, 18), np.geomspace(0.1, 1e5, 25)
 #: Customers and tables up to which Stirling numbers are tabulated; beyond it they are computed from the recursion's limit
 #: (more customers) or by a saddle point (more tables). These are numerical means only: the sampler is one for all sizes.
 ROWS, COLUMNS = 1024, 192
+#: Dishes that are moved at once, at most.
+PART = 32_768
 
 
 @lru_cache(maxsize=32)
@@ -168,41 +170,59 @@ class Seats:
                 self.n[k - 1] += np.bincount(self.place[k - 1][self.up[k][live]], more, minlength=len(self.n[k - 1]))
         self._customers()
 
-    def move(self, level: int, who: np.ndarray, rng) -> None:
-        """Takes one customer of each of the given dishes of a level out and seats it again."""
-        at = {level: who}
-        for k in range(level, 0, -1):
-            at[k - 1] = self.up[k][at[k]]
-        gone, left, tables, empty = {level: np.ones(len(who), bool)}, {}, {}, {}
-        for k in range(level, -1, -1):
-            c, t = self.c[k][at[k]], self.t[k][at[k]]
-            empty[k] = np.zeros(len(who), bool)
-            i = np.flatnonzero(gone[k])
-            empty[k][i] = rng.random(len(i)) < alone(c[i], t[i], self.d[k])
-            left[k], tables[k], gone[k - 1] = c - gone[k], t - empty[k], empty[k]
-        p = self.base
-        new, old = {}, {}
-        for k in range(level + 1):
-            here = self.place[k][at[k]]
-            new[k] = (self.s[k] + self.d[k] * np.maximum(self.m[k][here] - empty[k], 0.0)) * p
-            old[k] = np.maximum(left[k] - self.d[k] * tables[k], 0.0)
-            p = (new[k] + old[k]) / (self.s[k] + np.maximum(self.n[k][here] - gone[k], 0.0))
-        come = np.ones(len(who), bool)
-        for k in range(level, -1, -1):
-            opened = come & ((rng.random(len(who)) * (new[k] + old[k]) < new[k]) | (tables[k] < 1))
-            self._shift(k, at[k], come.astype(np.int64) - gone[k], opened.astype(np.int64) - empty[k], k < level)
-            come = opened
-
-    def _shift(self, k: int, at: np.ndarray, customers: np.ndarray, tables: np.ndarray, guests: bool) -> None:
-        if guests and len(i := np.flatnonzero(customers)):
-            np.add.at(self.c[k], at[i], customers[i])
-            np.add.at(self.n[k], self.place[k][at[i]], customers[i])
-        if len(i := np.flatnonzero(tables)):
-            i = at[i]
-            np.add.at(self.t[k], i, tables[tables != 0])
-            np.add.at(self.m[k], self.place[k][i], tables[tables != 0])
-            t, c = self.t[k][i], self.c[k][i]
-            if ((t > c) | (t < np.minimum(c, 1))).any():
+    def _steps(self, k: int, i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log P(t + 1 tables) - log P(t tables) for dishes i of a level, given all that is not theirs: the seatings of c customers
+        (of Stirling numbers, by the chance of sitting alone), the restaurant's rule, and the parent's seating with one more."""
+        c, d, here = self.c[k][i], self.d[k], self.place[k][i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.log1p(-alone(c, t, d)) - np.log(c - 1 - t * d) - np.log(alone(c, t + 1, d))
+            out += np.log(self.s[k] + d * np.maximum(self.m[k][here] - self.t[k][i] + t, 0.0))
+            if not k:
+                return out + np.log(self.base)
+            p = self.up[k][i]
+            more, tables, d = self.c[k - 1][p] - self.t[k][i] + t, self.t[k - 1][p], self.d[k - 1]
+            out += np.log(more - tables * d) - np.log1p(-alone(more + 1, tables, d))
+            return out - np.log(self.s[k - 1] + np.maximum(self.n[k - 1][self.place[k - 1][p]] - self.t[k][i] + t, 0.0))
+
+    def reseat(self, level: int, who: np.ndarray, rng) -> None:
+        """Seats all customers of each of the given dishes of a level anew: draws its tables from their distribution given the
+        rest. It is summed over as many tables on both sides of the present number as have e^-30 of the likeliest one's weight."""
+        t = self.t[level][who]
+        least = np.ones(len(who), np.int64)
+        if level:
+            p = self.up[level][who]
+            least = np.minimum(t, np.maximum(1, self.t[level - 1][p] - (self.c[level - 1][p] - t)))
+        c, drawn, width, left = self.c[level][who], t.copy(), 8, np.arange(len(who))
+        while len(left):
+            low, high = np.maximum(least[left], t[left] - width), np.minimum(c[left], t[left] + width)
+            size = high - low + 1
+            ends = np.cumsum(size)
+            starts = ends - size
+            own = np.repeat(np.arange(len(left)), size)
+            tables = np.arange(ends[-1]) - starts[own] + low[own]
+            log = np.zeros(len(own))
+            up = np.flatnonzero(tables < high[own])
+            log[up + 1] = np.nan_to_num(self._steps(level, who[left[own[up]]], tables[up]), posinf=700.0, neginf=-700.0)
+            log = np.cumsum(log)
+            log -= np.maximum.reduceat(log, starts)[own]
+            open_ = ((low > least[left]) & (log[starts] > -30)) | ((high < c[left]) & (log[ends - 1] > -30))
+            sums = np.cumsum(np.exp(log))
+            before = np.where(starts > 0, sums[starts - 1], 0.0)
+            at = np.searchsorted(sums, before + rng.random(len(left)) * (sums[ends - 1] - before), side="right")
+            at = np.clip(at, starts, ends - 1)
+            drawn[left[~open_]] = tables[at[~open_]]
+            left, width = left[open_], 2 * width
+        self._shift(level, who, drawn - t)
+
+    def _shift(self, k: int, who: np.ndarray, tables: np.ndarray) -> None:
+        who, tables = who[tables != 0], tables[tables != 0]
+        self.t[k][who] += tables
+        np.add.at(self.m[k], self.place[k][who], tables)
+        if k and len(who):
+            p = self.up[k][who]
+            np.add.at(self.c[k - 1], p, tables)
+            np.add.at(self.n[k - 1], self.place[k - 1][p], tables)
+            if (self.t[k - 1][p] > self.c[k - 1][p]).any():
                 self.crowded = True
 
     def _settle(self) -> None:
@@ -219,17 +239,16 @@ class Seats:
                 self.m[k] += np.bincount(self.place[k][i], (fit - self.t[k])[i], minlength=len(self.m[k]))
                 self.t[k] = fit
 
-    def sweep(self, rng, rounds: int = 2, parts: int = 4) -> None:
-        """`rounds` moves of every dish with two customers or more, level by level; a round is made in random parts."""
+    def sweep(self, rng, rounds: int = 1, parts: int = 4) -> None:
+        """Seats the customers of every dish with two or more anew, all of them, level by level, in random parts of at most PART
+        dishes. `rounds`: how often."""
         for k in (2, 1, 0):
             for _ in range(rounds):
-                who = np.flatnonzero(self.c[k] > 1)
-                draw = rng.integers(0, parts, len(who))
-                for part in range(parts):
-                    some = who[draw == part]
+                who = rng.permutation(np.flatnonzero(self.c[k] > 1))
+                for some in np.array_split(who, max(parts, -(-len(who) // PART))):
                     some = some[self.c[k][some] > 1]
                     if len(some):
-                        self.move(k, some, rng)
+                        self.reseat(k, some, rng)
                     if self.crowded:
                         self._settle()
 

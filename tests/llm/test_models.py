@@ -77,6 +77,27 @@ def test_gibbs_against_all_seatings():
         assert np.allclose(x.n[k], np.bincount(places[k], x.c[k])) and np.allclose(x.m[k], np.bincount(places[k], x.t[k]))
 
 
+def test_a_sweep_moves_whole_parties():
+    """What one sweep leaves of a party of 400 does not depend on how it sat before: at one table, or each at their own."""
+    ups, places = [None, np.array([0]), np.array([0])], [np.array([0])] * 3
+    ends = []
+    for t in (1, 400):
+        drawn = []
+        for seed in range(150):
+            x = seating.Seats([400], [[1], [1], [t]], ups, places, [[1.0], [float(t)], [400.0]], [[1.0], [1.0], [float(t)]], (0.5, 0.5, 0.5), (1.0, 1.0, 1.0), 9)
+            x.sweep(np.random.default_rng(seed))
+            drawn.append(int(x.t[2][0]))
+        ends.append(drawn)
+    s = seating.log_stirling(400, 0.5)
+    k = np.arange(1, 401)
+    rise = lambda a, d: np.cumsum(np.log(a + d * np.arange(400)))
+    log = s[400, 1:] + rise(1.0, 0.5) + s[k, 1] - rise(1.0, 1.0)
+    p = np.exp(log - log.max())
+    mean = (p * k).sum() / p.sum()
+    sd = np.sqrt((p * k * k).sum() / p.sum() - mean**2)
+    assert all(abs(np.mean(d) - mean) < 4 * sd / np.sqrt(150) for d in ends)
+
+
 def test_predictions_add_up():
     """P(. | context) sums to 1 over the vocabulary and the unknown word, also with large parties."""
     rng = np.random.default_rng(0)
