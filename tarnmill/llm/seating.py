@@ -51,21 +51,29 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r / 1260)) / y - shift
 
 
+def _mean(y: np.ndarray, d: float) -> np.ndarray:
+    """log of the mean of the power series below at 1 - z = e^y: its position for c and t is where that is log(c / t)."""
+    return np.log(-np.expm1(y)) + (d - 1) * y + np.log(d) - np.log(-np.expm1(d * y))
+
+
+@lru_cache(maxsize=32)
+def _positions(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of -y in even steps, and of the means there."""
+    log = np.linspace(np.log(1e-8), np.log(2000.0), 4097)
+    return np.log(_mean(-np.exp(log), d)), log
+
+
 def _log_coefficient(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log [z^c] ((1 - (1 - z)^d) / d)^t by a saddle point, for c > t; its position is found by bisection."""
+    """log [z^c] ((1 - (1 - z)^d) / d)^t by a saddle point, for c > t; its position is interpolated and made exact by a Newton step."""
     c, t = c.astype(np.float64), t.astype(np.float64)
-    lo, hi = np.full(len(c), -2000.0), np.full(len(c), -1e-12)  # log(1 - z)
-    want = np.log(c / t)
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        mean = np.log(-np.expm1(mid)) + (d - 1) * mid + np.log(d) - np.log(-np.expm1(d * mid))
-        low = mean < want
-        hi, lo = np.where(low, mid, hi), np.where(low, lo, mid)
-    y = (lo + hi) / 2
-    z = -np.expm1(y)
     m = c / t
+    want = np.log(m)
+    y = -np.exp(np.interp(np.log(want), *_positions(d)))
+    z, w = -np.expm1(y), -np.expm1(d * y)
+    y -= (np.log(z * d / w) + (d - 1) * y - want) / (d - 1 - (1 - z) / z + d * (1 - w) / w)
+    z, w = -np.expm1(y), -np.expm1(d * y)
     var = m * (1 + z * (1 - d) * np.exp(-y) - m)
-    return t * np.log(-np.expm1(d * y) / d) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * np.maximum(var, 1e-300))
+    return t * np.log(w / d) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * np.maximum(var, 1e-300))
 
 
 @lru_cache(maxsize=32)
@@ -76,9 +84,21 @@ def _alone_table(d: float) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=32)
+def _step_tables(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log S_d(c, t + 1) - log S_d(c, t) for t < COLUMNS, and log S_d(c + 1, t) - log S_d(c, t) for c < ROWS."""
+    p, c, t = _alone_table(d).astype(np.float64), np.arange(ROWS + 1)[:, None], np.arange(COLUMNS + 1)
+    p[t == c] = 1.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (np.log1p(-p) - np.log(c - 1 - t * d))[:, :-1] - np.log(p[:, 1:]), np.log(c - t * d)[:-1] - np.log1p(-p[1:])
+
+
 def _many(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """Where the saddle point is the better means: more tables than columns, or tables that are many for the customers."""
-    return (t < c) & ((t > COLUMNS) | ((c > ROWS) & (t > 16) & (np.log(np.maximum(t, 1)) > d * np.log(np.maximum(c, 1)))))
+    out = (t < c) & (t > COLUMNS)
+    k = np.flatnonzero((c > ROWS) & (t > 16) & (t <= COLUMNS))
+    out[k] = np.log(t[k]) > d * np.log(c[k])
+    return out
 
 
 def log_s(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -113,6 +133,28 @@ def alone(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out
 
 
+def one_more_table(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S_d(c, t + 1) - log S_d(c, t), which is (1 - P(alone)) / (c - 1 - t d) / P(alone of c at t + 1)."""
+    out = _step_tables(d)[0][np.minimum(c, ROWS), np.minimum(t, COLUMNS - 1)]
+    k = np.flatnonzero((c > ROWS) | (t >= COLUMNS))
+    if len(k):
+        c, t = c[k], t[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[k] = np.log1p(-alone(c, t, d)) - np.log(c - 1 - t * d) - np.log(alone(c, t + 1, d))
+    return out
+
+
+def one_more_customer(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S_d(c + 1, t) - log S_d(c, t), which is (c - t d) / (1 - P(alone of c + 1))."""
+    out = _step_tables(d)[1][np.minimum(c, ROWS - 1), np.minimum(t, COLUMNS)]
+    k = np.flatnonzero((c >= ROWS) | (t > COLUMNS))
+    if len(k):
+        c, t = c[k], t[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[k] = np.log(c - t * d) - np.log1p(-alone(c + 1, t, d))
+    return out
+
+
 class Seats:
     """The seating of some dishes with all their restaurants.
 
@@ -173,16 +215,14 @@ class Seats:
     def _steps(self, k: int, i: np.ndarray, t: np.ndarray) -> np.ndarray:
         """log P(t + 1 tables) - log P(t tables) for dishes i of a level, given all that is not theirs: the seatings of c customers
         (of Stirling numbers, by the chance of sitting alone), the restaurant's rule, and the parent's seating with one more."""
-        c, d, here = self.c[k][i], self.d[k], self.place[k][i]
+        d, change = self.d[k], t - self.t[k][i]
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.log1p(-alone(c, t, d)) - np.log(c - 1 - t * d) - np.log(alone(c, t + 1, d))
-            out += np.log(self.s[k] + d * np.maximum(self.m[k][here] - self.t[k][i] + t, 0.0))
+            out = one_more_table(self.c[k][i], t, d) + np.log(self.s[k] + d * np.maximum(self.m[k][self.place[k][i]] + change, 0.0))
             if not k:
                 return out + np.log(self.base)
             p = self.up[k][i]
-            more, tables, d = self.c[k - 1][p] - self.t[k][i] + t, self.t[k - 1][p], self.d[k - 1]
-            out += np.log(more - tables * d) - np.log1p(-alone(more + 1, tables, d))
-            return out - np.log(self.s[k - 1] + np.maximum(self.n[k - 1][self.place[k - 1][p]] - self.t[k][i] + t, 0.0))
+            out += one_more_customer(self.c[k - 1][p] + change, self.t[k - 1][p], self.d[k - 1])
+            return out - np.log(self.s[k - 1] + np.maximum(self.n[k - 1][self.place[k - 1][p]] + change, 0.0))
 
     def reseat(self, level: int, who: np.ndarray, rng) -> None:
         """Seats all customers of each of the given dishes of a level anew: draws its tables from their distribution given the
