@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ def _z(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string; byte planes lie together, since most high bytes are 0."""
     out = []
     for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
-        out += [np.array([len(planes)], np.int64).tobytes(), planes]
+        flat = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize)
+        out.append(np.array([flat.size], np.int64).tobytes())
+        out += [flat[:, k].tobytes() for k in range(a.dtype.itemsize)]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
@@ -55,7 +57,10 @@ def _unz(blob: bytes, *kinds) -> list[np.ndarray]:
     for k in kinds:
         n, size = int(np.frombuffer(data, np.int64, 1, at)[0]), np.dtype(k).itemsize
         planes = np.frombuffer(data, np.uint8, n, at + 8).reshape(size, -1)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(k))
+        flat = np.empty((n // size, size), np.uint8)
+        for j in range(size):
+            flat[:, j] = planes[j]
+        out.append(flat.reshape(-1).view(k))
         at += 8 + n
     return out
 
@@ -69,8 +74,11 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype)
 
 
-def context_of(word: bytes) -> int:
-    return word[-2] * 256 + word[-1] if len(word) > 1 else 65536 + word[0]
+def contexts_of(words) -> np.ndarray:
+    """The suffix contexts of words: their last two bytes, or their only one."""
+    flat, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    last = np.cumsum(size) - 1
+    return np.where(size > 1, flat[last - 1] * np.uint32(256), np.uint32(65536)) + flat[last]
 
 
 def held_out(doc_id: int | None, folds: int = FOLDS, fold: int = HELD) -> bool:
@@ -100,12 +108,12 @@ _CORPUS = "batch long, tokens long, train long, blob binary"
 _BATCH = (np.int64, np.uint8, np.uint8, np.int64, np.uint32, np.uint64, np.uint32, np.int64)
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    some = pc.greater(pc.binary_length(lists.flatten()), 0)  # white space at the ends of a text leaves empty words
+    edge = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return lists.flatten().filter(some), np.diff(edge)
 
 
 def _tokenize(batch: int):
@@ -116,37 +124,46 @@ def _tokenize(batch: int):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        numbers = Numbers()
         docs, sizes, tokens, total = [], [], [], 0
 
         def row():
-            n = len(numbers)
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, n)
-            ctx = np.fromiter(map(context_of, numbers), np.uint32, n)
+            coded = pa.chunked_array(tokens).dictionary_encode().combine_chunks()
+            words, size = coded.dictionary.cast(pa.binary()).to_pylist(), np.concatenate(sizes)
+            n = len(words)
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+            ctx = contexts_of(words)
             # The end is one more word; as a context it is the start.
             h, ctx = np.append(h, np.uint64(_END)), np.append(ctx, np.uint32(START))
             order = np.argsort(h, kind="stable")
             rank = np.empty(n + 1, np.uint32)
             rank[order] = np.arange(n + 1, dtype=np.uint32)
-            flat = rank[np.concatenate([np.append(t, np.uint32(n)) for t in tokens])]
-            ids, size = np.array([0 if d is None else d for d in docs], np.int64), np.array(sizes, np.int64)
+            flat, end = np.empty(total, np.uint32), np.zeros(total, bool)
+            end[np.cumsum(size) - 1] = True
+            flat[end], flat[~end] = rank[n], rank[coded.indices.to_numpy()]
+            ids = np.array([0 if d is None else d for d in docs], np.int64)
             null, held = np.array([d is None for d in docs], np.uint8), np.array([held_out(d) for d in docs], np.uint8)
             blob = _z(ids, null, held, size, flat, _steps(h[order]), ctx[order], np.array([rank[n]], np.int64))
             out = (part * (1 << 32) + made, len(flat), int(size[held == 0].sum()), blob)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["batch", "tokens", "train", "blob"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                ws = (text.as_py() or b"").lower().split()
-                tokens.append(np.fromiter(map(numbers.__getitem__, ws), np.uint32, len(ws)))
-                docs.append(doc)
-                sizes.append(len(ws) + 1)
-                total += len(ws) + 1
-                if total >= batch:
-                    yield row()
-                    made += 1
-                    numbers, docs, sizes, tokens, total = Numbers(), [], [], [], 0
-                    trim()
+            for at in range(0, b.num_rows, 64):
+                words, size = _split(b.column(1).slice(at, 64))
+                ids, edge, ends = b.column(0).slice(at, 64).to_pylist(), np.concatenate(([0], np.cumsum(size))), np.cumsum(size + 1)
+                done = 0
+                while done < len(ids):  # a batch ends with the document that fills it
+                    before = ends[done - 1] if done else 0
+                    stop = min(len(ids), int(np.searchsorted(ends, batch - total + before)) + 1)
+                    docs += ids[done:stop]
+                    sizes.append(size[done:stop] + 1)
+                    tokens.append(words.slice(edge[done], edge[stop] - edge[done]))
+                    total += int(ends[stop - 1] - before)
+                    done = stop
+                    if total >= batch:
+                        yield row()
+                        made += 1
+                        docs, sizes, tokens, total = [], [], [], 0
+                        trim()
         if docs:
             yield row()
 

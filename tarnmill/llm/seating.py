@@ -84,7 +84,7 @@ def _alone_table(d: float) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=32)
+@lru_cache(maxsize=4)
 def _step_tables(d: float) -> tuple[np.ndarray, np.ndarray]:
     """log S_d(c, t + 1) - log S_d(c, t) for t < COLUMNS, and log S_d(c + 1, t) - log S_d(c, t) for c < ROWS."""
     p, c, t = _alone_table(d).astype(np.float64), np.arange(ROWS + 1)[:, None], np.arange(COLUMNS + 1)
@@ -212,17 +212,17 @@ class Seats:
                 self.n[k - 1] += np.bincount(self.place[k - 1][self.up[k][live]], more, minlength=len(self.n[k - 1]))
         self._customers()
 
-    def _steps(self, k: int, i: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """log P(t + 1 tables) - log P(t tables) for dishes i of a level, given all that is not theirs: the seatings of c customers
+    def _steps(self, k: int, i: np.ndarray, own: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log P(t + 1 tables) - log P(t tables) for dishes i[own] of a level, given all that is not theirs: the seatings of c customers
         (of Stirling numbers, by the chance of sitting alone), the restaurant's rule, and the parent's seating with one more."""
-        d, change = self.d[k], t - self.t[k][i]
+        d, now = self.d[k], self.t[k][i]
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = one_more_table(self.c[k][i], t, d) + np.log(self.s[k] + d * np.maximum(self.m[k][self.place[k][i]] + change, 0.0))
+            out = one_more_table(self.c[k][i][own], t, d) + np.log(self.s[k] + d * np.maximum((self.m[k][self.place[k][i]] - now)[own] + t, 0.0))
             if not k:
                 return out + np.log(self.base)
             p = self.up[k][i]
-            out += one_more_customer(self.c[k - 1][p] + change, self.t[k - 1][p], self.d[k - 1])
-            return out - np.log(self.s[k - 1] + np.maximum(self.n[k - 1][self.place[k - 1][p]] + change, 0.0))
+            out += one_more_customer((self.c[k - 1][p] - now)[own] + t, self.t[k - 1][p][own], self.d[k - 1])
+            return out - np.log(self.s[k - 1] + np.maximum((self.n[k - 1][self.place[k - 1][p]] - now)[own] + t, 0.0))
 
     def reseat(self, level: int, who: np.ndarray, rng) -> None:
         """Seats all customers of each of the given dishes of a level anew: draws its tables from their distribution given the
@@ -242,7 +242,7 @@ class Seats:
             tables = np.arange(ends[-1]) - starts[own] + low[own]
             log = np.zeros(len(own))
             up = np.flatnonzero(tables < high[own])
-            log[up + 1] = np.nan_to_num(self._steps(level, who[left[own[up]]], tables[up]), posinf=700.0, neginf=-700.0)
+            log[up + 1] = np.nan_to_num(self._steps(level, who[left], own[up], tables[up]), posinf=700.0, neginf=-700.0)
             log = np.cumsum(log)
             log -= np.maximum.reduceat(log, starts)[own]
             open_ = ((low > least[left]) & (log[starts] > -30)) | ((high < c[left]) & (log[ends - 1] > -30))

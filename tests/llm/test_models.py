@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import frame, rows, sentence
 
 from tarnmill.llm import ann, lm, mixing, quality, rules, seating, toxicity
@@ -26,6 +27,20 @@ def test_language_model(spark):
     assert none[0]["score"] == 0 and none[0]["train_tokens"] == 0
 
 
+def test_words_are_those_of_bytes():
+    """Arrow's words are those of lower-cased bytes, split at ASCII white space, also in slices; contexts are their last bytes."""
+    rng = random.Random(1)
+    parts = ["a", "B", " ", "\t", "\x0b", "\x0c", "\r", "\n", "\x1c", "\x85", "\xa0", "É", "ß", "日", "\x00", "zz", "İ", " "]
+    texts = [None, "", " ", "\n\t "] + ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [(t or "").encode().lower().split() for t in texts]
+    for start, n in ((0, 0), (0, 2), (0, 304), (7, 64), (200, 104)):
+        words, size = lm._split(pa.array(texts).slice(start, n))
+        some = want[start : start + n]
+        assert words.cast(pa.binary()).to_pylist() == [w for ws in some for w in ws] and size.tolist() == [len(ws) for ws in some]
+    words = sorted({w for ws in want for w in ws})
+    assert lm.contexts_of(words).tolist() == [w[-2] * 256 + w[-1] if len(w) > 1 else 65536 + w[0] for w in words]
+
+
 def test_language_model_learns_from_whole_words(spark):
     """All words end alike, so only the whole word before tells which one follows."""
     rng = random.Random(4)
