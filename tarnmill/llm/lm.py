@@ -48,7 +48,10 @@ def _z(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         flat = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize)
         out.append(np.array([flat.size], np.int64).tobytes())
-        out += [flat[:, k].tobytes() for k in range(a.dtype.itemsize)]
+        used = a.dtype.itemsize
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            used = -(-int(a.max()).bit_length() // 8)
+        out += [flat[:, k].tobytes() if k < used else bytes(len(flat)) for k in range(a.dtype.itemsize)]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
@@ -57,9 +60,10 @@ def _unz(blob: bytes, *kinds) -> list[np.ndarray]:
     for k in kinds:
         n, size = int(np.frombuffer(data, np.int64, 1, at)[0]), np.dtype(k).itemsize
         planes = np.frombuffer(data, np.uint8, n, at + 8).reshape(size, -1)
-        flat = np.empty((n // size, size), np.uint8)
+        flat = np.zeros((n // size, size), np.uint8)
         for j in range(size):
-            flat[:, j] = planes[j]
+            if planes[j].any():
+                flat[:, j] = planes[j]
         out.append(flat.reshape(-1).view(k))
         at += 8 + n
     return out
@@ -261,7 +265,8 @@ class Bucket:
 
     def __init__(self, blob: bytes):
         self.words, per, self.before, self.suffix, self.at, self.count = _load(blob)
-        self.word_of = word = np.repeat(np.arange(len(per)), per)
+        self.order = np.argsort(self.before, kind="stable")
+        word = np.repeat(np.arange(len(per)), per)
         key = word << 17 | self.suffix[self.at].astype(np.int64)
         new = np.concatenate(([True], key[1:] != key[:-1]))  # pairs are in the order of words and, as contexts are, of suffixes
         self.over = np.cumsum(new) - 1
@@ -290,9 +295,8 @@ def _put(bucket: int, b: Bucket, t: list[np.ndarray], mean: np.ndarray, terms: n
     n, m = np.concatenate((n[hit], [t[1].sum(), (t[0] > 0).sum()])).astype(np.int64), np.concatenate((m[hit], [t[0].sum(), 0])).astype(np.int64)
     out = [(bucket, TABLES, 0, _z(t[2], t[1], t[0], mean), idx, n, m, terms.reshape(-1))]
     if more:
-        order = np.argsort(b.before, kind="stable")
-        h = b.before[order]
-        n, m = (np.bincount(b.at, v, minlength=len(h)).astype(np.int64)[order] for v in (b.count, t[2]))
+        h = b.before[b.order]
+        n, m = (np.bincount(b.at, v, minlength=len(h)).astype(np.int64)[b.order] for v in (b.count, t[2]))
         edge = np.searchsorted(bucket_of(h << _SHORT, buckets), np.arange(buckets + 1))
         out += [(bucket, TOTALS, int(k), _z(_steps(h[edge[k] : edge[k + 1]]), n[edge[k] : edge[k + 1]], m[edge[k] : edge[k + 1]]), None, None, None, None) for k in np.flatnonzero(edge[1:] > edge[:-1])]
     return out
@@ -336,10 +340,9 @@ def _sweep(totals, hyper, vocabulary: int, seed: int, buckets: int, step: str, a
         t2, t1, t0, mean = _unz(blobs[int(np.flatnonzero(kind == TABLES)[0])].as_py(), np.int64, np.int64, np.int64, np.float32)
         part = t.column("part").to_pylist()
         got = [_unz(blobs[k].as_py(), np.int64, np.int64, np.uint8) for k in sorted(map(int, np.flatnonzero(kind == TOTALS)), key=part.__getitem__)]
-        order = np.argsort(own.before, kind="stable")
-        n, m, first = (np.empty(len(order), k) for k in (np.float64, np.float64, bool))
+        n, m, first = (np.empty(len(own.order), k) for k in (np.float64, np.float64, bool))
         for k, x in enumerate((n, m, first)):
-            x[order] = np.concatenate([g[k] for g in got])
+            x[own.order] = np.concatenate([g[k] for g in got])
         seats = own.seats([t0, t1, t2], (n, m), totals, hyper, vocabulary)
         if add:
             mean = mean + seats.predict().astype(np.float32)
@@ -354,7 +357,7 @@ def _sweep(totals, hyper, vocabulary: int, seed: int, buckets: int, step: str, a
             by_d, by_s = restaurant_terms(n[first], m[first], hyper[0][2], hyper[1][2])
             terms = np.concatenate((by_d, seats.dish_terms().reshape(-1), by_s))
         out = _rows(_put(bucket, own, seats.t, mean, terms, buckets, step != "none"), _STATE_NAMES, _STATE_KINDS)
-        del own, seats, t2, t1, t0, mean, got, n, m, first, order
+        del own, seats, t2, t1, t0, mean, got, n, m, first
         trim()
         return pa.Table.from_batches([out])
 

@@ -307,8 +307,11 @@ def restaurant_terms(n: np.ndarray, m: np.ndarray, d: float, s: float) -> tuple[
     """Sums over restaurants of log [s|d]_m - log (s)_n: by discount at the strength s (without n's part), and by strength
     at the discount d."""
     some = n > 1
-    key, times = np.unique(np.stack([n[some], m[some]]).astype(np.int64), axis=1, return_counts=True)
-    n, m = key.astype(np.float64)
+    order = np.lexsort((m[some], n[some]))
+    n, m, new = n[some][order], m[some][order], np.ones(len(order), bool)
+    new[1:] = (n[1:] != n[:-1]) | (m[1:] != m[:-1])
+    at = np.flatnonzero(new)
+    n, m, times = n[at], m[at], np.diff(np.append(at, len(new)))
     grow = lambda s, d: m * np.log(d) + lgamma(s / d + m) - lgamma(np.array(s / d))
     by_d = [float((times * grow(s, x)).sum()) for x in DISCOUNTS]
     by_s = [float((times * (grow(x, d) - lgamma(x + n) + lgamma(np.array(x)))).sum()) for x in STRENGTHS]
